@@ -26,23 +26,17 @@ _POSITION_MASK = (1 << _POSITION_BITS) - 1
 ROWS_PER_BLOCK = 16_384
 
 
-def sorted_pieces(
-    df: DataFrame, order_by: Sequence[str], distinct: bool = False
-) -> DataFrame:
+def sorted_pieces(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """`df` in global order, stored in pieces: adds the piece number and position in it.
 
-    `order_by` should be a total order. `distinct` drops full-row duplicates: equal rows share
-    a range, so this needs no shuffle of its own.
+    `order_by` should be a total order.
     """
     order = [quoted(c).asc_nulls_first() for c in order_by]
-    pieces = df.repartitionByRange(*order)
-    if distinct:
-        pieces = pieces.distinct()
     position = F.col("_position")
     stored = materialize(
-        pieces.sortWithinPartitions(*order).withColumn(
-            "_position", F.monotonically_increasing_id()
-        ),
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_position", F.monotonically_increasing_id()),
         "ordered",
     )
     return stored.withColumns(
@@ -65,11 +59,9 @@ def _before_piece(totals: DataFrame, columns: dict[str, str]) -> DataFrame:
     )
 
 
-def number_rows(
-    df: DataFrame, order_by: Sequence[str], distinct: bool = False
-) -> DataFrame:
+def number_rows(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Add `_row`, the 0-based position of each row in the global order."""
-    pieces = sorted_pieces(df, order_by, distinct)
+    pieces = sorted_pieces(df, order_by)
     totals = pieces.groupBy(PIECE).agg(F.count(F.lit(1)).alias("_rows"))
     offsets = _before_piece(totals, {"_rows": "_offset"})
     # offsets has one row per range partition, so its size is bounded by the partition count
@@ -86,7 +78,6 @@ def rolling_mean(
     values: dict[str, str],
     n: int,
     min_periods: int | None = None,
-    distinct: bool = False,
     block_rows: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Mean over the last `n` rows of the global order, as new columns `values[old] = new`.
@@ -100,7 +91,7 @@ def rolling_mean(
     block = F.call_function("div", F.col(ROW), F.lit(block_rows))
     tail = F.col(ROW) % block_rows >= block_rows - (n - 1)
     homes = F.when(tail, F.array(block, block + 1)).otherwise(F.array(block))
-    numbered = number_rows(df, order_by, distinct)
+    numbered = number_rows(df, order_by)
     window = Window.partitionBy(BLOCK).orderBy(ROW).rowsBetween(-(n - 1), 0)
     means = {
         new: F.when(

@@ -169,7 +169,7 @@ def filter_by_sequencer(
     return result.orderBy("slot") if ordered else result
 
 
-def slot_gas_groupby(filtered: DataFrame) -> DataFrame:
+def slot_gas_groupby(filtered: DataFrame, ordered: bool = False) -> DataFrame:
     """Median bid premium and mean base fee per (inclusion rate, rollup)."""
     medians = _median_and_mean(
         filtered,
@@ -177,4 +177,5 @@ def slot_gas_groupby(filtered: DataFrame) -> DataFrame:
         "priority_fee_bid_percent_premium",
         "base_fee_per_gas",
     )
-    return drop_null_rows(medians).orderBy("slot_inclusion_rate", "sequencer_names")
+    groups = drop_null_rows(medians)
+    return groups.orderBy("slot_inclusion_rate", "sequencer_names") if ordered else groups

@@ -150,11 +150,11 @@ def submission_count(collapsed: DataFrame) -> DataFrame:
     often repeated list into one task. `collapsed` is read twice, so pass a stored frame when
     it is costly.
     """
-    counts = collapsed.groupBy(F.col("versioned_hash").alias("_list")).agg(
-        F.count(F.lit(1)).alias("submission_count")
-    )
-    same_list = F.col("versioned_hash").eqNullSafe(F.col("_list"))
-    return collapsed.join(counts, same_list).drop("_list")
+    # a missing list is a key of its own, told apart from an empty one
+    key = F.coalesce("versioned_hash", F.array(F.lit("missing")))
+    keyed = collapsed.withColumn("_list", key)
+    counts = keyed.groupBy("_list").agg(F.count(F.lit(1)).alias("submission_count"))
+    return keyed.join(counts, "_list").drop("_list")
 
 
 def explode_blobs(collapsed: DataFrame) -> DataFrame:
@@ -162,27 +162,24 @@ def explode_blobs(collapsed: DataFrame) -> DataFrame:
     return explode_list(collapsed, "versioned_hash")
 
 
-def _distinct_sidecars(sidecar: DataFrame) -> DataFrame:
-    """Sidecars without the blob index; copies collapse before the join."""
-    return sidecar.select(*SIDECAR_JOIN_COLUMNS).distinct()
-
-
-def mempool_sidecar_join(exploded: DataFrame, sidecar: DataFrame) -> DataFrame:
-    """LEFT join of blobs with canonical sidecars on `versioned_hash`, as distinct rows.
+def mempool_sidecar_join(
+    exploded: DataFrame, sidecar: DataFrame, how: str = "left"
+) -> DataFrame:
+    """Join blobs with canonical sidecars on `versioned_hash`, as distinct rows.
 
     A versioned hash may have several sidecars; each gives a row. Both sides are made distinct
-    first, which makes the result distinct. Rows without a hash match nothing, so they are
-    spread over the tasks by their transaction instead of all meeting in one.
+    first, which makes the result distinct: copies collapse before they can multiply, and no
+    shuffle is needed above the join. Rows without a hash match nothing, so they are spread
+    over the tasks by their transaction instead of all meeting in one.
     """
     blobs = exploded.distinct()
-    key = F.coalesce("versioned_hash", F.concat(F.lit("none-"), F.xxhash64("hash", "nonce").cast("string")))
+    sidecars = sidecar.select(*SIDECAR_JOIN_COLUMNS).distinct()
+    if how == "inner":
+        return blobs.join(sidecars, "versioned_hash")
+    by_tx = F.concat(F.lit("none-"), F.xxhash64("hash", "nonce").cast("string"))
     return (
-        blobs.withColumn("_key", key)
-        .join(
-            _distinct_sidecars(sidecar).withColumnRenamed("versioned_hash", "_key"),
-            "_key",
-            "left",
-        )
+        blobs.withColumn("_key", F.coalesce("versioned_hash", by_tx))
+        .join(sidecars.withColumnRenamed("versioned_hash", "_key"), "_key", how)
         .drop("_key")
     )
 
@@ -201,7 +198,7 @@ def inclusion_time(
 
 
 def rolling_inclusion(
-    df: DataFrame, n: int = 50, block_rows: int = ROWS_PER_BLOCK, distinct: bool = False
+    df: DataFrame, n: int = 50, block_rows: int = ROWS_PER_BLOCK
 ) -> DataFrame:
     """Add the mean slot inclusion of the last `n` blobs, NULL until there are `n`."""
     return rolling_mean(
@@ -209,7 +206,6 @@ def rolling_inclusion(
         INCLUSION_ORDER,
         {"slot_inclusion_rate": "slot_inclusion_rate_50_blob_avg"},
         n=n,
-        distinct=distinct,
         block_rows=block_rows,
     )
 
@@ -231,20 +227,13 @@ def slot_inclusion(
     """
     with_blobs = mempool.where(F.size("blob_hashes") > 0)
     collapsed = materialize(mempool_by_nonce(with_blobs), "collapsed")
-    # a hash listed twice in one list gives equal rows; other copies go with `distinct` below
-    blobs = (
-        submission_count(collapsed)
-        .withColumn("versioned_hash", F.explode(F.array_distinct("versioned_hash")))
-        .where(F.col("versioned_hash").isNotNull())
-    )
-    matched = blobs.join(
-        _distinct_sidecars(sidecar).where(F.col("slot_start_date_time").isNotNull()),
-        "versioned_hash",
-    )
+    blobs = explode_blobs(submission_count(collapsed))
+    in_slots = sidecar.where(F.col("slot_start_date_time").isNotNull())
+    matched = mempool_sidecar_join(blobs, in_slots, how="inner")
     timed = inclusion_time(matched, "slot_inclusion_rate").withColumnRenamed(
         "slot_start_date_time", "slot_time"
     )
-    rolled = rolling_inclusion(timed, distinct=True).withColumn(
+    rolled = rolling_inclusion(timed).withColumn(
         "2_slot_target_inclusion_rate", F.lit(2)
     )
     kept = drop_null_rows(rolled.select(*INCLUSION_COLUMNS)).where(

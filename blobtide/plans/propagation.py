@@ -86,36 +86,29 @@ def block_sidecar_joined(
         "blob_size",
         "blob_empty_size",
     )
-    blobs = spread.drop("min_slot_start_date_time").join(
-        sidecars.distinct(), ["kzg_commitment", CLIENT], "left"
+    # NULLs are filled and copies dropped on each side. A row then either matches or does not,
+    # so the filled join is distinct as well and needs no shuffle above it.
+    sightings, blocks, sidecars = (
+        fill_numeric_nulls(side).distinct() for side in (sightings, blocks, sidecars)
     )
-    joined = (
-        sightings.distinct()
-        .join(blocks.distinct(), "slot", "left")
-        .join(blobs, ["slot", CLIENT], "left")
+    blobs = fill_numeric_nulls(spread.drop("min_slot_start_date_time")).join(
+        sidecars, ["kzg_commitment", CLIENT], "left"
     )
-    return (
-        fill_numeric_nulls(joined)
-        .withColumn("max_blob_index", F.col("max_blob_index") + 1)
-        .distinct()
+    joined = sightings.join(blocks, "slot", "left").join(blobs, ["slot", CLIENT], "left")
+    return fill_numeric_nulls(joined).withColumn(
+        "max_blob_index", F.col("max_blob_index") + 1
     )
 
 
-def block_blob_table(bsj: DataFrame) -> DataFrame:
+def block_blob_table(bsj: DataFrame, ordered: bool = False) -> DataFrame:
     """Per (blob count, client): rows, mean propagation (ms) and mean block size (KB)."""
-    return (
-        bsj.groupBy("max_blob_index", CLIENT)
-        .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.avg(DELAY).alias("mean_propagation_slot_start_diff"),
-            (F.avg("block_total_bytes_compressed") / 1000).alias("mean_block_size_compressed"),
-        )
-        .orderBy(
-            F.col("mean_propagation_slot_start_diff").desc_nulls_first(),
-            "max_blob_index",
-            CLIENT,
-        )
+    table = bsj.groupBy("max_blob_index", CLIENT).agg(
+        F.count(F.lit(1)).alias("count"),
+        F.avg(DELAY).alias("mean_propagation_slot_start_diff"),
+        (F.avg("block_total_bytes_compressed") / 1000).alias("mean_block_size_compressed"),
     )
+    slowest_first = F.col("mean_propagation_slot_start_diff").desc_nulls_first()
+    return table.orderBy(slowest_first, "max_blob_index", CLIENT) if ordered else table
 
 
 def propagation_pivot(table: DataFrame, clients: Sequence[str] = CLIENTS) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blobtide.functions.columns import gwei, joined_list, mean_timestamp
+from blobtide.operators.rows import small_table
+
+# More lists than this under one nonce are joined by a shuffle, not broadcast.
+MAX_LOCAL_LISTS = 1000
 
 FEE_CAPS = ["gas_tip_cap", "gas_fee_cap", "blob_gas_fee_cap"]
 
@@ -112,7 +116,10 @@ def nonce_neighbourhood(counts: DataFrame, lo: int, hi: int) -> DataFrame:
 
 def followup_by_nonce(mempool: DataFrame, counts: DataFrame, nonce: int) -> DataFrame:
     """All sightings of the blob list first seen under `nonce`, by time."""
-    lists = counts.where(F.col("nonce") == nonce).select("blob_hashes")
+    # usually one list; held locally while few, so that the sightings need no shuffle
+    lists = small_table(
+        counts.where(F.col("nonce") == nonce).select("blob_hashes"), MAX_LOCAL_LISTS
+    )
     return (
         _with_joined_list(mempool)
         .join(lists, "blob_hashes", "left_semi")

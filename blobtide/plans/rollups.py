@@ -15,9 +15,9 @@ def _distinct_complete(joined: DataFrame) -> DataFrame:
     return drop_null_rows(joined).distinct()
 
 
-def blob_block(joined: DataFrame) -> DataFrame:
+def blob_block(joined: DataFrame, ordered: bool = False) -> DataFrame:
     """Per (block, rollup): fee sums, mean inclusion and gas, and number of blobs."""
-    return (
+    blocks = (
         _distinct_complete(joined)
         .groupBy("block_number", "sequencer_names")
         .agg(
@@ -31,13 +31,13 @@ def blob_block(joined: DataFrame) -> DataFrame:
             F.avg("base_fee_per_gas").alias("base_fee_per_gas"),
             F.sum("blob_hashes_length").alias("blobs_per_block"),
         )
-        .orderBy("block_number", "sequencer_names")
     )
+    return blocks.orderBy("block_number", "sequencer_names") if ordered else blocks
 
 
-def block_agg(blob_blocks: DataFrame) -> DataFrame:
+def block_agg(blob_blocks: DataFrame, ordered: bool = False) -> DataFrame:
     """Per slot time, over all rollups. Means are unweighted means of the rollups' means."""
-    return (
+    blocks = (
         blob_blocks.groupBy("slot_time")
         .agg(
             F.min("block_number").alias("block_number"),
@@ -54,8 +54,8 @@ def block_agg(blob_blocks: DataFrame) -> DataFrame:
             F.avg("base_fee_per_gas").alias("base_fee_per_gas"),
             F.sum("blobs_per_block").alias("blobs_per_block"),
         )
-        .orderBy("block_number", "slot_time")
     )
+    return blocks.orderBy("block_number", "slot_time") if ordered else blocks
 
 
 def cumulative_fees(block_aggs: DataFrame) -> DataFrame:
@@ -97,7 +97,11 @@ def rollup_summary(macro: DataFrame) -> DataFrame:
 
 
 def builder_table(
-    joined: DataFrame, exclude: str = "base", min_rows: int = 100, dedupe: bool = False
+    joined: DataFrame,
+    exclude: str = "base",
+    min_rows: int = 100,
+    dedupe: bool = False,
+    ordered: bool = False,
 ) -> DataFrame:
     """Per block builder with more than `min_rows` rows, one rollup left out.
 
@@ -109,7 +113,7 @@ def builder_table(
     )
     if dedupe:
         rows = rows.distinct()
-    return (
+    table = (
         rows.groupBy("builder_label")
         .agg(
             F.round(F.avg("slot_inclusion_rate"), 3).alias("slot_inclusion_rate"),
@@ -119,8 +123,9 @@ def builder_table(
             F.countDistinct("block_number").alias("block_count"),
         )
         .where(F.col("blob_tx_count") > min_rows)
-        .orderBy(F.col("slot_inclusion_rate").desc_nulls_first(), "builder_label")
     )
+    slowest_first = F.col("slot_inclusion_rate").desc_nulls_first()
+    return table.orderBy(slowest_first, "builder_label") if ordered else table
 
 
 def top_builders(builders: DataFrame, k: int = 10) -> DataFrame:

@@ -50,5 +50,10 @@ def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read CSV as written by `export_csv`."""
-    return spark.read.schema(schema).options(**_CSV_OPTIONS).csv(path)
+    """Read CSV as written by `export_csv`.
+
+    Builder texts may hold line breaks, so a file is read whole; the export writes one file per
+    task.
+    """
+    options = {**_CSV_OPTIONS, "multiLine": True}
+    return spark.read.schema(schema).options(**options).csv(path)
