@@ -79,12 +79,15 @@ def rolling_mean(
     n: int,
     min_periods: int | None = None,
     block_rows: int = ROWS_PER_BLOCK,
+    ordered: bool = False,
 ) -> DataFrame:
     """Mean over the last `n` rows of the global order, as new columns `values[old] = new`.
 
     NULLs are skipped; the result is NULL with fewer than `min_periods` (default `n`) values.
     Rows are cut into blocks of `block_rows` by position. The last n-1 rows of a block are also
-    sent to the next one, so every window is complete inside one block.
+    sent to the next one, so every window is complete inside one block. With `ordered` blocks
+    are spread over the tasks by range, not by hash, which leaves the result in global order
+    without a sort of its own.
     """
     min_periods = n if min_periods is None else min_periods
     block_rows = max(block_rows, n)
@@ -100,9 +103,11 @@ def rolling_mean(
         )
         for old, new in values.items()
     }
+    blocks = numbered.withColumn(BLOCK, F.explode(homes))
+    if ordered:
+        blocks = blocks.repartitionByRange(BLOCK)
     return (
-        numbered.withColumn(BLOCK, F.explode(homes))
-        .withColumns(means)
+        blocks.withColumns(means)
         .where(F.col(BLOCK) == block)
         .drop(BLOCK, ROW)
     )

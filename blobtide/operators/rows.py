@@ -2,36 +2,34 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def complete(columns: Iterable[str]) -> Column:
+    """None of the columns is NULL. NaN is a value, unlike in `DataFrame.dropna`."""
+    return F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+
+
 def drop_null_rows(df: DataFrame) -> DataFrame:
-    """Drop rows with a NULL in any column. NaN is kept, unlike `DataFrame.dropna`."""
-    return df.where(reduce(and_, [quoted(c).isNotNull() for c in df.columns]))
+    """Drop rows with a NULL in any column."""
+    return df.where(complete(df.columns))
 
 
 def fill_numeric_nulls(df: DataFrame, value: int = -1) -> DataFrame:
     """Fill NULLs of numeric columns; strings and timestamps keep theirs. NaN is kept."""
-    numeric = {
-        field.name
-        for field in df.schema.fields
-        if field.dataType.typeName()
-        in {"byte", "short", "integer", "long", "float", "double"}
-        or field.dataType.typeName().startswith("decimal")
-    }
-    return df.select(
+    return df.selectExpr(
         *[
-            F.coalesce(quoted(f.name), F.lit(value).cast(f.dataType)).alias(f.name)
-            if f.name in numeric
-            else quoted(f.name)
+            f"coalesce(`{f.name}`, CAST({value} AS {f.dataType.simpleString()})) AS `{f.name}`"
+            if isinstance(f.dataType, T.NumericType)
+            else f"`{f.name}`"
             for f in df.schema.fields
         ]
     )

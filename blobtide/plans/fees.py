@@ -42,6 +42,18 @@ JOINED_INCLUSION_COLUMNS = [
     "meta_network_name",
     "blob_hashes_length",
 ]
+# What the joined table needs of the inclusion table.
+JOINED_SOURCE_COLUMNS = [
+    "slot",
+    "slot_time",
+    "hash",
+    "from",
+    "fill_percentage",
+    "submission_count",
+    "slot_inclusion_rate",
+    "meta_network_name",
+    "blob_hashes_length",
+]
 JOINED_FEE_COLUMNS = [
     "block_number",
     "extra_data",
@@ -155,8 +167,9 @@ def inclusion_joined(
 
 def joined_from_inputs(inputs: Inputs, network: str = "mainnet") -> DataFrame:
     """The joined table straight from the inputs, with the inclusion table stored once."""
-    incl = materialize(slot_inclusion(inputs.mempool, inputs.sidecar, network), "inclusion")
-    return inclusion_joined(incl, inputs.txs, inputs.sequencers, network)
+    incl = slot_inclusion(inputs.mempool, inputs.sidecar, network)
+    stored = materialize(incl.select(*JOINED_SOURCE_COLUMNS), "inclusion")
+    return inclusion_joined(stored, inputs.txs, inputs.sequencers, network)
 
 
 def filter_by_sequencer(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from blobtide.functions.columns import SECONDS_PER_SLOT, seconds_between, slots_between
 from blobtide.operators.ordered import ROWS_PER_BLOCK, rolling_mean
-from blobtide.operators.rows import drop_null_rows, explode_list, outlier_filter
+from blobtide.operators.rows import complete, explode_list, outlier_filter
 from blobtide.scratch import materialize
 
 MEAN_COLUMNS = [
@@ -94,8 +94,8 @@ def _sightings_per_tx(mempool: DataFrame) -> DataFrame:
     return mempool.groupBy(*keys).agg(
         F.min("event_date_time").alias("event_date_time_min"),
         F.max("event_date_time").alias("event_date_time_max"),
-        *[F.sum(F.col(c).cast("double")).alias(f"_sum_{c}") for c in MEAN_COLUMNS],
-        *[F.count(c).alias(f"_n_{c}") for c in MEAN_COLUMNS],
+        *[F.expr(f"sum(CAST({c} AS DOUBLE)) AS _sum_{c}") for c in MEAN_COLUMNS],
+        *[F.expr(f"count({c}) AS _n_{c}") for c in MEAN_COLUMNS],
     )
 
 
@@ -109,7 +109,7 @@ def mempool_by_tx(mempool: DataFrame) -> DataFrame:
         "nonce",
         "event_date_time_min",
         "event_date_time_max",
-        *[F.try_divide(f"_sum_{c}", f"_n_{c}").alias(c) for c in MEAN_COLUMNS],
+        *[F.expr(f"try_divide(_sum_{c}, _n_{c}) AS {c}") for c in MEAN_COLUMNS],
     )
 
 
@@ -126,7 +126,7 @@ def mempool_by_nonce(mempool: DataFrame) -> DataFrame:
             F.min("event_date_time_min").alias("event_date_time_min"),
             last,
             *[
-                F.try_divide(F.sum(f"_sum_{c}"), F.sum(f"_n_{c}")).alias(c)
+                F.expr(f"try_divide(sum(_sum_{c}), sum(_n_{c})) AS {c}")
                 for c in MEAN_COLUMNS
             ],
         )
@@ -198,7 +198,7 @@ def inclusion_time(
 
 
 def rolling_inclusion(
-    df: DataFrame, n: int = 50, block_rows: int = ROWS_PER_BLOCK
+    df: DataFrame, n: int = 50, block_rows: int = ROWS_PER_BLOCK, ordered: bool = False
 ) -> DataFrame:
     """Add the mean slot inclusion of the last `n` blobs, NULL until there are `n`."""
     return rolling_mean(
@@ -207,6 +207,7 @@ def rolling_inclusion(
         {"slot_inclusion_rate": "slot_inclusion_rate_50_blob_avg"},
         n=n,
         block_rows=block_rows,
+        ordered=ordered,
     )
 
 
@@ -233,14 +234,18 @@ def slot_inclusion(
     timed = inclusion_time(matched, "slot_inclusion_rate").withColumnRenamed(
         "slot_start_date_time", "slot_time"
     )
-    rolled = rolling_inclusion(timed).withColumn(
+    # Noted before the rows are ordered, so that a reader of a few columns of the result does
+    # not pull all the others through the rolling mean only to test them for NULL.
+    flagged = timed.withColumn("_complete", complete(timed.columns))
+    rolled = rolling_inclusion(flagged, ordered=ordered).withColumn(
         "2_slot_target_inclusion_rate", F.lit(2)
     )
-    kept = drop_null_rows(rolled.select(*INCLUSION_COLUMNS)).where(
-        F.col("meta_network_name") == network
+    kept = rolled.where(
+        F.col("_complete")
+        & F.col("slot_inclusion_rate_50_blob_avg").isNotNull()
+        & (F.col("meta_network_name") == network)
     )
-    result = outlier_filter(kept, "slot_inclusion_rate", max_rate)
-    return result.orderBy(*INCLUSION_ORDER) if ordered else result
+    return outlier_filter(kept, "slot_inclusion_rate", max_rate).select(*INCLUSION_COLUMNS)
 
 
 def process_rollup(

@@ -40,6 +40,14 @@ def test_rolling_mean_equals_one_global_window(
         assert means[i] == (None if expected is None else pytest.approx(expected))
 
 
+def test_ordered_rolling_mean_leaves_rows_in_order(spark, many_partitions):
+    df = rolling_mean(
+        frame(spark, [1.0] * 500), ["id"], {"v": "mean"}, 5, block_rows=40, ordered=True
+    )
+    assert df.rdd.getNumPartitions() > 1
+    assert [r.id for r in df.collect()] == list(range(500))
+
+
 def test_pieces_follow_the_order_when_one_time_holds_most_rows(spark, many_partitions):
     # 90% of the rows share the first order column; the second tells them apart
     df = spark.range(2000).select(

@@ -111,11 +111,6 @@ class Tables:
             inclusion.explode_blobs(self.counted), self.sidecar
         )
 
-    @cached_property
-    def incl(self) -> DataFrame:
-        """The inclusion table, stored for the queries that read it twice."""
-        return materialize(inclusion.slot_inclusion(self.mempool, self.sidecar), "inclusion")
-
     @cached_property
     def joined(self) -> DataFrame:
         bundle = inputs.Inputs(self.mempool, self.sidecar, self.raw.txs, self.raw.sequencers)
