@@ -73,7 +73,7 @@ def small_table(df: DataFrame, max_rows: int) -> DataFrame:
     A local relation carries its exact size, so joins with it are broadcast by Spark's own
     threshold. A larger frame is returned unchanged and is joined by a shuffle.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
     return df.sparkSession.createDataFrame(rows, df.schema)

@@ -12,6 +12,8 @@ RUNTIME_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Lets small shuffles keep all cores busy; large ones are sized by the advisory size anyway.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join even where a distinct or group-by above it must then shuffle again.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",

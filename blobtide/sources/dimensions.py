@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from blobtide.schemas import SEQUENCERS
@@ -40,8 +41,9 @@ def sequencer_dim(
 ) -> DataFrame:
     """Dimension frame from a dict of equally long columns.
 
-    It is a local relation with an exact size, so Spark broadcasts it by its own threshold.
+    Made from an Arrow table it is a local relation with an exact size, so Spark broadcasts it
+    by its own threshold. A list of rows would become an RDD of unknown size.
     """
     mapping = ROLLUP_SEQUENCERS if mapping is None else mapping
-    columns = [mapping[name] for name in SEQUENCERS.fieldNames()]
-    return spark.createDataFrame(list(zip(*columns, strict=True)), SEQUENCERS)
+    table = pa.table({name: mapping[name] for name in SEQUENCERS.fieldNames()})
+    return spark.createDataFrame(table, SEQUENCERS)

@@ -55,5 +55,6 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     Builder texts may hold line breaks, so a file is read whole; the export writes one file per
     task.
     """
-    options = {**_CSV_OPTIONS, "multiLine": True}
+    # an unquoted empty field reads as the null marker, a quoted one as an empty string
+    options = {**_CSV_OPTIONS, "multiLine": True, "nullValue": "\u0000"}
     return spark.read.schema(schema).options(**options).csv(path)

@@ -18,6 +18,8 @@ def spark(tmp_path_factory):
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "6g",
+            "spark.sql.maxMetadataStringLength": "10000",
+            "spark.sql.debug.maxToStringFields": "1000",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
         },
     )
