@@ -49,6 +49,15 @@ def explode_list(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.explode_outer(column))
 
 
+def sort_rows(df: DataFrame, *leading: Column) -> DataFrame:
+    """Global sort by the leading columns, then by all columns.
+
+    Many rows may share the leading columns; the others let the range partitioning of the sort
+    split them over several tasks.
+    """
+    return df.orderBy(*leading, *[quoted(c) for c in df.columns])
+
+
 def latest_per_key(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The row with the highest version of each key.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from blobtide.functions.columns import gwei
 from blobtide.operators.distributions import box_stats, density, density_2d, histogram
-from blobtide.operators.rows import drop_null_rows, outlier_filter
+from blobtide.operators.rows import drop_null_rows, outlier_filter, sort_rows
 from blobtide.plans.propagation import DELAY, split_reorged
 
 
@@ -32,10 +32,9 @@ def premium_scatter_data(
     filtered: DataFrame, names: Sequence[str], max_rate: float = 100
 ) -> DataFrame:
     """Bid premium against inclusion rate."""
-    return (
-        outlier_filter(_of(filtered, names), "slot_inclusion_rate", max_rate)
-        .select("slot_inclusion_rate", "priority_fee_bid_percent_premium", "sequencer_names")
-        .orderBy("slot_inclusion_rate")
+    rows = outlier_filter(_of(filtered, names), "slot_inclusion_rate", max_rate)
+    return sort_rows(rows, F.col("slot_inclusion_rate")).select(
+        "slot_inclusion_rate", "priority_fee_bid_percent_premium", "sequencer_names"
     )
 
 
@@ -78,12 +77,14 @@ def fees_vs_inclusion(block_aggs: DataFrame) -> DataFrame:
 
 def inclusion_table(filtered: DataFrame, names: Sequence[str]) -> DataFrame:
     """Complete rows, slowest inclusion first."""
-    return drop_null_rows(_of(filtered, names)).orderBy(F.col("slot_inclusion_rate").desc())
+    rows = drop_null_rows(_of(filtered, names))
+    return sort_rows(rows, F.col("slot_inclusion_rate").desc())
 
 
 def rollup_inclusion_scatter(rollup_incl: DataFrame) -> DataFrame:
-    return rollup_incl.select("slot_start_date_time", "num_block_inclusion").orderBy(
-        "num_block_inclusion"
+    """Slots waited over slot time."""
+    return sort_rows(rollup_incl, F.col("num_block_inclusion")).select(
+        "slot_start_date_time", "num_block_inclusion"
     )
 
 

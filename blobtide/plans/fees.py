@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from blobtide.functions.columns import builder_label as label_of
 from blobtide.functions.columns import fee_columns
-from blobtide.operators.rows import drop_null_rows, outlier_filter
+from blobtide.operators.rows import drop_null_rows, outlier_filter, sort_rows
 from blobtide.scratch import materialize
 from blobtide.sources.inputs import Inputs
 from blobtide.sources.scans import scan_txs
@@ -100,7 +100,7 @@ def slot_gas_bidding(
 ) -> DataFrame:
     """Fees, bid premium and builder per transaction and inclusion rate (14 columns)."""
     result = _bids(incl, txs, GAS_BIDDING_COLUMNS, network)
-    return result.orderBy("block_number") if ordered else result
+    return sort_rows(result, F.col("block_number")) if ordered else result
 
 
 def _median_and_mean(
@@ -179,7 +179,7 @@ def filter_by_sequencer(
     result = joined.where(
         F.col("sequencer_names").isin(list(names)) & (F.col("meta_network_name") == network)
     ).distinct()
-    return result.orderBy("slot") if ordered else result
+    return sort_rows(result, F.col("slot")) if ordered else result
 
 
 def slot_gas_groupby(filtered: DataFrame, ordered: bool = False) -> DataFrame:

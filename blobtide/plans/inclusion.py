@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from blobtide.functions.columns import SECONDS_PER_SLOT, seconds_between, slots_between
 from blobtide.operators.ordered import ROWS_PER_BLOCK, rolling_mean
-from blobtide.operators.rows import complete, explode_list, outlier_filter
+from blobtide.operators.rows import complete, explode_list, outlier_filter, sort_rows
 from blobtide.scratch import materialize
 
 MEAN_COLUMNS = [
@@ -266,4 +266,4 @@ def process_rollup(
     collapsed = materialize(mempool_by_tx(sent), "rollup")
     blobs = explode_blobs(submission_count(collapsed)).drop("event_date_time_max")
     result = inclusion_time(mempool_sidecar_join(blobs, sidecar), "num_block_inclusion")
-    return result.orderBy(F.col("slot").asc_nulls_first()) if ordered else result
+    return sort_rows(result, F.col("slot")) if ordered else result
