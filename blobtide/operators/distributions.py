@@ -12,13 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blobtide.operators.quantiles import exact_quantiles, value_counts
+from blobtide.operators.quantiles import MAX_LOCAL_GROUPS, exact_quantiles, value_counts
 from blobtide.operators.rows import small_table
 from blobtide.scratch import materialize
 
-# Above this many groups the per-group ranges are joined by a shuffle, not broadcast.
-MAX_LOCAL_GROUPS = 1000
-
 
 def cell_index(value: Column, lo: Column, hi: Column, cells: int) -> Column:
     """0-based equal-width cell of `value` in [lo, hi]; the top edge is in the last cell."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from blobtide.functions.columns import builder_label as label_of
 from blobtide.functions.columns import fee_columns
+from blobtide.operators.joins import splittable_join
 from blobtide.operators.rows import drop_null_rows, outlier_filter, sort_rows
 from blobtide.scratch import materialize
 from blobtide.sources.inputs import Inputs
@@ -84,12 +85,12 @@ def _bids(
 
     The blobs of one transaction are reduced to distinct rows before the join, so a transaction
     with many rows does not weigh on it. Rows without a fee record would be dropped as NULL
-    rows, hence the inner join. The distinct on top reuses the join's partitioning on `hash`.
+    rows, hence the inner join.
     """
     blobs = incl.where(F.col("meta_network_name") == network).select(
         "hash", "from", "meta_network_name", "slot_inclusion_rate", "submission_count"
     )
-    paid = blobs.distinct().join(scan_txs(txs).distinct(), "hash")
+    paid = splittable_join(blobs.distinct(), scan_txs(txs).distinct(), ["hash"])
     return drop_null_rows(
         builder_label(fee_breakdown(paid)).select(*columns).distinct()
     )
@@ -162,7 +163,7 @@ def inclusion_joined(
     """
     blobs = inclusion_with_rollup(incl, dim).select(*JOINED_INCLUSION_COLUMNS)
     bids = slot_gas_bidding(incl, txs, network).select(*JOINED_FEE_COLUMNS)
-    return blobs.join(bids, "hash", "left")
+    return splittable_join(blobs, bids, ["hash"], "left")
 
 
 def joined_from_inputs(inputs: Inputs, network: str = "mainnet") -> DataFrame:

@@ -150,11 +150,13 @@ def submission_count(collapsed: DataFrame) -> DataFrame:
     often repeated list into one task. `collapsed` is read twice, so pass a stored frame when
     it is costly.
     """
-    # a missing list is a key of its own, told apart from an empty one
-    key = F.coalesce("versioned_hash", F.array(F.lit("missing")))
-    keyed = collapsed.withColumn("_list", key)
-    counts = keyed.groupBy("_list").agg(F.count(F.lit(1)).alias("submission_count"))
-    return keyed.join(counts, "_list").drop("_list")
+    counts = collapsed.groupBy(F.col("versioned_hash").alias("_list")).agg(
+        F.count(F.lit(1)).alias("submission_count")
+    )
+    # A missing list is a key of its own. The null-safe comparison also gives the counts a
+    # shuffle of their own, without which a skewed list could not be split (see joins.py).
+    same_list = F.col("versioned_hash").eqNullSafe(F.col("_list"))
+    return collapsed.join(counts, same_list).drop("_list")
 
 
 def explode_blobs(collapsed: DataFrame) -> DataFrame:

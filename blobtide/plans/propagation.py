@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blobtide.functions.columns import milliseconds_between
+from blobtide.operators.joins import splittable_join
 from blobtide.operators.ordered import rolling_mean
 from blobtide.operators.rows import fill_numeric_nulls, split_labels
 from blobtide.sources.scans import scan_sidecar_events
@@ -91,10 +92,14 @@ def block_sidecar_joined(
     sightings, blocks, sidecars = (
         fill_numeric_nulls(side).distinct() for side in (sightings, blocks, sidecars)
     )
-    blobs = fill_numeric_nulls(spread.drop("min_slot_start_date_time")).join(
-        sidecars, ["kzg_commitment", CLIENT], "left"
+    blobs = splittable_join(
+        fill_numeric_nulls(spread.drop("min_slot_start_date_time")),
+        sidecars,
+        ["kzg_commitment", CLIENT],
+        "left",
     )
-    joined = sightings.join(blocks, "slot", "left").join(blobs, ["slot", CLIENT], "left")
+    seen = splittable_join(sightings, blocks, ["slot"], "left")
+    joined = splittable_join(seen, blobs, ["slot", CLIENT], "left")
     return fill_numeric_nulls(joined).withColumn(
         "max_blob_index", F.col("max_blob_index") + 1
     )

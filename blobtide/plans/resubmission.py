@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blobtide.functions.columns import gwei, joined_list, mean_timestamp
+from blobtide.operators.joins import splittable_join
 from blobtide.operators.rows import small_table, sort_rows
 
 # More lists than this under one nonce are joined by a shuffle, not broadcast.
@@ -120,7 +121,9 @@ def followup_by_nonce(mempool: DataFrame, counts: DataFrame, nonce: int) -> Data
     lists = small_table(
         counts.where(F.col("nonce") == nonce).select("blob_hashes"), MAX_LOCAL_LISTS
     )
-    sightings = _with_joined_list(mempool).join(lists, "blob_hashes", "left_semi")
+    sightings = splittable_join(
+        _with_joined_list(mempool), lists, ["blob_hashes"], "left_semi"
+    )
     return sort_rows(sightings, F.col("event_date_time"))
 
 

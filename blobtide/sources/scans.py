@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blobtide.functions.columns import fill_percentage, list_length
+from blobtide.operators.joins import splittable_join
 from blobtide.operators.rows import latest_per_key
 
 SIDECAR_COLUMNS = [
@@ -176,4 +177,4 @@ def scan_txs(txs: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
     rows = txs.select(*TX_COLUMNS)
     if hashes is None:
         return rows
-    return rows.join(hashes.select("hash").distinct(), "hash", "left_semi")
+    return splittable_join(rows, hashes.select("hash").distinct(), ["hash"], "left_semi")
