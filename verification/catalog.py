@@ -546,7 +546,7 @@ CHECKS: dict[str, Check] = {
         """SELECT *, sum(base_fees_per_block_eth) OVER w AS "base fee",
                   sum(priority_fees_per_block_eth) OVER w AS "priority fee"
            FROM block_aggs WINDOW w AS (ORDER BY slot_time ROWS UNBOUNDED PRECEDING)""",
-        {**BLOCKS, "base fee": 6, "priority fee": 6},
+        {**BLOCKS, "base fee": 9, "priority fee": 9},
     ),
     "rollup_macro": Check(
         lambda t: rollups.rollup_macro(t.joined),
