@@ -20,6 +20,9 @@ RUNTIME_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+# Settings fixed when the session starts: room for the generated code of many wide queries.
+STATIC_CONF = {"spark.sql.codegen.cache.maxEntries": "1000"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the library's runtime settings to an existing session."""
@@ -38,6 +41,6 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**STATIC_CONF, **RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
