@@ -172,7 +172,13 @@ def txs_frame(spark, *rows):
 def test_bids_are_distinct_per_transaction_and_complete(spark, many_partitions):
     incl = incl_frame(
         spark,
-        [("0xa", "0xS", 3.0, 1), ("0xa", "0xS", 3.0, 1), ("0xa", "0xS", 4.0, 1), ("0xb", "0xS", 3.0, 1), ("0xc", "0xS", 3.0, 1)],
+        [
+            ("0xa", "0xS", 3.0, 1),
+            ("0xa", "0xS", 3.0, 1),
+            ("0xa", "0xS", 4.0, 1),
+            ("0xb", "0xS", 3.0, 1),
+            ("0xc", "0xS", 3.0, 1),
+        ],
     )
     txs = txs_frame(
         spark,

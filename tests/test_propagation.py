@@ -35,7 +35,10 @@ def joined(spark):
         T0 + timedelta(hours=1),
     )
     sidecars = spark.createDataFrame(
-        [(1, T0, "0xb1", "k0", "teku", 0, "v0", 131072, 7), (1, T0, "0xb1", "k1", "prysm", 1, "v1", 131072, 7)],
+        [
+            (1, T0, "0xb1", "k0", "teku", 0, "v0", 131072, 7),
+            (1, T0, "0xb1", "k1", "prysm", 1, "v1", 131072, 7),
+        ],
         "slot long, slot_start_date_time timestamp_ntz, block_root string, kzg_commitment string,"
         " meta_consensus_implementation string, blob_index long, versioned_hash string,"
         " blob_size long, blob_empty_size long",
