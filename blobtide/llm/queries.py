@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blobtide.llm import decontamination
+from blobtide.llm import decontamination, near_duplicates
 from blobtide.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,30 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
 """
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+QUERIES["op9_near_duplicates"] = op9_near_duplicates
+ORACLE_SQL["op9_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+sets AS (SELECT s, list_sort(s) AS t, doc_id FROM s),
+g AS (SELECT t, min(doc_id) AS node, len(any_value(s)) AS n FROM sets WHERE len(t) > 0 GROUP BY t),
+x AS (SELECT node, n, unnest(t) AS sh FROM g),
+rare AS (SELECT sh, count(*) AS df FROM x GROUP BY sh HAVING count(*) > 1),
+p AS (SELECT x.*, row_number() OVER (PARTITION BY node ORDER BY coalesce(df, 1), sh) AS r FROM x LEFT JOIN rare USING (sh)),
+c AS (SELECT DISTINCT a.node AS u, b.node AS v FROM (SELECT * FROM p WHERE 100 * (r - 1) <= 20 * n) a
+      JOIN (SELECT * FROM p WHERE 100 * (r - 1) <= 20 * n) b ON a.sh = b.sh AND a.node > b.node AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n),
+e AS (SELECT u, v FROM c JOIN g a ON a.node = u JOIN g b ON b.node = v
+      WHERE 100 * len(list_intersect(a.t, b.t)) >= 80 * (a.n + b.n - len(list_intersect(a.t, b.t)))),
+both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+reach(node, top) AS (SELECT node, node FROM g UNION SELECT both_ways.v, reach.top FROM reach JOIN both_ways ON both_ways.u = reach.node WHERE reach.top < both_ways.v),
+comp AS (SELECT node, min(top) AS component_id FROM reach GROUP BY node)
+SELECT sets.doc_id, len(sets.t)::BIGINT AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id,
+       coalesce(component_id, sets.doc_id) = sets.doc_id AS kept
+FROM sets LEFT JOIN g ON sets.t = g.t LEFT JOIN comp USING (node)
+"""
