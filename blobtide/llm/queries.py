@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blobtide.llm import decontamination, near_duplicates
+from blobtide.llm import decontamination, near_duplicates, toxicity
 from blobtide.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,10 @@ SELECT sets.doc_id, len(sets.t)::BIGINT AS n_shingles, coalesce(component_id, se
        coalesce(component_id, sets.doc_id) = sets.doc_id AS kept
 FROM sets LEFT JOIN g ON sets.t = g.t LEFT JOIN comp USING (node)
 """
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES["op5_toxicity"] = op5_toxicity
