@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blobtide.llm import decontamination, near_duplicates, quality, token_counts, toxicity
+from blobtide.llm import decontamination, near_duplicates, quality, secrets, spans, token_counts, toxicity
 from blobtide.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_token_counts"] = op3_token_counts
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return found.select(
+        "doc_id",
+        *[spans.count("spans", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        spans.base_digest("spans").alias("base_sha256"),
+        spans.listed(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES["op1_secrets"] = op1_secrets
