@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blobtide.llm import decontamination, near_duplicates, quality, secrets, spans, token_counts, toxicity
+from blobtide.llm import decontamination, near_duplicates, personal_data, quality, secrets, spans, token_counts, toxicity
 from blobtide.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,16 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_secrets"] = op1_secrets
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_data(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[spans.count("spans", kind).alias(f"n_{kind}") for kind in personal_data.KINDS],
+        spans.base_digest("spans").alias("base_sha256"),
+        spans.listed(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES["op4_personal_data"] = op4_personal_data
