@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blobtide.llm import decontamination, near_duplicates, personal_data, quality, secrets, spans, token_counts, toxicity
+from blobtide.llm import decontamination, near_duplicates, personal_data, pieces, quality, secrets, spans, token_counts, toxicity
 from blobtide.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,17 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_personal_data"] = op4_personal_data
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(read(spark, sf_dir, "documents"), model, seed=17, rate=0.1), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
+QUERIES["op6_pieces"] = op6_pieces
