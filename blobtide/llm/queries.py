@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blobtide.llm import decontamination, near_duplicates, personal_data, pieces, quality, secrets, spans, token_counts, toxicity
+from blobtide.llm import decontamination, near_duplicates, personal_data, pieces, quality, quality_rules, secrets, spans, token_counts, toxicity
 from blobtide.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_pieces"] = op6_pieces
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_quality_rules"] = op10_quality_rules
