@@ -3,8 +3,9 @@
 1. One pass turns each text into the size of its set of word shingles, a 128-bit hash of the set
    and a MinHash signature. Texts with equal sets collapse to one node before anything is paired.
 2. Bands of signature rows propose candidates. Within a bucket each node is first paired only with
-   the bucket's smallest node; buckets that this leaves in several components get a second round
-   around another node, and only what is then still unconnected is compared across components.
+   the bucket's smallest node. Buckets that this leaves in several components are searched across
+   components in blocks of at most about `BLOCK` nodes: a task compares the signatures and sets of two
+   blocks as arrays and emits only links, and a pair is looked at only in the first bucket it shares.
 3. A candidate's signatures are compared in batches. After each, a pair whose posterior probability
    of reaching the threshold is below `MISS` is dropped. Survivors are confirmed on the full sets.
 4. Confirmed links are joined to connected components.
@@ -31,6 +32,9 @@ BANDS = 32
 ROWS = 5  # a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6
 HASHES = BANDS * ROWS
 BATCH = 32  # signature entries per verification step
+BLOCK = 2_000  # nodes of a bucket that one task holds on either side
+# A list of at most so many ids (about 50 MB in memory) is broadcast to pick texts; a longer one is shuffled.
+BROADCAST_IDS = 1_000_000
 MISS = 1e-6  # posterior probability of a link below which a candidate is dropped
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
@@ -158,6 +162,13 @@ class _Search:
     def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, percent: int):
         self.docs, self.nodes, self.k, self.percent = docs, nodes, k, percent
 
+    def _texts(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, text) of the ids in the one column of `ids`."""
+        ids = ids.distinct()
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        return self.docs.join(ids, "doc_id", "left_semi")
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Links (u, v) among candidate pairs (u, v)."""
         marked = self.nodes.select(F.col("node").alias("u"), F.col("signature").alias("su"))
@@ -170,7 +181,7 @@ class _Search:
             .select("u", "v"),
             "likely",
         )
-        texts = self.docs.filter(F.col("doc_id").isNotNull())
+        texts = self._texts(likely.select(F.col("u").alias("doc_id")).union(likely.select("v")))
         return stored(
             likely.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
             .join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
@@ -182,66 +193,117 @@ class _Search:
 
     def links(self) -> DataFrame:
         """Links that connect all documents connected by links."""
-        band = F.explode(
-            F.array(
-                *[
-                    F.xxhash64(F.lit(i), F.substring("signature", 4 * ROWS * i + 1, 4 * ROWS))
-                    for i in range(BANDS)
-                ]
-            )
+        band = F.array(
+            *[F.xxhash64(F.lit(i), F.substring("signature", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]
         )
-        rows = self.nodes.select("node", band.alias("bucket"))
+        rows = self.nodes.select("node", F.posexplode(band).alias("band", "bucket"))
         shared = (
             rows.groupBy("bucket")
             .agg(F.min("node").alias("first"), F.max("node").alias("last"))
             .filter(F.col("first") != F.col("last"))
+            .select("bucket", "first")
         )
         members = stored(rows.join(shared, "bucket"), "bucket-members")
         found = self.confirmed(
             members.filter(F.col("node") != F.col("first")).select(F.col("node").alias("u"), F.col("first").alias("v"))
         )
-        # Buckets that are still in several components: a star around the member that is last.
-        split = self._split(members, found)
-        if split.isEmpty():
-            return found
-        second = self.confirmed(
-            split.filter((F.col("node") != F.col("last")) & (F.col("node") != F.col("first"))
-                         & (F.col("component") != F.col("component_of_last")))
-            .select(F.col("last").alias("u"), F.col("node").alias("v"))
-        )
-        found = found.unionByName(second)
         split = self._split(members, found)
         if split.isEmpty():
             return found
-        # What is left: pairs of different components that neither star has tried.
-        left, right = (
-            split.filter((F.col("node") != F.col("first")) & (F.col("node") != F.col("last"))).select(
-                "bucket", F.col("node").alias(n), F.col("component").alias(f"c{n}")
-            )
-            for n in ("u", "v")
-        )
-        rest = left.join(right, "bucket").filter((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv"))).select("u", "v")
-        return found.unionByName(self.confirmed(rest))
+        return found.unionByName(self.confirmed(self._across(split)))
 
     def _split(self, members: DataFrame, links: DataFrame) -> DataFrame:
-        """Members of buckets that lie in several components, with their components."""
-        groups = components(links)
-        named = join_on(members, groups, ["node"]).withColumn("component", F.coalesce("component", "node"))
-        last = groups.select(F.col("node").alias("last"), F.col("component").alias("component_of_last"))
+        """Members of buckets that lie in several components, with their components and the bucket's size."""
+        named = join_on(members, components(links), ["node"]).withColumn("component", F.coalesce("component", "node"))
         open_buckets = (
             named.groupBy("bucket")
-            .agg(F.min("component").alias("least"), F.max("component").alias("most"))
+            .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
             .filter(F.col("least") != F.col("most"))
-            .select("bucket")
+            .select("bucket", "n")
         )
         return stored(
-            join_on(named.join(open_buckets, "bucket"), last, ["last"]).withColumn(
-                "component_of_last", F.coalesce("component_of_last", "last")
-            ),
-            "open-buckets",
+            named.join(open_buckets, "bucket").select("bucket", "band", "node", "component", "n"), "open-buckets"
+        )
+
+    def _across(self, split: DataFrame) -> DataFrame:
+        """Candidates (u, v) between components of one bucket, by blocks."""
+        texts = self._texts(split.select(F.col("node").alias("doc_id")))
+        sets = texts.select(F.col("doc_id").alias("node"), _short_set(self.k)("text").alias("shingles"))
+        held = sets.join(self.nodes.select("node", "signature"), "node")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        own = F.pmod(F.hash("node"), blocks)
+        dealt = split.select("bucket", "band", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        return (
+            dealt.select("bucket", "band", "node", "component", "own",
+                         F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+            .join(held, "node")
+            .groupBy("bucket", "p", "q")
+            .applyInArrow(_compare_blocks(self.percent), "u bigint, v bigint")
         )
 
 
+def _short_set(k: int):
+    """Column function: text to the sorted distinct 32-bit shingle hashes, as bytes."""
+
+    @F.arrow_udf("binary")
+    def short(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = [
+                np.unique((shingles >> np.uint64(32)).astype(np.uint32)).tobytes()
+                for data, offsets in W.slices(batch)
+                for shingles in shingle_sets(W.words_of(data, offsets, W.NOT_SPACE, W.LOWER), k)
+            ]
+            yield pa.array(out, pa.binary())
+
+    return short
+
+
+def _compare_blocks(percent: int):
+    least = least_matches(percent)
+
+    def compare(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        component = table.column("component").to_numpy()
+        own = table.column("own").to_numpy()
+        band, p, q = (table.column(c)[0].as_py() for c in ("band", "p", "q"))
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(node), HASHES)
+        sets = [np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        rows = signature.reshape(len(node), BANDS, ROWS)
+        left = np.flatnonzero(own == p)
+        right = left if p == q else np.flatnonzero(own == q)
+        us, vs = [], []
+        for at in range(0, len(left), 64):
+            part = left[at : at + 64]
+            open_ = component[part, None] != component[None, right]
+            open_ &= 100 * np.minimum(size[part, None], size[None, right]) + 300 >= percent * np.maximum(size[part, None], size[None, right])
+            if p == q:
+                open_ &= part[:, None] < right[None, :]
+            i, j = np.nonzero(open_)
+            i, j = part[i], right[j]
+            for b in range(band):  # a pair is looked at in the first bucket it shares
+                fresh = (rows[i, b] != rows[j, b]).any(axis=1)
+                i, j = i[fresh], j[fresh]
+            matches = np.zeros(len(i), np.int64)
+            for step, needed in enumerate(least):
+                batch = slice(step * BATCH, (step + 1) * BATCH)
+                matches = matches + (signature[i, batch] == signature[j, batch]).sum(axis=1)
+                alive = matches >= needed
+                i, j, matches = i[alive], j[alive], matches[alive]
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                a, b = sets[x], sets[y]
+                found = np.searchsorted(a, b)
+                found[found == len(a)] = 0
+                both = int((a[found] == b).sum())
+                # two to spare for equal short hashes; the texts are compared afterwards
+                if 100 * (both + 2) >= percent * (len(a) + len(b) - both - 2):
+                    us.append(max(node[x], node[y]))
+                    vs.append(min(node[x], node[y]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return compare
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
 ) -> DataFrame:
