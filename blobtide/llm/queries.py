@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blobtide.llm import decontamination, near_duplicates, personal_data, pieces, quality, quality_rules, secrets, spans, token_counts, toxicity
+from blobtide.llm import decontamination, line_dedup, near_duplicates, personal_data, pieces, quality, quality_rules, secrets, spans, token_counts, toxicity
 from blobtide.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_quality_rules"] = op10_quality_rules
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), report="lines")
+    return cleaned.select(
+        "doc_id", "lines.n_lines", "lines.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    )
+
+
+QUERIES["op2_line_dedup"] = op2_line_dedup
+_LINES = r"""
+lines AS (SELECT doc_id, pos, line, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM {docs} WHERE text IS NOT NULL)),
+tokens AS (SELECT doc_id, pos, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS t FROM lines WHERE len(w) > 0),
+lead AS (SELECT t, len(t) AS n, min({{'d': doc_id, 'p': pos}}) AS first FROM tokens GROUP BY t),
+flat AS (SELECT first, n, unnest(t) AS tok FROM lead),
+near AS (SELECT DISTINCT x.first AS first FROM flat x JOIN flat y ON x.tok = y.tok AND y.first < x.first AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n
+         GROUP BY x.first, x.n, y.first, y.n HAVING 5 * count(*) >= 4 * (x.n + y.n - count(*))),
+gone AS (SELECT doc_id, pos FROM tokens JOIN lead USING (t) WHERE first.d <> doc_id OR first.p <> pos
+         UNION SELECT first.d, first.p FROM near),
+cleaned AS (SELECT doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed,
+              coalesce(string_agg(CASE WHEN gone.pos IS NULL THEN line END, chr(10) ORDER BY pos), '') AS text
+            FROM lines LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+"""
+ORACLE_SQL["op2_line_dedup"] = f"""
+WITH {_LINES.format(docs='documents')}
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(c.text, '')) AS text_sha256
+FROM documents d LEFT JOIN cleaned c USING (doc_id)
+"""
