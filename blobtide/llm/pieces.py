@@ -1,19 +1,19 @@
 """SentencePiece encoding with seeded merge dropout, and its inverse.
 
 A merge-type model encodes by taking the best-scored merge of two neighbours from an agenda until none
-is left. Here a candidate that comes up is skipped for good if a keyed hash of (seed, variant, unit,
-place, merged piece) falls below the dropout rate, so a text gets varied segmentations that are the same
-in every run and on every executor. The variant of a unit (a word with the space before it) is a keyed
-hash of the document and the unit's place in it, one of `VARIANTS`; with rate 0 the result is the library's own encoding.
-
-No piece of such a model has a space behind another sign, so merges never cross units and each unit can be
-encoded alone. Signs outside the vocabulary become byte pieces, and so does a literal U+2581, the sign
-that stands for a space: that keeps decoding lossless for every text.
+is left. Here a candidate that comes up is skipped for good if a keyed hash of (seed, document, unit,
+place, merged piece) falls below the dropout rate, so texts get varied segmentations that are the same in
+every run and on every executor; with rate 0 the result is the library's own encoding.
+
+No piece of such a model has a space behind another sign, so merges never cross units (a word with the
+spaces before it), and all units of a batch are merged side by side as rows of arrays: each round takes the best
+candidate of every unit's agenda. Units of more than `WIDEST` signs use a heap of their own. Signs outside the
+vocabulary become byte pieces, and so does a literal U+2581, the sign that stands for a space: that keeps
+decoding lossless for every text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -21,7 +21,6 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,165 +28,265 @@ from blobtide.llm import words as W
 from blobtide.llm.tables import two_columns
 
 SPACE = "▁"
-VARIANTS = 8  # segmentations that one unit can have under one seed and rate
-SHORT = 24  # signs up to which a unit is merged without a heap
-MOST_CACHED = 300_000  # encoded units kept per worker; the result does not depend on it
+WIDTHS = (8, 16, 32)  # units are merged in groups of at most so many signs
+WIDEST = WIDTHS[-1]
+ROWS = 20_000  # units merged side by side
+
+_NONE = np.float32("-inf")
+
+
+class Pairs:
+    """Exact lookup (left, right) -> (merged piece, score) in hashed tables; a taken slot sends a pair to the next."""
+
+    def __init__(self, keys: np.ndarray, merged: np.ndarray, scores: np.ndarray):
+        self.levels = []
+        while len(keys):
+            bits = int(8 * len(keys)).bit_length()
+            slot = self._slot(keys, bits, len(self.levels))
+            _, kept = np.unique(slot, return_index=True)
+            table = [np.full(1 << bits, fill, kind) for fill, kind in ((-1, np.int64), (-1, np.int32), (_NONE, np.float32))]
+            for values, column in zip(table, (keys, merged, scores), strict=True):
+                values[slot[kept]] = column[kept]
+            self.levels.append((bits, *table))
+            left = np.ones(len(keys), bool)
+            left[kept] = False
+            keys, merged, scores = keys[left], merged[left], scores[left]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int, level: int) -> np.ndarray:
+        factor = np.uint64(0x9E3779B97F4A7C15 + 2 * level)
+        return ((keys.astype(np.uint64) * factor) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = (left.astype(np.int64) << 21) | right.astype(np.int64)
+        keys[(left < 0) | (right < 0)] = -2
+        merged, scores = np.full(len(keys), -1, np.int32), np.full(len(keys), _NONE, np.float32)
+        open_ = None
+        for level, (bits, table, pieces, values) in enumerate(self.levels):
+            now = keys if open_ is None else keys[open_]
+            slot = self._slot(now, bits, level)
+            found = table[slot]
+            hit = found == now
+            if open_ is None:
+                merged[hit], scores[hit] = pieces[slot[hit]], values[slot[hit]]
+                open_ = np.flatnonzero(~hit & (found >= 0))
+            else:
+                merged[open_[hit]], scores[open_[hit]] = pieces[slot[hit]], values[slot[hit]]
+                open_ = open_[~hit & (found >= 0)]
+            if not len(open_):
+                break
+        return merged, scores
 
-_NONE = float("-inf")
-_ALL_BITS = (1 << 64) - 1
-_UNIT = re.compile(r" *[^ ]+| +")
+
+def _skipped(keys: np.ndarray, places: np.ndarray, merged: np.ndarray, rate: float) -> np.ndarray:
+    """Keyed hash of candidates, by their unit, place and merged piece, against the rate."""
+    h = W.mix(keys ^ (places.astype(np.uint64) << np.uint64(32)) ^ merged.astype(np.uint64))
+    return h < np.uint64(min(int(rate * (1 << 64)), (1 << 64) - 1))
 
 
 class Vocabulary:
-    """Pieces and scores of a model file; merging is done here."""
+    """Pieces and scores of a model file; merging is done here. Signs outside it are `size` + code point."""
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.size = model.get_piece_size()
-        self.pieces = [model.id_to_piece(i) for i in range(self.size)]
-        self.byte_of = {i: int(self.pieces[i][3:5], 16) for i in range(self.size) if model.is_byte(i)}
-        self.byte_id = {b: i for i, b in self.byte_of.items()}
-        plain = [
-            i for i in range(self.size)
+        self.size = size = model.get_piece_size()
+        pieces = [model.id_to_piece(i) for i in range(size)]
+        ids = {
+            pieces[i]: i for i in range(size)
             if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
-        ]
-        self.ids = {self.pieces[i]: i for i in plain}
-        self.scores = {self.pieces[i]: model.get_score(i) for i in plain}
-        self.cache: dict[tuple[str, int], tuple[int, ...]] = {}
-
-    def unit(self, unit: str, variant: int, seed: int, rate: float) -> tuple[int, ...]:
-        """Ids of one unit."""
-        signs: list[str | None] = [SPACE if c == " " else None if c == SPACE else c for c in unit]
-        below = int(rate * (1 << 64))
-        key = xxhash.xxh64_intdigest(f"{variant}:{unit}", seed) if below else 0
-        parts = self._short(signs, key, below) if len(signs) <= SHORT else self._long(signs, key, below)
-        out: list[int] = []
-        for sign in parts:
-            found = self.ids.get(sign) if sign is not None else None
-            if found is None:
-                out += [self.byte_id[b] for b in (SPACE if sign is None else sign).encode("utf-8", "surrogatepass")]
-            else:
-                out.append(found)
-        return tuple(out)
-
-    def _skipped(self, key: int, place: int, both: str, below: int) -> bool:
-        """Keyed hash of a candidate, by its place and merged piece, against the rate."""
-        h = (key ^ (self.ids[both] * 0x9E3779B97F4A7C15) ^ (place * 0xC2B2AE3D27D4EB4F)) & _ALL_BITS
-        h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & _ALL_BITS
-        return (((h ^ (h >> 29)) * 0x94D049BB133111EB) & _ALL_BITS) < below
-
-    def _short(self, signs: list[str | None], key: int, below: int) -> list[str | None]:
-        """Merging by looking through all candidates each time, for few signs."""
-        scores = self.scores
-        places = list(range(len(signs)))
-
-        def score(a, b):
-            return scores.get(a + b, _NONE) if a is not None and b is not None else _NONE
-
-        agenda = [score(a, b) for a, b in zip(signs, signs[1:], strict=False)]
-        while agenda:
-            best = max(agenda)
-            if best == _NONE:
-                break
-            i = agenda.index(best)
-            both = signs[i] + signs[i + 1]
-            if below and self._skipped(key, places[i], both, below):
-                agenda[i] = _NONE
+        }
+        self.spelled = [b""] * size
+        self.byte_id = np.zeros(256, np.int32)
+        for i in range(size):
+            if model.is_byte(i):
+                self.spelled[i] = bytes([int(pieces[i][3:5], 16)])
+                self.byte_id[self.spelled[i][0]] = i
+        for piece, i in ids.items():
+            self.spelled[i] = piece.replace(SPACE, " ").encode()
+        self.sign = np.arange(size, size + 0x110000, dtype=np.int32)
+        for piece, i in ids.items():
+            if len(piece) == 1 and piece != SPACE:
+                self.sign[ord(piece)] = i
+        if SPACE in ids:
+            self.sign[ord(" ")] = ids[SPACE]
+        keys, merged, scores = [], [], []
+        known = lambda x: ids.get(x, int(self.sign[ord(x)]) if len(x) == 1 and x != SPACE else -1)
+        for piece, i in ids.items():
+            for cut in range(1, len(piece)):
+                left, right = known(piece[:cut]), known(piece[cut:])
+                if left >= 0 and right >= 0:
+                    keys.append((left << 21) | right)
+                    merged.append(i)
+                    scores.append(model.get_score(i))
+        self.pairs = Pairs(np.array(keys, np.int64), np.array(merged, np.int32), np.array(scores, np.float32))
+
+    def _side_by_side(self, signs: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
+        """Merge the rows of `signs` (-1 beyond a unit's end)."""
+        signs = signs.copy()
+        n, width = signs.shape
+        places = np.tile(np.arange(width, dtype=np.int8), (n, 1))
+        merged, scores = (x.reshape(n, width - 1) for x in self.pairs.find(signs[:, :-1].ravel(), signs[:, 1:].ravel()))
+        out = np.full((n, width), -1, np.int32)
+        rows = np.arange(n)
+        columns = np.arange(width)
+        while True:
+            at = scores.argmax(axis=1)
+            some = scores[np.arange(len(rows)), at] > _NONE
+            if not some.all():
+                out[rows[~some]] = signs[~some]
+                rows, signs, places, merged, scores, at, keys = (x[some] for x in (rows, signs, places, merged, scores, at, keys))
+            if not len(rows):
+                return out
+            line = np.arange(len(rows))
+            piece = merged[line, at]
+            if rate > 0:
+                skip = _skipped(keys, places[line, at], piece, rate)
+                scores[line[skip], at[skip]] = _NONE
+                line, at, piece = line[~skip], at[~skip], piece[~skip]
+            if not len(line):
                 continue
-            signs[i] = both
-            del signs[i + 1], places[i + 1], agenda[i]
-            if i:
-                agenda[i - 1] = score(signs[i - 1], both)
-            if i < len(agenda):
-                agenda[i] = score(both, signs[i + 1])
-        return signs
-
-    def _long(self, signs: list[str | None], key: int, below: int) -> list[str | None]:
-        """The same with a heap and links, for many signs."""
+            # the right neighbour goes, what is behind it moves up
+            source = columns + (columns > at[:, None])
+            source[:, -1] = width - 1
+            moved = np.take_along_axis(signs[line], source, axis=1)
+            moved[:, -1] = -1
+            moved[np.arange(len(line)), at] = piece
+            signs[line] = moved
+            places[line] = np.take_along_axis(places[line], source, axis=1)
+            # the candidate at the place goes too; the two beside it are new
+            shift = columns[:-1] + (columns[:-1] >= at[:, None])
+            last = shift >= width - 1
+            shift[last] = width - 2
+            m, s = np.take_along_axis(merged[line], shift, axis=1), np.take_along_axis(scores[line], shift, axis=1)
+            s[last] = _NONE
+            k = np.arange(len(line))
+            for beside in (at - 1, at):
+                inside = (beside >= 0) & (beside < width - 1)
+                row, column = k[inside], beside[inside]
+                m[row, column], s[row, column] = self.pairs.find(moved[row, column], moved[row, column + 1])
+            merged[line], scores[line] = m, s
+
+    def _alone(self, signs: list[int], key: np.uint64, rate: float) -> list[int]:
+        """The same for one unit of any length, with a heap and links."""
         n = len(signs)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        gone = [False] * n
-
-        def candidate(i: int):
-            j = after[i]
-            if j < 0 or signs[i] is None or signs[j] is None:
-                return None
-            both = signs[i] + signs[j]
-            score = self.scores.get(both)
-            return None if score is None else (-score, i, both)
-
-        agenda = [c for c in map(candidate, range(n)) if c]
+        before, after, gone = list(range(-1, n - 1)), [*range(1, n), -1], [False] * n
+
+        def push(places: list[int]) -> list[tuple]:
+            places = [i for i in places if i >= 0 and after[i] >= 0]
+            if not places:
+                return []
+            merged, scores = self.pairs.find(np.array([signs[i] for i in places]), np.array([signs[after[i]] for i in places]))
+            return [
+                (-float(s), i, int(m), signs[i], signs[after[i]])
+                for i, m, s in zip(places, merged, scores, strict=True) if m >= 0
+            ]
+
+        agenda = push(list(range(n)))
         heapify(agenda)
         while agenda:
-            _, i, both = heappop(agenda)
+            _, i, piece, left, right = heappop(agenda)
             j = after[i]
-            if gone[i] or j < 0 or signs[j] is None or signs[i] + signs[j] != both:
+            if gone[i] or j < 0 or signs[i] != left or signs[j] != right:
                 continue  # one of the two has been merged elsewhere meanwhile
-            if below and self._skipped(key, i, both, below):
+            if rate > 0 and _skipped(np.array([key]), np.array([i]), np.array([piece]), rate)[0]:
                 continue
-            signs[i], gone[j] = both, True
+            signs[i], gone[j] = piece, True
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
-            for k in (before[i], i):
-                c = candidate(k) if k >= 0 else None
-                if c:
-                    heappush(agenda, c)
+            for c in push([before[i], i]):
+                heappush(agenda, c)
         return [s for s, g in zip(signs, gone, strict=True) if not g]
 
-    def encode(self, text: str, document: int, seed: int, rate: float) -> list[int]:
-        if not text:
-            return []
-        units = _UNIT.findall(" " + text)
-        if rate > 0:
-            places = np.arange(len(units), dtype=np.uint64)
-            variants = (W.mix(places + np.uint64(document & (1 << 64) - 1)) % np.uint64(VARIANTS)).tolist()
-        else:
-            variants = [0] * len(units)
-        cache = self.cache
-        if len(cache) > MOST_CACHED:
-            cache.clear()
-        out: list[int] = []
-        for key in zip(units, variants, strict=True):
-            ids = cache.get(key)
-            if ids is None:
-                ids = self.unit(*key, seed, rate)
-                if len(key[0]) < 64:
-                    cache[key] = ids
-            out += ids
-        return out
+    def encode(self, texts: list[str], documents: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): ids of text i are ids[bounds[i]:bounds[i + 1]]."""
+        lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        ends = np.cumsum(lengths)
+        joined = "".join(" " + t for t in texts if t)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(points):
+            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        space = points == 32
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[(ends - lengths)[lengths > 0]] = True
+        starts = np.flatnonzero(begins)
+        sizes = np.diff(np.append(starts, len(points)))
+        text_of = np.searchsorted(ends, starts, side="right")
+        first = np.searchsorted(text_of, np.arange(len(texts)))
+        keys = W.mix(documents[text_of] + (np.arange(len(starts)) - first[text_of]).astype(np.uint64))
+        signs = self.sign[points]
+        padded = np.append(signs, np.full(WIDEST, -1, np.int32))
+        counts = np.empty(len(starts), np.int64)
+        pieces = []  # (units, their places in a flat list of rows)
+        low = 0
+        for width in WIDTHS:
+            group = np.flatnonzero((sizes > low) & (sizes <= width))
+            low = width
+            for at in range(0, len(group), ROWS):
+                units = group[at : at + ROWS]
+                rows = padded[starts[units, None] + np.arange(width)]
+                rows[np.arange(width) >= sizes[units, None]] = -1
+                rows = self._side_by_side(rows, keys[units], rate)
+                counts[units] = (rows >= 0).sum(axis=1)
+                pieces.append((units, rows))
+        for u in np.flatnonzero(sizes > WIDEST).tolist():
+            row = np.array(self._alone(signs[starts[u] : starts[u] + sizes[u]].tolist(), keys[u], rate), np.int32)
+            counts[u] = len(row)
+            pieces.append((np.array([u]), row[None, :]))
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        flat = np.empty(offsets[-1], np.int32)
+        for units, rows in pieces:
+            line, column = np.nonzero(rows >= 0)
+            flat[offsets[units[line]] + column] = rows[line, column]
+        bounds = np.append(offsets[first], offsets[-1])
+        return self._with_bytes(flat, bounds)
+
+    def _with_bytes(self, flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signs outside the vocabulary as byte pieces."""
+        outside = np.flatnonzero(flat >= self.size)
+        if not len(outside):
+            return flat, bounds
+        spelled = [chr(c).encode("utf-8", "surrogatepass") for c in (flat[outside] - self.size).tolist()]
+        width = np.ones(len(flat), np.int64)
+        width[outside] = [len(x) for x in spelled]
+        offsets = np.concatenate([[0], np.cumsum(width)])
+        out = np.repeat(flat, width)
+        where = np.repeat(offsets[outside], width[outside]) + np.concatenate([np.arange(len(x)) for x in spelled])
+        out[where] = self.byte_id[np.frombuffer(b"".join(spelled), np.uint8)]
+        return out, offsets[bounds]
 
     def decode(self, ids: list[int]) -> str:
         """Text of a sequence of ids; unknown ids and control pieces stand for nothing."""
-        parts: list[bytes] = []
-        for i in ids:
-            if i in self.byte_of:
-                parts.append(bytes([self.byte_of[i]]))
-            elif 0 <= i < self.size and self.pieces[i] in self.ids:
-                parts.append(self.pieces[i].replace(SPACE, " ").encode("utf-8"))
-        text = b"".join(parts).decode("utf-8", "replace")
+        spelled, size = self.spelled, self.size
+        text = b"".join([spelled[i] for i in ids if 0 <= i < size]).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
-@lru_cache(4)
-def _vocabulary(path: str, seed: int, rate: float) -> Vocabulary:
+@lru_cache(2)
+def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encoder(vocabulary: str, seed: int = 0, rate: float = 0.1):
+def encoder(vocabulary: str, rate: float = 0.1):
     """Column function (text, document key as bigint) -> ids."""
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        model = _vocabulary(vocabulary, seed, rate)
+        model = _vocabulary(vocabulary)
         for texts, keys in batches:
-            rows, key = [], iter(keys.to_pylist())
-            for data, offsets in W.slices(texts):
+            documents = keys.to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)
+            parts, sizes, at = [], [np.zeros(1, np.int64)], 0
+            for data, offsets in W.slices(texts, 1_000_000):
                 raw = data.tobytes()
-                for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                    text = raw[a:b].decode("utf-8", "replace")
-                    rows.append(np.array(model.encode(text, next(key), seed, rate), np.int32))
-            yield pa.array(rows, pa.list_(pa.int32()))
+                some = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                flat, bounds = model.encode(some, documents[at : at + len(some)], rate)
+                at += len(some)
+                parts.append(flat)
+                sizes.append(np.diff(bounds))
+            bounds = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+            values = np.concatenate(parts) if parts else np.empty(0, np.int32)
+            yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(values, pa.int32()))
 
     return ids
 
@@ -197,15 +296,15 @@ def decoder(vocabulary: str):
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = _vocabulary(vocabulary, 0, 0.0)
+        model = _vocabulary(vocabulary)
         for batch in batches:
-            yield pa.array([None if x is None else model.decode(x.as_py()) for x in batch], pa.string())
+            yield pa.array([None if x is None else model.decode(x) for x in batch.to_pylist()], pa.string())
 
     return text
 
 
 def document_key(doc_id: Column, seed: int) -> Column:
-    """Key under which a document's units draw their variants."""
+    """Key under which a document's candidates are hashed."""
     return F.xxhash64(F.lit(seed), doc_id)
 
 
@@ -221,7 +320,7 @@ def encode(
     ids, null ids draw like one document; texts of any length are encoded whole; an empty table gives no rows;
     other columns are not looked at.
     """
-    ids = encoder(vocabulary, seed, rate)
+    ids = encoder(vocabulary, rate)
     return two_columns(docs, id_col, text_col).withColumn("ids", ids("text", document_key(F.col("doc_id"), seed)))
 
 
