@@ -173,7 +173,7 @@ def contamination(
     text_col: str = "text",
     item_col: str = "item_id",
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, hits (array of window starts and sizes), item_ids.
+    """One row per document: doc_id, text_hash, n_words, hits (array of window starts and sizes), item_ids.
 
     `hits` are the distinct (start, size) windows that occur in a benchmark item, by position;
     `item_ids` are the ids, as sorted strings, of the items with an occurring window.
@@ -237,6 +237,7 @@ def contamination(
     )
     return join_on(printed, hits, key).select(
         "doc_id",
+        F.col("copy").alias("text_hash"),
         "n_words",
         F.coalesce("hits", F.expr("CAST(array() AS array<struct<start:int,size:int>>)")).alias("hits"),
         F.coalesce("item_ids", F.expr("CAST(array() AS array<string>)")).alias("item_ids"),

@@ -307,7 +307,7 @@ def _compare_blocks(percent: int):
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, text_hash, n_shingles, component_id, kept.
 
     Two documents are linked if the Jaccard similarity of their sets of k-word shingles is at least
     `percent` / 100 (checked exactly, on the full sets). component_id is the smallest id reachable over
@@ -321,7 +321,10 @@ def near_duplicates(
     """
     docs = two_columns(docs, id_col, text_col)
     sets = stored(
-        docs.select("doc_id", _summary(k)("text").alias("s")).select("doc_id", "s.*"), "shingle-sets"
+        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _summary(k)("text").alias("s")).select(
+            "doc_id", "text_hash", "s.*"
+        ),
+        "shingle-sets",
     )
     same_set = ["high", "low", "n_shingles"]
     groups = (
@@ -344,8 +347,9 @@ def near_duplicates(
     named = join_on(groups.filter(F.col("node").isNotNull()), found, ["node"]).select(
         *same_set, F.coalesce("component", "node").alias("component")
     )
-    return join_on(sets.select("doc_id", *same_set), named, same_set).select(
+    return join_on(sets.select("doc_id", "text_hash", *same_set), named, same_set).select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.col("component").isNull()).alias("kept"),

@@ -50,7 +50,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), k=2, percent=80)
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), k=2, percent=80).drop("text_hash")
 
 
 QUERIES["op9_near_duplicates"] = op9_near_duplicates

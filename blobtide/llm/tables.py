@@ -41,3 +41,16 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
+
+
+# A key list of at most so many rows (about 100 MB in memory) is broadcast; a longer one is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id and text are not among `dropped` (doc_id, text_hash). Null ids match each other."""
+    keys = stored(dropped.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct(), "dropped")
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    same = docs["doc_id"].cast("bigint").eqNullSafe(keys["_gone_id"]) & (F.xxhash64(docs["text"]) == keys["_gone_hash"])
+    return docs.join(keys, same, "left_anti")
