@@ -60,7 +60,9 @@ def _bucket(token: Column) -> Column:
 def _levels(docs: DataFrame) -> bytes:
     """Rarity level of each bucket: twice the binary logarithm of its count, at most 127."""
     counts = (
-        _lines(docs).select(F.explode("tokens").alias("token"))
+        # explode would have its size test pushed into the tokens' expression, hashing a line's words per shingle
+        _lines(docs).select(F.explode_outer("tokens").alias("token"))
+        .filter(F.col("token").isNotNull())
         .groupBy(_bucket(F.col("token")).alias("bucket"))
         .agg(F.count("*").alias("n"))
         .select("bucket", F.least(F.lit(127), (2 * F.log2("n")).cast("int")).alias("level"))
