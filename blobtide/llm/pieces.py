@@ -277,7 +277,7 @@ def encoder(vocabulary: str, rate: float = 0.1):
         for texts, keys in batches:
             documents = keys.to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)
             parts, sizes, at = [], [np.zeros(1, np.int64)], 0
-            for data, offsets in W.slices(texts, 1_000_000):
+            for data, offsets in W.slices(texts, 250_000):
                 raw = data.tobytes()
                 some = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 flat, bounds = model.encode(some, documents[at : at + len(some)], rate)
@@ -298,7 +298,8 @@ def decoder(vocabulary: str):
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _vocabulary(vocabulary)
         for batch in batches:
-            yield pa.array([None if x is None else model.decode(x) for x in batch.to_pylist()], pa.string())
+            # one document's ids at a time: a whole batch of Python integers is many times its Arrow size
+            yield pa.array([model.decode(x.as_py()) if x.is_valid else None for x in batch], pa.string())
 
     return text
 
