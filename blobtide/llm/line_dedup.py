@@ -31,28 +31,40 @@ _SPACE = r"[\x20\x09-\x0D]+"
 _DOC = ["doc", "copy"]  # a document: its id and a hash of its text
 
 
-def _tokens(line: str) -> tuple[Column, Column]:
-    """Hashes of the line's words, and (from those, as column _hashes) of its shingles, in order."""
-    words = F.filter(F.split(F.lower(line), _SPACE), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+def _raw_lines(docs: DataFrame) -> DataFrame:
+    """(doc, copy, line, _line): place and text of every line; `docs` has doc, copy and text."""
+    return docs.select(*_DOC, F.posexplode(F.split("text", "\n")).alias("line", "_line"))
+
+
+def _tokenized(raw: DataFrame) -> DataFrame:
+    """(doc, copy, line, tokens) of the lines with a word: hashes of their shingles, in order.
+
+    A shingle's hash is built from those of its two-word and four-word beginnings, one array pass each.
+    """
+    words = F.filter(F.split(F.lower("_line"), _SPACE), lambda w: w != "")
     n = F.size("_hashes")
-    shingles = F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice("_hashes", i, SHINGLE)))
-    return hashes, F.when(n >= SHINGLE, shingles).when(n > 0, F.array(F.xxhash64("_hashes"))).otherwise(
-        F.expr("CAST(array() AS array<bigint>)")
-    )
 
+    def pairs(left: str, right: str, ahead: int, count: Column) -> Column:
+        count = F.greatest(count, F.lit(0))
+        return F.zip_with(F.slice(left, 1, count), F.slice(right, 1 + ahead, count), lambda x, y: F.xxhash64(x, y))
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, copy, line, tokens) of all lines with a word; `docs` has doc, copy and text."""
-    hashes, shingles = _tokens("_line")
+    key = [*_DOC, "line"]
     return (
-        docs.select(*_DOC, F.posexplode(F.split("text", "\n")).alias("line", "_line"))
-        .select(*_DOC, "line", hashes.alias("_hashes"))
-        .filter(F.size("_hashes") > 0)
-        .select(*_DOC, "line", shingles.alias("tokens"))
+        raw.select(*key, F.transform(words, lambda w: F.xxhash64(w)).alias("_hashes"))
+        .filter(n > 0)
+        .select(*key, "_hashes", pairs("_hashes", "_hashes", 1, n - 1).alias("_two"))
+        .select(*key, "_hashes", pairs("_two", "_two", 2, n - 3).alias("_four"))
+        .select(
+            *key,
+            F.when(n >= SHINGLE, pairs("_four", "_hashes", SHINGLE - 1, n - SHINGLE + 1)).otherwise(F.array(F.xxhash64("_hashes"))).alias("tokens"),
+        )
     )
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    return _tokenized(_raw_lines(docs))
+
+
 def _bucket(token: Column) -> Column:
     return F.pmod(token, F.lit(BUCKETS)).cast("int")
 
@@ -99,12 +111,10 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = stored(pairs.distinct(), "line-pairs")
     x = [f"x_{c}" for c in (*_DOC, "line")]
     y = [f"y_{c}" for c in (*_DOC, "line")]
-    ids = pairs.select(*[F.col(c).alias(c[2:]) for c in x]).union(pairs.select(*y)).distinct()
+    ids = stored(pairs.select(*[F.col(c).alias(c[2:]) for c in x]).union(pairs.select(*y)).distinct(), "candidate-lines")
     some = _semi(docs, _few(stored(ids.select(*_DOC).distinct(), "line-documents")))
-    sets = stored(
-        join_on(_lines(some).withColumn("tokens", F.array_distinct("tokens")), ids.withColumn("_wanted", F.lit(True)), [*_DOC, "line"], "inner").drop("_wanted"),
-        "line-sets",
-    )
+    wanted = join_on(_raw_lines(some), _few(ids).withColumn("_wanted", F.lit(True)), [*_DOC, "line"], "inner").drop("_wanted")
+    sets = stored(_tokenized(wanted).withColumn("tokens", F.array_distinct("tokens")), "line-sets")
     one = sets.select(*[F.col(c).alias(f"x_{c}") for c in (*_DOC, "line")], F.col("tokens").alias("x_tokens"))
     two = sets.select(*[F.col(c).alias(f"y_{c}") for c in (*_DOC, "line")], F.col("tokens").alias("y_tokens"))
     both = F.size(F.array_intersect("x_tokens", "y_tokens"))
