@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blobtide.operators.quantiles import MAX_LOCAL_GROUPS, exact_quantiles, value_counts
-from blobtide.operators.rows import small_table
+from blobtide.operators.joins import null_safe_join
+from blobtide.operators.quantiles import exact_quantiles, value_counts
 from blobtide.scratch import materialize
 
 
@@ -35,7 +35,7 @@ def _group_ranges(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame
         F.max(value).cast("double").alias("_hi"),
         F.stddev_samp(value).alias("_sd"),
     )
-    return small_table(ranges, MAX_LOCAL_GROUPS)
+    return materialize(ranges, "ranges")
 
 
 def histogram(
@@ -52,14 +52,18 @@ def histogram(
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
     )
     counts = (
-        values.join(ranges, list(groups))
+        null_safe_join(values, ranges, groups)
         .groupBy(*groups, cell_index(F.col(value), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     width = (F.col("_hi") - F.col("_lo")) / bins
     return (
-        ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-        .join(counts, [*groups, "bin"], "left")
+        null_safe_join(
+            ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))),
+            counts,
+            [*groups, "bin"],
+            "left",
+        )
         .select(
             *groups,
             "bin",
@@ -75,14 +79,14 @@ def box_stats(
 ) -> DataFrame:
     """Quartiles, whiskers (the furthest values within `whisker` IQRs) and outlier count."""
     counts = materialize(value_counts(df, groups, value), "counts")
-    quartiles = small_table(
+    quartiles = materialize(
         exact_quantiles(counts, groups, {"q1": 0.25, "median": 0.5, "q3": 0.75}),
-        MAX_LOCAL_GROUPS,
+        "quartiles",
     )
     reach = (F.col("q3") - F.col("q1")) * F.lit(whisker)
     inside = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)
     return (
-        counts.join(quartiles, list(groups))
+        null_safe_join(counts, quartiles, groups)
         .groupBy(*groups, "n_values", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
@@ -124,11 +128,11 @@ def density(
     lo, hi = F.col("_lo"), F.col("_hi")
     factor = F.pow(F.col("_n"), F.lit(-0.2)) if bandwidth is None else F.lit(float(bandwidth))
     counts = (
-        values.join(ranges, list(groups))
+        null_safe_join(values, ranges, groups)
         .groupBy(*groups, cell_index(F.col(value), lo, hi, cells).alias("_cell"))
         .agg(F.count(F.lit(1)).alias("_count"))
     )
-    kernels = counts.join(ranges, list(groups)).select(
+    kernels = null_safe_join(counts, ranges, groups).select(
         *groups,
         F.col("_n"),
         F.col("_count"),

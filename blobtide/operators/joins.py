@@ -8,6 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Like `splittable_join`, with NULL keys matching each other; the keys come from the left."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    left = left.withColumn("_split", F.xxhash64(*keys))
+    right = renamed.withColumn("_right_split", F.xxhash64(*[f"_right_{k}" for k in keys]))
+    return left.join(right, same & (F.col("_split") == F.col("_right_split")), how).drop(
+        "_split", "_right_split", *[f"_right_{k}" for k in keys]
+    )
+
+
 def splittable_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:

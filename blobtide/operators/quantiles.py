@@ -8,10 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blobtide.operators.ordered import cumulative_sum
-from blobtide.operators.rows import small_table
-
-# Above this many groups the per-group figures are joined by a shuffle, not broadcast.
-MAX_LOCAL_GROUPS = 1000
+from blobtide.scratch import materialize
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -36,14 +33,14 @@ def exact_quantiles(
         F.min(F.col("_upto") - F.col("n")).alias("_start"), F.sum("n").alias("n_values")
     )
     group_keys = [f"_g{i}" for i in range(len(groups))]
-    # few groups would be few join keys, so they are broadcast while their number allows it
-    spans = small_table(
+    # stored, so that the file size tells Spark whether the groups can be broadcast
+    spans = materialize(
         spans.select(
             *[F.col(g).alias(k) for g, k in zip(groups, group_keys, strict=True)],
             "_start",
             "n_values",
         ),
-        MAX_LOCAL_GROUPS,
+        "spans",
     )
     same_group = [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(groups, group_keys, strict=True)]
     last = F.col("_upto") - F.col("_start") - 1

@@ -74,15 +74,3 @@ def latest_per_key(df: DataFrame, keys: list[str], version: str) -> DataFrame:
 def split_labels(condition: Column, when_true: str, when_false: str) -> Column:
     """Label of the side of a two-way split; NULL counts as false."""
     return F.when(condition, when_true).otherwise(when_false)
-
-
-def small_table(df: DataFrame, max_rows: int) -> DataFrame:
-    """Turn `df` into a local relation if it has at most `max_rows` rows.
-
-    A local relation carries its exact size, so joins with it are broadcast by Spark's own
-    threshold. A larger frame is returned unchanged and is joined by a shuffle.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)

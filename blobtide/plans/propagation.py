@@ -14,7 +14,7 @@ from blobtide.operators.ordered import rolling_mean
 from blobtide.operators.rows import fill_numeric_nulls, split_labels
 from blobtide.sources.scans import scan_sidecar_events
 
-# Consensus clients that get a column in the pivot, and blobs per block so far.
+# The usual consensus clients, and blobs per block in the first forks, for fixed columns.
 CLIENTS = ("lighthouse", "prysm", "teku", "lodestar", "nimbus")
 BLOB_COUNTS = (0, 1, 2, 3, 4, 5, 6)
 
@@ -88,18 +88,21 @@ def block_sidecar_joined(
         "blob_empty_size",
     )
     # NULLs are filled and copies dropped on each side. A row then either matches or does not,
-    # so the filled join is distinct as well and needs no shuffle above it.
-    sightings, blocks, sidecars = (
-        fill_numeric_nulls(side).distinct() for side in (sightings, blocks, sidecars)
+    # so the filled join is distinct as well and needs no shuffle above it. The slot is joined as
+    # it was: a NULL slot matches nothing and becomes -1 only in the result.
+    sightings, blocks, seen_blobs = (
+        fill_numeric_nulls(side).withColumn("_slot", F.nullif("slot", F.lit(-1)))
+        for side in (sightings, blocks, spread.drop("min_slot_start_date_time"))
     )
+    sightings, blocks = sightings.distinct(), blocks.drop("slot").distinct()
     blobs = splittable_join(
-        fill_numeric_nulls(spread.drop("min_slot_start_date_time")),
-        sidecars,
+        seen_blobs.drop("slot"),
+        fill_numeric_nulls(sidecars).distinct(),
         ["kzg_commitment", CLIENT],
         "left",
     )
-    seen = splittable_join(sightings, blocks, ["slot"], "left")
-    joined = splittable_join(seen, blobs, ["slot", CLIENT], "left")
+    seen = splittable_join(sightings, blocks, ["_slot"], "left")
+    joined = splittable_join(seen, blobs, ["_slot", CLIENT], "left").drop("_slot")
     return fill_numeric_nulls(joined).withColumn(
         "max_blob_index", F.col("max_blob_index") + 1
     )
@@ -116,9 +119,26 @@ def block_blob_table(bsj: DataFrame, ordered: bool = False) -> DataFrame:
     return table.orderBy(slowest_first, "max_blob_index", CLIENT) if ordered else table
 
 
-def propagation_pivot(table: DataFrame, clients: Sequence[str] = CLIENTS) -> DataFrame:
-    """Mean propagation in seconds: one row per blob count, one column per client."""
-    seconds = F.first(F.col("mean_propagation_slot_start_diff") / 1000)
+def _pivot_values(df: DataFrame, column: str, given: Sequence | None) -> list:
+    """Values that get a column: all that are found, or the given ones if no other is found.
+
+    Runs a distinct over `df`; `column` has few values (clients, blobs per block).
+    """
+    found = {row[0] for row in df.select(column).distinct().collect()} - {None}
+    if given is None:
+        return sorted(found)
+    if extra := found - set(given):
+        raise ValueError(f"{column} has values without a column: {sorted(extra)}")
+    return list(given)
+
+
+def propagation_pivot(table: DataFrame, clients: Sequence[str] | None = None) -> DataFrame:
+    """Mean propagation in seconds: one row per blob count, one column per client.
+
+    All clients found get a column; a given list must name every one of them.
+    """
+    clients = _pivot_values(table, CLIENT, clients)
+    seconds = F.max(F.col("mean_propagation_slot_start_diff") / 1000)
     return (
         table.groupBy("max_blob_index")
         .pivot(CLIENT, list(clients))
@@ -135,14 +155,20 @@ def slot_propagation(bsj: DataFrame) -> DataFrame:
     )
 
 
-def propagation_by_blobs(
-    propagation: DataFrame, blobs: Sequence[int] = BLOB_COUNTS
-) -> DataFrame:
-    """One row per slot start, one column `blobs_<n>` of mean propagation per blob count."""
+def propagation_by_blobs(propagation: DataFrame, blobs: Sequence[int] | None = None) -> DataFrame:
+    """One row per slot start, one column `blobs_<n>` of mean propagation per blob count.
+
+    All blob counts found get a column; a given list must name every one of them.
+    """
+    return _blob_columns(propagation, _pivot_values(propagation, "max_blob_index", blobs))
+
+
+def _blob_columns(propagation: DataFrame, blobs: Sequence[int]) -> DataFrame:
+    """The wanted blob counts as columns; slots with none of them are rows all the same."""
     return (
         propagation.groupBy("slot_start_date_time")
         .pivot("max_blob_index", list(blobs))
-        .agg(F.first(DELAY))
+        .agg(F.max(DELAY))
         .withColumnsRenamed({str(n): f"blobs_{n}" for n in blobs})
     )
 
@@ -151,10 +177,12 @@ def slow_one_blob_slots(
     propagation: DataFrame,
     blobs: int = 1,
     min_ms: float = 8000,
-    columns: Sequence[int] = BLOB_COUNTS,
+    columns: Sequence[int] | None = None,
 ) -> DataFrame:
     """Pivoted slots whose mean propagation at `blobs` blobs is above `min_ms`."""
-    return propagation_by_blobs(propagation, columns).where(F.col(f"blobs_{blobs}") > min_ms)
+    columns = _pivot_values(propagation, "max_blob_index", columns)
+    shown = columns if blobs in columns else sorted([*columns, blobs])
+    return _blob_columns(propagation, shown).where(F.col(f"blobs_{blobs}") > min_ms)
 
 
 def rolling_propagation(
@@ -165,7 +193,7 @@ def rolling_propagation(
     The window counts slots; slots without a value are skipped in the mean.
     """
     # a slot without any of the wanted blob counts is still a row of the window
-    pivoted = propagation_by_blobs(propagation, blobs)
+    pivoted = _blob_columns(propagation, blobs)
     seconds = pivoted.select(
         "slot_start_date_time",
         *[(F.col(f"blobs_{b}") / 1000).alias(f"blobs_{b}") for b in blobs],

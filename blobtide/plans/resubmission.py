@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from blobtide.functions.columns import gwei, joined_list, mean_timestamp
 from blobtide.operators.joins import splittable_join
-from blobtide.operators.rows import small_table, sort_rows
+from blobtide.operators.rows import sort_rows
+from blobtide.scratch import materialize
 
-# More lists than this under one nonce are joined by a shuffle, not broadcast.
-MAX_LOCAL_LISTS = 1000
 
 FEE_CAPS = ["gas_tip_cap", "gas_fee_cap", "blob_gas_fee_cap"]
 
@@ -117,10 +116,8 @@ def nonce_neighbourhood(counts: DataFrame, lo: int, hi: int) -> DataFrame:
 
 def followup_by_nonce(mempool: DataFrame, counts: DataFrame, nonce: int) -> DataFrame:
     """All sightings of the blob list first seen under `nonce`, by time."""
-    # usually one list; held locally while few, so that the sightings need no shuffle
-    lists = small_table(
-        counts.where(F.col("nonce") == nonce).select("blob_hashes"), MAX_LOCAL_LISTS
-    )
+    # usually one list; stored, so that its file size lets Spark broadcast it
+    lists = materialize(counts.where(F.col("nonce") == nonce).select("blob_hashes"), "lists")
     sightings = splittable_join(
         _with_joined_list(mempool), lists, ["blob_hashes"], "left_semi"
     )

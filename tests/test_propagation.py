@@ -1,6 +1,9 @@
 from datetime import datetime, timedelta
 
+import pytest
+
 from blobtide import schemas
+from blobtide.operators import distributions
 from blobtide.plans import propagation, resubmission
 
 T0 = datetime(2024, 3, 28)
@@ -129,3 +132,30 @@ def test_resubmission_lookups(spark, many_partitions):
     assert resubmission.worst_case_resubmission(df, counts, rank=9).count() == 0
     assert [r.nonce for r in resubmission.nonce_neighbourhood(counts, 4, 9).collect()] == [7, 8]
     assert [r.hash for r in resubmission.followup_by_nonce(df, counts, 4).collect()] == ["y", "y", "x"]
+
+
+def test_pivots_have_a_column_for_every_value(spark):
+    table = spark.createDataFrame(
+        [(10, "grandine", 4000.0), (10, "prysm", 1000.0)],
+        f"max_blob_index int, {propagation.CLIENT} string, mean_propagation_slot_start_diff double",
+    )
+    row = propagation.propagation_pivot(table).first()
+    assert (row.grandine, row.prysm) == (4.0, 1.0)
+    with pytest.raises(ValueError, match="grandine"):
+        propagation.propagation_pivot(table, propagation.CLIENTS)
+    slots = spark.createDataFrame(
+        [("s", 9, 9000.0), ("t", 0, 1.0)],
+        f"slot_start_date_time string, max_blob_index int, {propagation.DELAY} double",
+    )
+    assert propagation.slow_one_blob_slots(slots, blobs=9).first().blobs_9 == 9000.0
+    assert propagation.slow_one_blob_slots(slots).columns[1:] == ["blobs_0", "blobs_1", "blobs_9"]
+    with pytest.raises(ValueError, match="9"):
+        propagation.propagation_by_blobs(slots, propagation.BLOB_COUNTS)
+
+
+def test_null_groups_have_bins_boxes_and_densities(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, v double")
+    bins = distributions.histogram(df, "v", ["g"], bins=2).where("g IS NULL").orderBy("bin").collect()
+    assert [b["count"] for b in bins] == [1, 1]
+    assert distributions.box_stats(df, "v", ["g"]).where("g IS NULL").first()["median"] == 2.0
+    assert distributions.density(df, "v", ["g"], grid=3).where("g IS NULL").count() == 3

@@ -40,9 +40,3 @@ def test_latest_per_key(spark, many_partitions):
 def test_outlier_filter_is_strict_and_drops_null(spark):
     df = spark.createDataFrame([(199.0,), (200.0,), (None,)], "rate double")
     assert [r.rate for r in rows.outlier_filter(df, "rate", 200).collect()] == [199.0]
-
-
-def test_small_table_passes_large_frames_through(spark):
-    df = spark.range(5)
-    assert rows.small_table(df, 4) is df
-    assert sorted(r.id for r in rows.small_table(df, 5).collect()) == [0, 1, 2, 3, 4]

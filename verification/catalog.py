@@ -40,7 +40,6 @@ DAYS = 31
 PROPAGATION_AS_OF = datetime(2024, 1, 2, 1)
 ROLLUPS = SEQUENCER_MAPPING["sequencer_names"]
 ROLLUP_ADDRESS = "0xSEQ1"
-MAX_SLOT = 10_000_000
 SINCE = datetime(2024, 1, 1)
 
 WEI = {c: 3 for c in MEANS}
@@ -161,11 +160,11 @@ class Tables:
 
     @cached_property
     def reorged(self) -> DataFrame:
-        return propagation.reorged_blocks(self.bsj, MAX_SLOT)
+        return propagation.reorged_blocks(self.bsj)
 
     @cached_property
     def labeled(self) -> DataFrame:
-        return propagation.reorged_blocks_labeled(self.bsj, MAX_SLOT)
+        return propagation.reorged_blocks_labeled(self.bsj)
 
 
 @dataclass(frozen=True)
@@ -644,7 +643,7 @@ CHECKS: dict[str, Check] = {
         {"mean_propagation_slot_start_diff": 6, "mean_block_size_compressed": 6},
     ),
     "propagation_pivot": Check(
-        lambda t: propagation.propagation_pivot(propagation.block_blob_table(t.bsj)),
+        lambda t: propagation.propagation_pivot(propagation.block_blob_table(t.bsj), propagation.CLIENTS),
         "SELECT max_blob_index, "
         + ", ".join(
             "max(CASE WHEN meta_consensus_implementation = "
@@ -656,7 +655,7 @@ CHECKS: dict[str, Check] = {
     ),
     "slot_propagation": Check(lambda t: t.slot_prop, "SELECT * FROM slot_prop", DELAY),
     "slow_one_blob_slots": Check(
-        lambda t: propagation.slow_one_blob_slots(t.slot_prop),
+        lambda t: propagation.slow_one_blob_slots(t.slot_prop, columns=propagation.BLOB_COUNTS),
         "SELECT * FROM slot_pivot WHERE blobs_1 > 8000",
         {f"blobs_{n}": 6 for n in propagation.BLOB_COUNTS},
     ),
