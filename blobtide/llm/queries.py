@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blobtide.llm import decontamination, line_dedup, near_duplicates, personal_data, pieces, quality, quality_rules, secrets, spans, token_counts, toxicity
+from blobtide.llm import centroids, decontamination, line_dedup, mixing, near_duplicates, personal_data, pieces, quality, quality_rules, secrets, spans, spelling, token_counts, toxicity
 from blobtide.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,83 @@ WITH {_LINES.format(docs='documents')}
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(c.text, '')) AS text_sha256
 FROM documents d LEFT JOIN cleaned c USING (doc_id)
 """
+
+
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kept vector of `embeddings` with its cluster after three rounds of 16 centroids (see `centroids`)."""
+    return centroids.centroid_clusters(read(spark, sf_dir, "embeddings"), k=16, rounds=3, seed="1")
+
+
+QUERIES["op11_centroids"] = op11_centroids
+
+# What each of the rounds does: nearest centroid per vector, then the floor of each component's mean.
+_ASSIGN = """a{i} AS (SELECT id, any_value(v) AS v, min({{'d': d, 'k': k}}) AS near
+  FROM (SELECT id, v, k, list_sum(list_transform(range(1, 65), lambda j: (v[j] - c[j]) * (v[j] - c[j])))::BIGINT AS d FROM kept, c{i}) GROUP BY id)"""
+_MOVE = """s{i} AS (SELECT near.k AS k, j, sum(v[j])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{i}, range(1, 65) r(j) GROUP BY near.k, j),
+m{i} AS (SELECT k, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY j) AS c FROM s{i} GROUP BY k),
+c{next} AS (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))"""
+_ROUNDS = ",\n".join(f"{_ASSIGN.format(i=i)},\n{_MOVE.format(i=i, next=i + 1)}" for i in range(3)) + ",\n" + _ASSIGN.format(i=3)
+ORACLE_SQL["op11_centroids"] = f"""
+WITH kept AS (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c
+  FROM (SELECT sha256('1:' || vec_id::VARCHAR) AS h, v FROM kept ORDER BY h, v LIMIT 16)),
+{_ROUNDS}
+SELECT vec_id, near.k::INTEGER AS cluster, near.d AS distance, sum(near.d) OVER (PARTITION BY near.k)::BIGINT AS cluster_inertia,
+       sum(near.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN kept USING (id) JOIN c3 ON c3.k = near.k
+"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the vocabulary of `documents` with the form and root it is a variant of (see `spelling`)."""
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_spelling"] = op12_spelling
+ORACLE_SQL["op12_spelling"] = """
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{6,}')) AS run FROM documents WHERE text IS NOT NULL),
+named AS (SELECT doc_id, run, count(*) AS times, hex(encode(doc_id || ':' || run)) AS x FROM runs GROUP BY doc_id, run),
+hashed AS (SELECT run, times, xor(list_reduce(list_transform(range(0, len(x), 2), lambda i: ('0x' || x[i + 1:i + 2])::BIGINT),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM named, t),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, times FROM hashed),
+v AS (SELECT word, sum(times)::BIGINT AS n FROM cut WHERE len(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+gaps AS (SELECT word, p, word[1:p] || word[p + 2:] AS gap FROM v, LATERAL (SELECT unnest(range(len(word))) AS p)),
+near AS (SELECT x.word AS word, y.word AS other FROM gaps x JOIN gaps y ON x.gap = y.gap AND x.p = y.p AND x.word <> y.word AND len(x.word) = len(y.word)
+         UNION SELECT gaps.word, gap FROM gaps JOIN v y ON y.word = gap UNION SELECT gap, gaps.word FROM gaps JOIN v y ON y.word = gap),
+best AS (SELECT near.word, count(*) AS n_near, max(o.n) AS most, arg_min(other, {'n': -o.n, 'w': other}) AS other
+         FROM near JOIN v o ON o.word = near.other GROUP BY near.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 5 * v.n THEN other END AS form,
+             CASE WHEN most >= 5 * v.n THEN most END::BIGINT AS form_n FROM v LEFT JOIN best USING (word)),
+walk(word, top) AS (SELECT word, form FROM f WHERE form IS NOT NULL UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.top WHERE f.form IS NOT NULL),
+root AS (SELECT walk.word, any_value(walk.top) AS root FROM walk JOIN f ON f.word = walk.top WHERE f.form IS NULL GROUP BY walk.word)
+SELECT f.word, f.form, coalesce(root, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN root USING (word)
+"""
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words the mix of sources takes of it (see `mixing`)."""
+    mix = mixing.mixture(read(spark, sf_dir, "documents"), weights=(3, 1, 2), epochs=2, share=(3, 2), seed=13)
+    taken = F.col("whole") * F.col("size") + F.col("part")
+    return mix.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+QUERIES["op13_mixing"] = op13_mixing
+ORACLE_SQL["op13_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  ('0x' || md5('13:' || doc_id::VARCHAR)[1:15])::BIGINT AS place FROM documents),
+s AS (SELECT source, sum(size)::HUGEINT AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][r % 3 + 1] AS weight, 2 * size AS cap, sum(size) OVER () AS words, sum([3, 1, 2][r % 3 + 1]) OVER () AS weights FROM s),
+x AS (SELECT *, coalesce(sum(cap) OVER before, 0) AS caps, coalesce(sum(weight) OVER before, 0) AS gone FROM w
+      WINDOW before AS (ORDER BY cap * 6 // weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+y AS (SELECT *, 2 * cap * (weights - gone) <= weight * (3 * words - 2 * caps) AS capped FROM x),
+l AS (SELECT (3 * any_value(words)::DOUBLE / 2 - coalesce(sum(cap) FILTER (capped), 0)::DOUBLE) / (any_value(weights) - coalesce(sum(weight) FILTER (capped), 0))::DOUBLE AS level FROM y),
+z AS (SELECT source, size::BIGINT AS source_size, CASE WHEN capped THEN cap::DOUBLE ELSE level * weight::DOUBLE END AS target,
+             least(floor(target + 0.5)::BIGINT, cap::BIGINT) AS aim FROM y, l),
+o AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id) - size AS before FROM d)
+SELECT doc_id, size, source_size, target,
+       (aim // greatest(source_size, 1) * size + greatest(0, least(size, aim - aim // greatest(source_size, 1) * source_size - before)))::BIGINT AS taken
+FROM o JOIN z ON z.source IS NOT DISTINCT FROM o.source
+"""
