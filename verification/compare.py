@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 # Spark type name -> DuckDB type name
 TYPES = {
+    "int": "INTEGER",
     "bigint": "BIGINT",
     "double": "DOUBLE",
     "string": "VARCHAR",
