@@ -84,13 +84,18 @@ def vocabulary(
 
 
 def _halves(rows: DataFrame) -> DataFrame:
-    """Each row under the longer head and under the longer tail. `cap`: a pair counts if it agrees on fewer letters at the start."""
+    """Each row under the longer head and under the longer tail.
+
+    A pair counts in a group if it agrees on fewer than `cap` letters at the start, or else it also met under the longer
+    head; a head as long as that has nothing to count and is left out.
+    """
     step = F.expr("(s - a - b) div 2").cast("int")
     sides = F.array(
         F.struct((F.col("a") + step).alias("a"), F.col("b").alias("b"), F.col("cap").alias("cap")),
         F.struct(F.col("a").alias("a"), (F.col("b") + step).alias("b"), F.least(F.col("cap"), F.col("a") + step).alias("cap")),
     )
-    split = rows.select("word", "n", "s", F.explode(sides).alias("x")).select("word", "n", "s", "x.a", "x.b", "x.cap")
+    some = F.filter(sides, lambda x: x["a"] < x["cap"])
+    split = rows.select("word", "n", "s", F.explode(some).alias("x")).select("word", "n", "s", "x.a", "x.b", "x.cap")
     return split.select(
         "word", "n", "s", "a", "b", "cap",
         F.substring("word", F.lit(1), F.col("a")).alias("head"),
