@@ -21,14 +21,18 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
 
 
 def exact_quantiles(
-    counts: DataFrame, groups: Sequence[str], quantiles: dict[str, float]
+    counts: DataFrame,
+    groups: Sequence[str],
+    quantiles: dict[str, float],
+    stored: bool = False,
 ) -> DataFrame:
     """Linear-interpolated quantiles of each group, one column per entry of `quantiles`.
 
     `counts` comes from `value_counts`. Its rows are put in (group, value) order over all tasks;
-    their running count tells which two values enclose each quantile's rank.
+    their running count tells which two values enclose each quantile's rank. `stored` says that
+    `counts` is cheap to read twice.
     """
-    running = cumulative_sum(counts, [*groups, "value"], {"n": "_upto"})
+    running = cumulative_sum(counts, [*groups, "value"], {"n": "_upto"}, stored)
     spans = running.groupBy(*groups).agg(
         F.min(F.col("_upto") - F.col("n")).alias("_start"), F.sum("n").alias("n_values")
     )

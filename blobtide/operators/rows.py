@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blobtide.operators.joins import null_safe_join
+from blobtide.scratch import materialize
+
 
 def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -23,12 +26,13 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
     return df.where(complete(df.columns))
 
 
-def fill_numeric_nulls(df: DataFrame, value: int = -1) -> DataFrame:
-    """Fill NULLs of numeric columns; strings and timestamps keep theirs. NaN is kept."""
+def fill_numeric_nulls(df: DataFrame, value: int = -1, keep: Iterable[str] = ()) -> DataFrame:
+    """Fill NULLs of numeric columns; strings, timestamps and `keep` keep theirs. NaN is kept."""
+    kept = set(keep)
     return df.selectExpr(
         *[
             f"coalesce(`{f.name}`, CAST({value} AS {f.dataType.simpleString()})) AS `{f.name}`"
-            if isinstance(f.dataType, T.NumericType)
+            if isinstance(f.dataType, T.NumericType) and f.name not in kept
             else f"`{f.name}`"
             for f in df.schema.fields
         ]
@@ -59,16 +63,39 @@ def sort_rows(df: DataFrame, *leading: Column) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The row with the highest version of each key.
+    """The row with the highest version of each key; NULL is the lowest version, and a key of its own.
 
-    An aggregate, so the versions of a frequent key collapse before the shuffle. Among equal
-    versions the greatest row in column order is taken.
+    Only keys, versions and row hashes are grouped, in fixed-width buffers: a hash aggregate with
+    map-side combine, so the versions of a frequent key collapse before the shuffle and no text is
+    sorted. What it finds is stored and joined back. Equal rows are returned once. Of different
+    rows with the same version the greatest in column order is taken; such keys are told by their
+    row hashes and only their rows pass an aggregate over text.
     """
     rest = [c for c in df.columns if c not in keys and c != version]
-    newest = F.max(F.struct(version, *rest)).alias("_newest")
-    return df.groupBy(*keys).agg(newest).select(
-        *[c if c in keys else F.col(f"_newest.`{c}`").alias(c) for c in df.columns]
+    # a hash skips NULLs, so where they are is hashed as well
+    row = F.xxhash64(F.lit(0), *[quoted(c) for c in rest], *[quoted(c).isNull() for c in rest])
+    versions = (
+        df.select(*[quoted(c) for c in keys], quoted(version), row.alias("_row"))
+        .groupBy(*keys, version)
+        .agg((F.min("_row") != F.max("_row")).alias("_tied"))
+    )
+    newest = materialize(
+        versions.groupBy(*keys).agg(
+            F.max(version).alias(version),
+            F.coalesce(F.max_by("_tied", version), F.max("_tied")).alias("_tied"),
+        ),
+        "newest",
     )
+    rows = null_safe_join(df, newest, [*keys, version])
+    single = rows.where(~F.col("_tied")).select(*[quoted(c) for c in df.columns]).distinct()
+    if newest.where("_tied").isEmpty():
+        return single
+    greatest = F.max(F.struct(*[quoted(c) for c in rest])).alias("_greatest")
+    tied = rows.where("_tied").groupBy(*keys, version).agg(greatest)
+    chosen = [
+        F.col(f"_greatest.`{c}`").alias(c) if c in rest else quoted(c) for c in df.columns
+    ]
+    return single.unionByName(tied.select(*chosen))
 
 
 def split_labels(condition: Column, when_true: str, when_false: str) -> Column:

@@ -29,13 +29,13 @@ def inclusion_line_data(filtered: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def premium_scatter_data(
-    filtered: DataFrame, names: Sequence[str], max_rate: float = 100
+    filtered: DataFrame, names: Sequence[str], max_rate: float = 100, ordered: bool = False
 ) -> DataFrame:
-    """Bid premium against inclusion rate."""
-    rows = outlier_filter(_of(filtered, names), "slot_inclusion_rate", max_rate)
-    return sort_rows(rows, F.col("slot_inclusion_rate")).select(
+    """Bid premium against inclusion rate. With `ordered` only these columns are sorted."""
+    rows = outlier_filter(_of(filtered, names), "slot_inclusion_rate", max_rate).select(
         "slot_inclusion_rate", "priority_fee_bid_percent_premium", "sequencer_names"
     )
+    return sort_rows(rows, F.col("slot_inclusion_rate")) if ordered else rows
 
 
 def premium_line_data(
@@ -81,11 +81,10 @@ def inclusion_table(filtered: DataFrame, names: Sequence[str]) -> DataFrame:
     return sort_rows(rows, F.col("slot_inclusion_rate").desc())
 
 
-def rollup_inclusion_scatter(rollup_incl: DataFrame) -> DataFrame:
-    """Slots waited over slot time."""
-    return sort_rows(rollup_incl, F.col("num_block_inclusion")).select(
-        "slot_start_date_time", "num_block_inclusion"
-    )
+def rollup_inclusion_scatter(rollup_incl: DataFrame, ordered: bool = False) -> DataFrame:
+    """Slots waited over slot time. With `ordered` only these columns are sorted."""
+    rows = rollup_incl.select("slot_start_date_time", "num_block_inclusion")
+    return sort_rows(rows, F.col("num_block_inclusion")) if ordered else rows
 
 
 def propagation_histogram(blocks: DataFrame, bins: int = 100) -> DataFrame:
@@ -99,7 +98,7 @@ def propagation_box_stats(labeled: DataFrame) -> DataFrame:
 
 
 def propagation_density(
-    labeled: DataFrame, bandwidth: float | None = None, cells: int = 512, grid: int = 100
+    labeled: DataFrame, bandwidth: float | None = None, cells: int = 2048, grid: int = 512
 ) -> DataFrame:
     """Violin outline of propagation per (has_blobs, reorged)."""
     return density(labeled, DELAY, ["has_blobs", "reorged"], bandwidth, cells, grid)
@@ -108,8 +107,8 @@ def propagation_density(
 def gas_cap_density(
     rollup_incl: DataFrame,
     bandwidths: Sequence[float] = (0.1, 1.0),
-    cells: int = 128,
-    grid: int = 50,
+    cells: int = 256,
+    grid: int = 100,
 ) -> DataFrame:
     """Joint density of the gas fee cap (gwei) and slots waited."""
     return density_2d(
@@ -125,8 +124,8 @@ def gas_cap_density(
 def blob_gas_cap_density(
     rollup_incl: DataFrame,
     bandwidths: Sequence[float] = (0.1, 1.0),
-    cells: int = 128,
-    grid: int = 50,
+    cells: int = 256,
+    grid: int = 100,
 ) -> DataFrame:
     """Joint density of the blob gas fee cap (gwei) and slots waited."""
     return density_2d(

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from blobtide.functions.columns import builder_label as label_of
 from blobtide.functions.columns import fee_columns
-from blobtide.operators.joins import splittable_join
+from blobtide.operators.bloom import prefilter
+from blobtide.operators.joins import null_safe_join, splittable_join
 from blobtide.operators.rows import drop_null_rows, outlier_filter, sort_rows
+from blobtide.operators.selection import group_quantiles
 from blobtide.scratch import materialize
 from blobtide.sources.inputs import Inputs
 from blobtide.sources.scans import scan_txs
-from blobtide.plans.inclusion import slot_inclusion
+from blobtide.plans.inclusion import included_blobs
 
+# The columns of the bid table and of the joined table, in order.
 GAS_BIDDING_COLUMNS = [
     "block_number",
     "extra_data",
@@ -43,18 +46,6 @@ JOINED_INCLUSION_COLUMNS = [
     "meta_network_name",
     "blob_hashes_length",
 ]
-# What the joined table needs of the inclusion table.
-JOINED_SOURCE_COLUMNS = [
-    "slot",
-    "slot_time",
-    "hash",
-    "from",
-    "fill_percentage",
-    "submission_count",
-    "slot_inclusion_rate",
-    "meta_network_name",
-    "blob_hashes_length",
-]
 JOINED_FEE_COLUMNS = [
     "block_number",
     "extra_data",
@@ -85,12 +76,13 @@ def _bids(
 
     The blobs of one transaction are reduced to distinct rows before the join, so a transaction
     with many rows does not weigh on it. Rows without a fee record would be dropped as NULL
-    rows, hence the inner join.
+    rows, hence the inner join. Transactions of no included blob are dropped before the shuffle.
     """
     blobs = incl.where(F.col("meta_network_name") == network).select(
         "hash", "from", "meta_network_name", "slot_inclusion_rate", "submission_count"
     )
-    paid = splittable_join(blobs.distinct(), scan_txs(txs).distinct(), ["hash"])
+    fee_rows = prefilter(scan_txs(txs), blobs, "hash").distinct()
+    paid = splittable_join(blobs.distinct(), fee_rows, ["hash"])
     return drop_null_rows(
         builder_label(fee_breakdown(paid)).select(*columns).distinct()
     )
@@ -109,18 +101,23 @@ def _median_and_mean(
 ) -> DataFrame:
     """Exact median of one column and mean of another per group.
 
-    Rows are counted per (group, value) first. The medians taken here are of fee ratios rounded
-    to three decimals, so a group has few distinct values however many rows it has.
+    Rows are counted per (group, value) first; the counts are stored, since the selection of the
+    median reads them a few times. No task holds the values of a group.
     """
-    counted = df.groupBy(*keys, median_of).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(mean_of).alias("_sum"),
-        F.count(mean_of).alias("_n_mean"),
+    counted = materialize(
+        df.groupBy(*keys, F.col(median_of).alias("value")).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(mean_of).alias("_sum"),
+            F.count(mean_of).alias("_n_mean"),
+        ),
+        "counts",
     )
-    return counted.groupBy(*keys).agg(
-        F.percentile(median_of, F.lit(0.5), F.col("_n")).alias(median_of),
-        F.try_divide(F.sum("_sum"), F.sum("_n_mean")).alias(mean_of),
+    means = counted.groupBy(*keys).agg(
+        F.try_divide(F.sum("_sum"), F.sum("_n_mean")).alias(mean_of)
     )
+    values = counted.where("value IS NOT NULL").select(*keys, "value", "n")
+    medians = group_quantiles(values, keys, {median_of: 0.5}).drop("n_values")
+    return null_safe_join(means, medians, keys, "left").select(*keys, median_of, mean_of)
 
 
 def bid_premium(
@@ -167,10 +164,9 @@ def inclusion_joined(
 
 
 def joined_from_inputs(inputs: Inputs, network: str = "mainnet") -> DataFrame:
-    """The joined table straight from the inputs, with the inclusion table stored once."""
-    incl = slot_inclusion(inputs.mempool, inputs.sidecar, network)
-    stored = materialize(incl.select(*JOINED_SOURCE_COLUMNS), "inclusion")
-    return inclusion_joined(stored, inputs.txs, inputs.sequencers, network)
+    """The joined table straight from the inputs, with the included blobs stored once."""
+    incl = included_blobs(inputs.mempool, inputs.sidecar, network)
+    return inclusion_joined(incl, inputs.txs, inputs.sequencers, network)
 
 
 def filter_by_sequencer(

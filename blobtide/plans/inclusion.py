@@ -7,11 +7,13 @@ canonical sidecar by versioned hash.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blobtide.functions.columns import SECONDS_PER_SLOT, seconds_between, slots_between
-from blobtide.operators.ordered import ROWS_PER_BLOCK, rolling_mean
+from blobtide.operators.ordered import ROWS_PER_BLOCK, after_first, rolling_mean, with_row_id
 from blobtide.operators.rows import complete, explode_list, outlier_filter, sort_rows
 from blobtide.scratch import materialize
 
@@ -35,6 +37,7 @@ SIDECAR_JOIN_COLUMNS = [
     "blob_size",
     "blob_empty_size",
 ]
+# The columns of the inclusion table, in order.
 INCLUSION_COLUMNS = [
     "versioned_hash",
     "nonce",
@@ -64,12 +67,22 @@ INCLUSION_COLUMNS = [
     "slot_inclusion_rate_50_blob_avg",
     "2_slot_target_inclusion_rate",
 ]
-# Total order of blobs: slot time, then discrete columns that tell rows of one slot apart.
-INCLUSION_ORDER = [
+# What the joined table needs of the inclusion table.
+JOINED_SOURCE_COLUMNS = [
+    "slot",
     "slot_time",
-    "versioned_hash",
-    "nonce",
+    "hash",
+    "from",
+    "fill_percentage",
+    "submission_count",
+    "slot_inclusion_rate",
     "meta_network_name",
+    "blob_hashes_length",
+]
+# Order of blobs: slot time, then what tells the blobs of one slot apart, then a hash of the rest.
+INCLUSION_ORDER = ["slot_time", "versioned_hash", "nonce", "meta_network_name"]
+_TIE = "_tie"
+_TIE_COLUMNS = [
     "block_root",
     "kzg_commitment",
     "slot",
@@ -82,6 +95,7 @@ INCLUSION_ORDER = [
     "blob_size",
     "blob_empty_size",
 ]
+ROLLING_BLOBS = 50
 
 
 def _sightings_per_tx(mempool: DataFrame) -> DataFrame:
@@ -200,17 +214,46 @@ def inclusion_time(
 
 
 def rolling_inclusion(
-    df: DataFrame, n: int = 50, block_rows: int = ROWS_PER_BLOCK, ordered: bool = False
+    df: DataFrame, n: int = ROLLING_BLOBS, block_rows: int = ROWS_PER_BLOCK, ordered: bool = False
 ) -> DataFrame:
     """Add the mean slot inclusion of the last `n` blobs, NULL until there are `n`."""
+    tied = df if _TIE in df.columns else df.withColumn(_TIE, F.xxhash64(*_TIE_COLUMNS))
     return rolling_mean(
-        df,
-        INCLUSION_ORDER,
+        tied,
+        [*INCLUSION_ORDER, _TIE],
         {"slot_inclusion_rate": "slot_inclusion_rate_50_blob_avg"},
         n=n,
         block_rows=block_rows,
         ordered=ordered,
+    ).drop(_TIE)
+
+
+def _timed_blobs(mempool: DataFrame, sidecar: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Blobs with a canonical slot: `columns`, what their order needs, and whether the row is complete.
+
+    Blobs without a canonical sidecar have no slot: they come first in slot order with no value to
+    average and are dropped in the end, so they are left out from the start, like empty blob lists.
+    """
+    with_blobs = mempool.where(F.size("blob_hashes") > 0)
+    collapsed = materialize(mempool_by_nonce(with_blobs), "collapsed")
+    blobs = explode_blobs(submission_count(collapsed))
+    in_slots = sidecar.where(F.col("slot_start_date_time").isNotNull())
+    matched = mempool_sidecar_join(blobs, in_slots, how="inner")
+    timed = inclusion_time(matched, "slot_inclusion_rate").withColumnRenamed(
+        "slot_start_date_time", "slot_time"
     )
+    # completeness is noted, so that the columns that nobody wants need not be stored for it
+    flagged = timed.withColumns(
+        {"_complete": complete(timed.columns), _TIE: F.xxhash64(*_TIE_COLUMNS)}
+    )
+    wanted = [c for c in columns if c in timed.columns]
+    needed = dict.fromkeys([*wanted, *INCLUSION_ORDER, "slot_inclusion_rate", "_complete", _TIE])
+    return flagged.select(*needed)
+
+
+def _kept(blobs: DataFrame, network: str, max_rate: float) -> DataFrame:
+    complete_rows = blobs.where(F.col("_complete") & (F.col("meta_network_name") == network))
+    return outlier_filter(complete_rows, "slot_inclusion_rate", max_rate)
 
 
 def slot_inclusion(
@@ -219,35 +262,42 @@ def slot_inclusion(
     network: str = "mainnet",
     max_rate: float = 200,
     ordered: bool = False,
+    columns: Sequence[str] = INCLUSION_COLUMNS,
 ) -> DataFrame:
-    """Per blob: time and slots from first sighting to canonical slot (27 columns).
+    """Per blob: time and slots from first sighting to canonical slot (27 columns, or those wanted).
 
     The rolling mean covers all networks and outliers; they are filtered out after it.
-    `submission_count` counts the nonces that carried the same blob list. Blobs without a
-    canonical sidecar have no slot: they come first in slot order with no value to average and
-    are dropped in the end, so they are left out from the start, like empty blob lists.
+    `submission_count` counts the nonces that carried the same blob list.
     With `ordered` the result is sorted by slot time.
     """
-    with_blobs = mempool.where(F.size("blob_hashes") > 0)
-    collapsed = materialize(mempool_by_nonce(with_blobs), "collapsed")
-    blobs = explode_blobs(submission_count(collapsed))
-    in_slots = sidecar.where(F.col("slot_start_date_time").isNotNull())
-    matched = mempool_sidecar_join(blobs, in_slots, how="inner")
-    timed = inclusion_time(matched, "slot_inclusion_rate").withColumnRenamed(
-        "slot_start_date_time", "slot_time"
-    )
-    # Noted before the rows are ordered, so that a reader of a few columns of the result does
-    # not pull all the others through the rolling mean only to test them for NULL.
-    flagged = timed.withColumn("_complete", complete(timed.columns))
-    rolled = rolling_inclusion(flagged, ordered=ordered).withColumn(
+    timed = _timed_blobs(mempool, sidecar, columns)
+    rolled = rolling_inclusion(timed, ordered=ordered).withColumn(
         "2_slot_target_inclusion_rate", F.lit(2)
     )
-    kept = rolled.where(
-        F.col("_complete")
-        & F.col("slot_inclusion_rate_50_blob_avg").isNotNull()
-        & (F.col("meta_network_name") == network)
-    )
-    return outlier_filter(kept, "slot_inclusion_rate", max_rate).select(*INCLUSION_COLUMNS)
+    kept = rolled.where(F.col("slot_inclusion_rate_50_blob_avg").isNotNull())
+    return _kept(kept, network, max_rate).select(*columns)
+
+
+def included_blobs(
+    mempool: DataFrame,
+    sidecar: DataFrame,
+    network: str = "mainnet",
+    max_rate: float = 200,
+    columns: Sequence[str] = JOINED_SOURCE_COLUMNS,
+) -> DataFrame:
+    """The rows of `slot_inclusion` without its rolling mean, stored.
+
+    The mean only decides which rows are left out: those with fewer than 50 rates up to them. If
+    every blob has a rate these are the first 49, which a top-k finds. A blob without a rate, seen
+    at no time, takes the mean from the 49 after it as well; then the mean is needed.
+    """
+    rows = with_row_id(_timed_blobs(mempool, sidecar, columns))
+    if rows.where(F.col("slot_inclusion_rate").isNull()).isEmpty():
+        kept = after_first(rows, [*INCLUSION_ORDER, _TIE], ROLLING_BLOBS - 1)
+    else:
+        rolled = rolling_inclusion(rows)
+        kept = rolled.where(F.col("slot_inclusion_rate_50_blob_avg").isNotNull())
+    return _kept(kept, network, max_rate).select(*columns)
 
 
 def process_rollup(

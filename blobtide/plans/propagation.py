@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from blobtide.functions.columns import milliseconds_between
 from blobtide.operators.joins import splittable_join
 from blobtide.operators.ordered import rolling_mean
+from blobtide.operators.pivots import pivot_cells, pivot_columns, pivoted
 from blobtide.operators.rows import fill_numeric_nulls, split_labels
 from blobtide.sources.scans import scan_sidecar_events
 
@@ -89,9 +90,9 @@ def block_sidecar_joined(
     )
     # NULLs are filled and copies dropped on each side. A row then either matches or does not,
     # so the filled join is distinct as well and needs no shuffle above it. The slot is joined as
-    # it was: a NULL slot matches nothing and becomes -1 only in the result.
+    # it came, in a column of its own: a NULL slot matches nothing and is -1 only in the result.
     sightings, blocks, seen_blobs = (
-        fill_numeric_nulls(side).withColumn("_slot", F.nullif("slot", F.lit(-1)))
+        fill_numeric_nulls(side.withColumn("_slot", F.col("slot")), keep=["_slot"])
         for side in (sightings, blocks, spread.drop("min_slot_start_date_time"))
     )
     sightings, blocks = sightings.distinct(), blocks.drop("slot").distinct()
@@ -119,32 +120,15 @@ def block_blob_table(bsj: DataFrame, ordered: bool = False) -> DataFrame:
     return table.orderBy(slowest_first, "max_blob_index", CLIENT) if ordered else table
 
 
-def _pivot_values(df: DataFrame, column: str, given: Sequence | None) -> list:
-    """Values that get a column: all that are found, or the given ones if no other is found.
-
-    Runs a distinct over `df`; `column` has few values (clients, blobs per block).
-    """
-    found = {row[0] for row in df.select(column).distinct().collect()} - {None}
-    if given is None:
-        return sorted(found)
-    if extra := found - set(given):
-        raise ValueError(f"{column} has values without a column: {sorted(extra)}")
-    return list(given)
-
-
 def propagation_pivot(table: DataFrame, clients: Sequence[str] | None = None) -> DataFrame:
     """Mean propagation in seconds: one row per blob count, one column per client.
 
     All clients found get a column; a given list must name every one of them.
     """
-    clients = _pivot_values(table, CLIENT, clients)
     seconds = F.max(F.col("mean_propagation_slot_start_diff") / 1000)
-    return (
-        table.groupBy("max_blob_index")
-        .pivot(CLIENT, list(clients))
-        .agg(seconds)
-        .orderBy("max_blob_index")
-    )
+    cells = pivot_cells(table, ["max_blob_index"], CLIENT, seconds)
+    wanted = pivot_columns(cells, CLIENT, clients)
+    return pivoted(cells, ["max_blob_index"], CLIENT, wanted).orderBy("max_blob_index")
 
 
 def slot_propagation(bsj: DataFrame) -> DataFrame:
@@ -155,22 +139,23 @@ def slot_propagation(bsj: DataFrame) -> DataFrame:
     )
 
 
+def _slot_cells(propagation: DataFrame) -> DataFrame:
+    return pivot_cells(propagation, ["slot_start_date_time"], "max_blob_index", F.max(DELAY))
+
+
+def _blob_columns(cells: DataFrame, blobs: Sequence[int]) -> DataFrame:
+    return pivoted(
+        cells, ["slot_start_date_time"], "max_blob_index", blobs, lambda n: f"blobs_{n}"
+    )
+
+
 def propagation_by_blobs(propagation: DataFrame, blobs: Sequence[int] | None = None) -> DataFrame:
     """One row per slot start, one column `blobs_<n>` of mean propagation per blob count.
 
     All blob counts found get a column; a given list must name every one of them.
     """
-    return _blob_columns(propagation, _pivot_values(propagation, "max_blob_index", blobs))
-
-
-def _blob_columns(propagation: DataFrame, blobs: Sequence[int]) -> DataFrame:
-    """The wanted blob counts as columns; slots with none of them are rows all the same."""
-    return (
-        propagation.groupBy("slot_start_date_time")
-        .pivot("max_blob_index", list(blobs))
-        .agg(F.max(DELAY))
-        .withColumnsRenamed({str(n): f"blobs_{n}" for n in blobs})
-    )
+    cells = _slot_cells(propagation)
+    return _blob_columns(cells, pivot_columns(cells, "max_blob_index", blobs))
 
 
 def slow_one_blob_slots(
@@ -180,9 +165,10 @@ def slow_one_blob_slots(
     columns: Sequence[int] | None = None,
 ) -> DataFrame:
     """Pivoted slots whose mean propagation at `blobs` blobs is above `min_ms`."""
-    columns = _pivot_values(propagation, "max_blob_index", columns)
+    cells = _slot_cells(propagation)
+    columns = pivot_columns(cells, "max_blob_index", columns)
     shown = columns if blobs in columns else sorted([*columns, blobs])
-    return _blob_columns(propagation, shown).where(F.col(f"blobs_{blobs}") > min_ms)
+    return _blob_columns(cells, shown).where(F.col(f"blobs_{blobs}") > min_ms)
 
 
 def rolling_propagation(
@@ -193,10 +179,11 @@ def rolling_propagation(
     The window counts slots; slots without a value are skipped in the mean.
     """
     # a slot without any of the wanted blob counts is still a row of the window
-    pivoted = _blob_columns(propagation, blobs)
-    seconds = pivoted.select(
-        "slot_start_date_time",
-        *[(F.col(f"blobs_{b}") / 1000).alias(f"blobs_{b}") for b in blobs],
+    seconds = propagation.groupBy("slot_start_date_time").agg(
+        *[
+            (F.max(F.when(F.col("max_blob_index") == b, F.col(DELAY))) / 1000).alias(f"blobs_{b}")
+            for b in blobs
+        ]
     )
     return rolling_mean(
         seconds,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blobtide.operators.grouping import group_with_text
 from blobtide.operators.ordered import cumulative_sum
 from blobtide.operators.rows import drop_null_rows
 
@@ -17,43 +18,46 @@ def _distinct_complete(joined: DataFrame) -> DataFrame:
 
 def blob_block(joined: DataFrame, ordered: bool = False) -> DataFrame:
     """Per (block, rollup): fee sums, mean inclusion and gas, and number of blobs."""
-    blocks = (
-        _distinct_complete(joined)
-        .groupBy("block_number", "sequencer_names")
-        .agg(
-            F.min("slot_time").alias("slot_time"),
-            F.min("extra_data").alias("extra_data"),
-            F.sum("base_tx_fee_eth").alias("base_fees_per_block_eth"),
-            F.sum("priority_tx_fee_eth").alias("priority_fees_per_block_eth"),
-            F.sum("total_tx_fee_eth").alias("total_tx_fees_per_block_eth"),
-            F.avg("slot_inclusion_rate").alias("avg_slot_inclusion_rate_per_block"),
-            F.avg("priority_fee_gas").alias("avg_priority_fee_gas_per_block_gwei"),
-            F.avg("base_fee_per_gas").alias("base_fee_per_gas"),
-            F.sum("blob_hashes_length").alias("blobs_per_block"),
-        )
+    blocks = group_with_text(
+        _distinct_complete(joined),
+        ["block_number", "sequencer_names"],
+        "extra_data",
+        {
+            "slot_time": ("min", "slot_time"),
+            "base_fees_per_block_eth": ("sum", "base_tx_fee_eth"),
+            "priority_fees_per_block_eth": ("sum", "priority_tx_fee_eth"),
+            "total_tx_fees_per_block_eth": ("sum", "total_tx_fee_eth"),
+            "avg_slot_inclusion_rate_per_block": ("avg", "slot_inclusion_rate"),
+            "avg_priority_fee_gas_per_block_gwei": ("avg", "priority_fee_gas"),
+            "base_fee_per_gas": ("avg", "base_fee_per_gas"),
+            "blobs_per_block": ("sum", "blob_hashes_length"),
+        },
     )
     return blocks.orderBy("block_number", "sequencer_names") if ordered else blocks
 
 
 def block_agg(blob_blocks: DataFrame, ordered: bool = False) -> DataFrame:
     """Per slot time, over all rollups. Means are unweighted means of the rollups' means."""
-    blocks = (
-        blob_blocks.groupBy("slot_time")
-        .agg(
-            F.min("block_number").alias("block_number"),
-            F.min("extra_data").alias("extra_data"),
-            F.sum("base_fees_per_block_eth").alias("base_fees_per_block_eth"),
-            F.sum("priority_fees_per_block_eth").alias("priority_fees_per_block_eth"),
-            F.sum("total_tx_fees_per_block_eth").alias("total_tx_fees_per_block_eth"),
-            F.avg("avg_slot_inclusion_rate_per_block").alias(
-                "avg_slot_inclusion_rate_per_block"
-            ),
-            F.avg("avg_priority_fee_gas_per_block_gwei").alias(
-                "avg_priority_fee_gas_per_block_gwei"
-            ),
-            F.avg("base_fee_per_gas").alias("base_fee_per_gas"),
-            F.sum("blobs_per_block").alias("blobs_per_block"),
-        )
+    sums = [
+        "base_fees_per_block_eth",
+        "priority_fees_per_block_eth",
+        "total_tx_fees_per_block_eth",
+    ]
+    means = [
+        "avg_slot_inclusion_rate_per_block",
+        "avg_priority_fee_gas_per_block_gwei",
+        "base_fee_per_gas",
+    ]
+    blocks = group_with_text(
+        blob_blocks,
+        ["slot_time"],
+        "extra_data",
+        {
+            "block_number": ("min", "block_number"),
+            **{c: ("sum", c) for c in sums},
+            **{c: ("avg", c) for c in means},
+            "blobs_per_block": ("sum", "blobs_per_block"),
+        },
     )
     return blocks.orderBy("block_number", "slot_time") if ordered else blocks
 

@@ -3,12 +3,19 @@
 A result that is read more than once, or whose row numbering must stay fixed when an executor
 is lost, is written once as Parquet below `spark.checkpoint.dir` and read back. Unlike an RDD
 checkpoint the table is columnar, so each reader scans only the columns it needs.
+
+Tables belong to the innermost open `scope` and are deleted with it; without one they stay until the
+driver ends. A long refresh opens a scope per step, so that its disk holds what the step needs and
+not what all earlier ones needed.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,13 +49,54 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+class Scope:
+    """The scratch tables made while it is open."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    @contextmanager
+    def open(self) -> Iterator[Scope]:
+        """Own the tables made inside; they stay until `free`."""
+        token = _current.set(self)
+        try:
+            yield self
+        finally:
+            _current.reset(token)
+
+    def free(self) -> None:
+        """Delete its tables. Frames that read them stop working."""
+        while self.paths:
+            file_system, path = _hadoop_path(self.spark, self.paths.pop())
+            file_system.delete(path, True)
+
+
+_current: ContextVar[Scope | None] = ContextVar("blobtide_scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Tables made inside are deleted at the end, also after an error."""
+    own = Scope(spark)
+    try:
+        with own.open():
+            yield own
+    finally:
+        own.free()
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write `df` to a scratch table and return a frame that reads it.
 
-    The table is deleted when the driver's JVM exits, or before by `drop_scratch`.
+    The table is deleted with the scope it was made in or by `drop_scratch`, and at the latest when the
+    driver's JVM exits.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    owner = _current.get()
+    if owner is not None:
+        owner.paths.append(path)
     df.write.parquet(path)
     root = scratch_root(spark)
     if root not in _delete_on_exit:
@@ -58,6 +106,17 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame], label: str = "table") -> DataFrame:
+    """The frame that `build` returns, stored; every table made on the way is deleted."""
+    own = Scope(spark)
+    try:
+        with own.open():
+            df = build()
+        return materialize(df, label)
+    finally:
+        own.free()
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     """Hadoop file system and path object of a folder."""
     context = spark.sparkContext

@@ -1,7 +1,8 @@
 """Scans of the event tables: time window, row filter and column list of each input.
 
 Every scan is a plain filter and projection, so on Parquet both reach the reader. `as_of` is the
-upper end of the "last n days" window; it defaults to the current time.
+upper end of the "last n days" window; it defaults to the current time. Of a table that is laid out
+by day (`files.write_days`) only the days of the window are opened.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blobtide.functions.columns import fill_percentage, list_length
-from blobtide.operators.joins import splittable_join
+from blobtide.operators.bloom import prefilter
+from blobtide.operators.joins import null_safe_join, splittable_join
 from blobtide.operators.rows import latest_per_key
+from blobtide.scratch import materialize
+from blobtide.sources.files import EVENT_DATE, EVENT_TIME
 
 SIDECAR_COLUMNS = [
     "slot",
@@ -42,9 +46,24 @@ def newer_than(moment: Column, as_of: datetime | None, n_days: int) -> Column:
 
     The bound is a literal when `as_of` is given, so the reader can skip row groups by it.
     """
+    return moment > _bound(as_of, n_days)
+
+
+def _bound(as_of: datetime | None, n_days: int) -> Column:
     if as_of is None:
-        return moment > F.localtimestamp() - F.make_dt_interval(F.lit(n_days))
-    return moment > F.lit(as_of - timedelta(days=n_days)).cast("timestamp_ntz")
+        return F.localtimestamp() - F.make_dt_interval(F.lit(n_days))
+    return F.lit(as_of - timedelta(days=n_days)).cast("timestamp_ntz")
+
+
+def recent(raw: DataFrame, as_of: datetime | None, n_days: int) -> Column:
+    """The events of `raw` in the window. In a table laid out by day the day is bounded as well.
+
+    The second bound follows from the first, since a day folder holds the events of its own day.
+    """
+    inside = newer_than(F.col(EVENT_TIME), as_of, n_days)
+    if EVENT_DATE not in raw.columns:
+        return inside
+    return inside & (F.col(EVENT_DATE) >= _bound(as_of, n_days).cast("date"))
 
 
 def scan_mempool(
@@ -57,7 +76,7 @@ def scan_mempool(
 ) -> DataFrame:
     """Mempool sightings of blob transactions, with list length and fill percentage."""
     rows = raw.where(
-        newer_than(F.col("event_date_time"), as_of, n_days) & (F.col("type") == tx_type)
+        recent(raw, as_of, n_days) & (F.col("type") == tx_type)
     )
     if network is not None:
         rows = rows.where(F.col("meta_network_name") == network)
@@ -97,7 +116,7 @@ def scan_canonical_sidecar(
 
     `with_client` gives the propagation form: the consensus client in place of the network.
     """
-    rows = raw.where(newer_than(F.col("event_date_time"), as_of, n_days))
+    rows = raw.where(recent(raw, as_of, n_days))
     if network is not None:
         rows = rows.where(F.col("meta_network_name") == network)
     scope = "meta_consensus_implementation" if with_client else "meta_network_name"
@@ -114,7 +133,7 @@ def scan_block_events(
 ) -> DataFrame:
     """Block sightings by the observing nodes."""
     return raw.where(
-        newer_than(F.col("event_date_time"), as_of, n_days)
+        recent(raw, as_of, n_days)
         & (F.col("meta_network_name") == network)
     ).select(
         "event_date_time",
@@ -136,7 +155,13 @@ def scan_canonical_block(
     keys: tuple[str, ...] = ("slot",),
     version: str = "version",
 ) -> DataFrame:
-    """Canonical blocks, latest version per key, with `block_root` named `block`."""
+    """Canonical blocks, latest version per key, with `block_root` named `block`.
+
+    `keys` tell the blocks of one network apart. The latest of all versions counts, whenever it was
+    seen; only then is the window applied. A block whose latest version is older than the window is
+    left out, also if an earlier version lies in it. Keys without any row in the window cannot
+    have their latest one there, so their versions are not compared.
+    """
     columns = [
         "slot",
         "slot_start_date_time",
@@ -145,11 +170,11 @@ def scan_canonical_block(
         "execution_payload_transactions_total_bytes_compressed",
         "meta_consensus_implementation",
     ]
-    rows = raw.where(
-        newer_than(F.col("event_date_time"), as_of, n_days)
-        & (F.col("meta_network_name") == network)
-    ).select(*columns, version)
-    return latest_per_key(rows, list(keys), version).drop(version)
+    blocks = raw.where(F.col("meta_network_name") == network)
+    touched = blocks.where(recent(raw, as_of, n_days)).select(*keys).distinct()
+    versions = null_safe_join(blocks, touched, keys, "left_semi")
+    latest = latest_per_key(versions, list(keys), version)
+    return latest.where(recent(raw, as_of, n_days)).select(*columns)
 
 
 def scan_sidecar_events(
@@ -160,7 +185,7 @@ def scan_sidecar_events(
 ) -> DataFrame:
     """Blob sidecar sightings, the input of the propagation spread."""
     return raw.where(
-        newer_than(F.col("event_date_time"), as_of, n_days)
+        recent(raw, as_of, n_days)
         & (F.col("meta_network_name") == network)
     ).select(
         "kzg_commitment",
@@ -173,8 +198,13 @@ def scan_sidecar_events(
 
 
 def scan_txs(txs: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
-    """Transaction fees, kept to the transactions in `hashes` (a frame with a `hash` column)."""
+    """Transaction fees, kept to the transactions in `hashes` (a frame with a `hash` column).
+
+    Many hashes are stored and made into a Bloom filter, which drops most other transactions before
+    the join shuffles them.
+    """
     rows = txs.select(*TX_COLUMNS)
     if hashes is None:
         return rows
-    return splittable_join(rows, hashes.select("hash").distinct(), ["hash"], "left_semi")
+    wanted = materialize(hashes.select("hash").distinct(), "hashes")
+    return splittable_join(prefilter(rows, wanted, "hash"), wanted, ["hash"], "left_semi")

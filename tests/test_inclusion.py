@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blobtide import schemas
+from blobtide.operators import ordered
 from blobtide.plans import fees, inclusion
 from blobtide.sources import scans
 
@@ -149,6 +150,38 @@ def test_rolling_mean_spans_networks_and_outliers(spark, many_partitions):
     assert inclusion.slot_inclusion(more, sidecars(spark, *found), ordered=True).collect() == rows
 
 
+@pytest.mark.parametrize("blobs", [10, 49, 60, 130])
+@pytest.mark.parametrize("unseen", [False, True])
+def test_included_blobs_are_the_rows_of_the_general_path(spark, many_partitions, monkeypatch, blobs, unseen):
+    """Without the rolling mean the same rows come out, and nothing is range-partitioned."""
+    sightings, found = [], []
+    for i in range(blobs):
+        # several blobs share a slot time
+        slot = T0 + timedelta(hours=2, seconds=12 * (i // 3))
+        network = "holesky" if i % 10 == 5 else "mainnet"
+        seen = slot - timedelta(seconds=12 * (250 if i == 55 else 2))
+        sightings.append(sighting([f"h{i:03}"], nonce=i, tx=f"0x{i}", seen=seen, size=0 if i % 7 == 3 else 131072))
+        found.append((f"h{i:03}", slot, network))
+    pool = mempool(spark, *sightings)
+    if unseen:
+        # a blob without a first sighting has no rate, and the 49 after it no mean
+        pool = pool.withColumn("event_date_time", F.expr("CASE WHEN nonce <> 52 THEN event_date_time END"))
+    side = sidecars(spark, *found)
+    columns = inclusion.JOINED_SOURCE_COLUMNS
+    general = inclusion.slot_inclusion(pool, side).select(*columns)
+    plans, stored = [], ordered.materialize
+    monkeypatch.setattr(
+        ordered, "materialize",
+        lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, label),
+    )
+    rows = inclusion.included_blobs(pool, side)
+    assert rows.columns == columns
+    assert sorted(map(str, rows.collect())) == sorted(map(str, general.collect()))
+    plans.append(rows._jdf.queryExecution().executedPlan().toString())
+    if not unseen or blobs < 53:
+        assert not any("rangepartitioning" in p for p in plans)
+
+
 def incl_frame(spark, rows):
     """Rows are (hash, from, rate, submission_count)."""
     df = spark.createDataFrame(

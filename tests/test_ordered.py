@@ -4,7 +4,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from blobtide.operators.distributions import density, density_2d, histogram
-from blobtide.operators.ordered import PIECE, cumulative_sum, number_rows, rolling_mean, sorted_pieces
+from blobtide.operators import ordered
+from blobtide.operators.ordered import (
+    PIECE,
+    after_first,
+    cumulative_sum,
+    number_rows,
+    rolling_mean,
+    sorted_pieces,
+    with_row_id,
+)
 from blobtide.operators.quantiles import exact_quantiles, value_counts
 
 
@@ -142,3 +151,54 @@ def test_density_2d_is_close_to_the_sum_of_kernels(spark, many_partitions):
             math.exp(-0.5 * (((r.x - x) / a) ** 2 + ((r.y - y) / b) ** 2)) for x, y in points
         ) / (len(points) * 2 * math.pi * a * b)
         assert r.density == pytest.approx(exact, abs=2e-4)
+
+
+@pytest.mark.parametrize("kind", ["mean", "sum", "number", "narrow"])
+def test_input_runs_once_and_only_keys_are_ordered(spark, many_partitions, monkeypatch, kind):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    stored, materialize = {}, ordered.materialize
+
+    def noted(df, label):
+        stored[label] = df.columns
+        return materialize(df, label)
+
+    monkeypatch.setattr(ordered, "materialize", noted)
+    df = spark.range(500, numPartitions=4).selectExpr("id", "id % 50 AS t", "double(id) AS v", "repeat('x', 50) AS wide")
+    df = (df.drop("wide") if kind == "narrow" else df).mapInArrow(counted, (df.drop("wide") if kind == "narrow" else df).schema)
+    if kind == "mean":
+        out = rolling_mean(df, ["t", "id"], {"v": "m"}, 5)
+    elif kind == "number":
+        out = number_rows(df, ["t", "id"])
+    else:
+        out = cumulative_sum(df, ["t", "id"], {"v": "m"})
+    rows = out.collect()
+    assert len(rows) == 500 and seen.value == 500
+    assert stored["ordered"] == {
+        "mean": ["_row_id", "v", "_position"], "sum": ["_row_id", "v", "_position"],
+        "number": ["_row_id", "_position"], "narrow": ["id", "t", "v", "_position"],
+    }[kind]
+    order = sorted(range(500), key=lambda i: (i % 50, i))
+    if kind == "number":
+        assert {r.id: r._row for r in rows} == {i: k for k, i in enumerate(order)}
+    elif kind != "mean":
+        total, want = 0.0, {}
+        for i in order:
+            total += i
+            want[i] = total
+        assert {r.id: r.m for r in rows} == want
+
+
+def test_after_first_needs_no_range_exchange(spark):
+    df = spark.range(300, numPartitions=4).selectExpr("id % 60 AS t", "id", "'x' AS wide")
+    rows = with_row_id(df)
+    for n in (0, 1, 49, 300, 500):
+        left = after_first(rows, ["t", "id"], n)
+        assert "rangepartitioning" not in left._jdf.queryExecution().executedPlan().toString()
+        order = sorted(range(300), key=lambda i: (i % 60, i))
+        assert sorted(r.id for r in left.collect()) == sorted(order[n:])

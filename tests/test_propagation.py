@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from blobtide import schemas
 from blobtide.operators import distributions
@@ -159,3 +160,31 @@ def test_null_groups_have_bins_boxes_and_densities(spark):
     assert [b["count"] for b in bins] == [1, 1]
     assert distributions.box_stats(df, "v", ["g"]).where("g IS NULL").first()["median"] == 2.0
     assert distributions.density(df, "v", ["g"], grid=3).where("g IS NULL").count() == 3
+
+
+def test_a_null_slot_matches_nothing(spark):
+    sightings = events(spark, (1, "teku", 100)).unionByName(
+        events(spark, (1, "teku", 200), (-1, "teku", 300)).withColumn(
+            "slot", F.expr("CASE WHEN propagation_slot_start_diff = 200 THEN NULL ELSE slot END")
+        )
+    )
+    blocks = spark.createDataFrame(
+        [(None, T0, "0xnull", 1, 1, "teku"), (-1, T0, "0xminus", 2, 2, "teku")],
+        "slot long, slot_start_date_time timestamp_ntz, block string, block_total_bytes_compressed long,"
+        " execution_payload_transactions_total_bytes_compressed long, meta_consensus_implementation string",
+    )
+    spread = spark.createDataFrame(
+        [("k", None, "teku", T0, T0, T0, 5, 0)],
+        "kzg_commitment string, slot long, meta_consensus_implementation string, min_slot_start_date_time timestamp_ntz,"
+        " first_event_time timestamp_ntz, last_event_time timestamp_ntz, time_diff_milliseconds long, max_blob_index long",
+    )
+    sidecar = spark.createDataFrame(
+        [], "slot long, slot_start_date_time timestamp_ntz, block_root string, kzg_commitment string,"
+        " meta_consensus_implementation string, blob_index long, versioned_hash string, blob_size long, blob_empty_size long",
+    )
+    got = {
+        r.propagation_slot_start_diff: (r.slot, r.block_canonical_block, r.max_blob_index)
+        for r in propagation.block_sidecar_joined(sightings, blocks, spread, sidecar).collect()
+    }
+    # NULL finds neither the block nor the blobs without a slot; a slot of -1 is a slot
+    assert got == {100: (1, None, 0), 200: (-1, None, 0), 300: (-1, "0xminus", 0)}

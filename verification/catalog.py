@@ -21,7 +21,7 @@ from blobtide.plans import charts, fees, inclusion, propagation, resubmission, r
 from blobtide.scratch import materialize, scratch_path
 from blobtide.session import configure
 from blobtide.sources import files, inputs, scans
-from verification.fixtures import SEQUENCER_MAPPING, Fixtures
+from verification.fixtures import FOUND_BLOB_COUNTS, FOUND_CLIENTS, SEQUENCER_MAPPING, Fixtures
 from verification.fixtures_sql import FIXTURES
 from verification.pipelines_sql import (
     COMPLETE,
@@ -231,8 +231,8 @@ def _roundtrip_csv(t: Tables) -> DataFrame:
 
 def _input_counts(t: Tables) -> DataFrame:
     folder = scratch_path(t.spark, "inputs")
-    files.write_cached(t.raw.mempool, f"{folder}/{inputs.MEMPOOL_TABLE}")
-    files.write_cached(
+    files.write_days(t.raw.mempool, f"{folder}/{inputs.MEMPOOL_TABLE}")
+    files.write_days(
         t.raw.sidecar.withColumn("meta_consensus_implementation", F.lit(None).cast("string")),
         f"{folder}/{inputs.SIDECAR_TABLE}",
     )
@@ -262,7 +262,7 @@ GROUP BY hash"""
 _GWEI = {c: 6 for c in ("blob_gas_fee_cap", "gas_price", "gas_tip_cap", "gas_fee_cap")}
 
 
-def _density_2d_sql(column: str, bandwidths=(0.1, 1.0), cells=128, grid=50) -> str:
+def _density_2d_sql(column: str, bandwidths=(0.1, 1.0), cells=256, grid=100) -> str:
     axes = ", ".join(
         f"min({c}) AS lo_{c}, max({c}) AS hi_{c}, stddev_samp({c}) AS sd_{c}" for c in "xy"
     )
@@ -298,7 +298,7 @@ WITH ranges AS (
   FROM labeled GROUP BY has_blobs, reorged),
 cells AS (
   SELECT has_blobs, reorged,
-         least(floor((propagation_slot_start_diff - lo) / (hi - lo) * 512), 511) AS cell,
+         least(floor((propagation_slot_start_diff - lo) / (hi - lo) * 2048), 2047) AS cell,
          count(*) AS n
   FROM labeled JOIN ranges USING (has_blobs, reorged) GROUP BY ALL)
 SELECT has_blobs, reorged, x,
@@ -306,8 +306,8 @@ SELECT has_blobs, reorged, x,
          AS density
 FROM (
   SELECT c.has_blobs, c.reorged, n, total, sd * pow(total, -0.2) AS h,
-         lo + (cell + 0.5) * (hi - lo) / 512 AS center, lo + i * ((hi - lo) / 99) AS x
-  FROM cells c JOIN ranges USING (has_blobs, reorged), range(0, 100) g(i))
+         lo + (cell + 0.5) * (hi - lo) / 2048 AS center, lo + i * ((hi - lo) / 511) AS x
+  FROM cells c JOIN ranges USING (has_blobs, reorged), range(0, 512) g(i))
 GROUP BY has_blobs, reorged, x"""
 
 _BOX = """
@@ -369,8 +369,10 @@ CHECKS: dict[str, Check] = {
     "latest_per_key": Check(
         lambda t: rows.latest_per_key(t.raw.canonical_block, ["slot"], "version"),
         """SELECT * FROM fx_canonical_block
-           QUALIFY row_number() OVER (PARTITION BY slot ORDER BY version DESC) = 1""",
+           QUALIFY row_number() OVER (PARTITION BY slot
+                                      ORDER BY version DESC, slot_start_date_time DESC) = 1""",
     ),
+    "scan_canonical_block": Check(lambda t: t.canonical, "SELECT * FROM canonical"),
     "blob_sidecar_spread": Check(
         lambda t: propagation.blob_sidecar_spread(t.raw.sidecar_event, PROPAGATION_AS_OF),
         SPREAD.format(as_of=PROPAGATION_AS_OF, days=1),
@@ -493,13 +495,13 @@ CHECKS: dict[str, Check] = {
     ),
     "slot_gas_bidding": Check(
         lambda t: fees.slot_gas_bidding(
-            inclusion.slot_inclusion(t.mempool, t.sidecar), t.raw.txs
+            inclusion.included_blobs(t.mempool, t.sidecar), t.raw.txs
         ),
         "SELECT * FROM gas",
         FEES,
     ),
     "bid_premium": Check(
-        lambda t: fees.bid_premium(inclusion.slot_inclusion(t.mempool, t.sidecar), t.raw.txs),
+        lambda t: fees.bid_premium(inclusion.included_blobs(t.mempool, t.sidecar), t.raw.txs),
         """SELECT slot_inclusion_rate,
                   median(priority_fee_bid_percent_premium) AS priority_fee_bid_percent_premium,
                   avg(effective_gas_price_gwei) AS effective_gas_price_gwei
@@ -643,21 +645,26 @@ CHECKS: dict[str, Check] = {
         {"mean_propagation_slot_start_diff": 6, "mean_block_size_compressed": 6},
     ),
     "propagation_pivot": Check(
-        lambda t: propagation.propagation_pivot(propagation.block_blob_table(t.bsj), propagation.CLIENTS),
+        lambda t: propagation.propagation_pivot(propagation.block_blob_table(t.bsj)),
         "SELECT max_blob_index, "
         + ", ".join(
             "max(CASE WHEN meta_consensus_implementation = "
             f"'{c}' THEN mean_propagation_slot_start_diff / 1000 END) AS {c}"
-            for c in propagation.CLIENTS
+            for c in FOUND_CLIENTS
         )
         + " FROM client_table GROUP BY max_blob_index",
-        {c: 6 for c in propagation.CLIENTS},
+        {c: 6 for c in FOUND_CLIENTS},
     ),
     "slot_propagation": Check(lambda t: t.slot_prop, "SELECT * FROM slot_prop", DELAY),
+    "propagation_by_blobs": Check(
+        lambda t: propagation.propagation_by_blobs(t.slot_prop),
+        "SELECT * FROM slot_pivot",
+        {f"blobs_{n}": 6 for n in FOUND_BLOB_COUNTS},
+    ),
     "slow_one_blob_slots": Check(
-        lambda t: propagation.slow_one_blob_slots(t.slot_prop, columns=propagation.BLOB_COUNTS),
+        lambda t: propagation.slow_one_blob_slots(t.slot_prop),
         "SELECT * FROM slot_pivot WHERE blobs_1 > 8000",
-        {f"blobs_{n}": 6 for n in propagation.BLOB_COUNTS},
+        {f"blobs_{n}": 6 for n in FOUND_BLOB_COUNTS},
     ),
     "rolling_propagation": Check(
         lambda t: propagation.rolling_propagation(t.slot_prop),

@@ -14,6 +14,10 @@ SEQUENCER_MAPPING = {
     "sequencer_names": ROLLUP_SEQUENCERS["sequencer_names"],
 }
 
+# What the derived sightings hold at every scale factor; the pivots must find it by themselves.
+FOUND_CLIENTS = ["grandine", "lighthouse", "lodestar", "nimbus", "prysm", "teku"]
+FOUND_BLOB_COUNTS = [0, 1, 2, 3, 9]
+
 BASE = """
 SELECT event_id, ts, value, g, b, CASE WHEN b % 29 = 0 THEN 0 ELSE 1 + b % 6 END AS n
 FROM (
@@ -69,7 +73,7 @@ FROM (
 
 TXS = """
 SELECT hash, min(slot) + 1000000 AS block_number,
-       CASE WHEN min(slot) % 31 = 0 THEN NULL
+       CASE WHEN min(slot) % 31 = 0 THEN NULL WHEN min(slot) % 31 = 1 THEN '0xe974e9'
             ELSE concat('0x', lower(hex(
               CASE min(slot) % 5 WHEN 0 THEN 'geth go1.22' WHEN 1 THEN 'reth/v0.2.0'
                    WHEN 2 THEN 'rsync-builder.xyz' WHEN 3 THEN 'beaverbuild.org' ELSE 'Titan' END)))
@@ -88,23 +92,24 @@ GROUP BY hash
 """
 
 BLOCK_EVENT = """
-SELECT slot, CAST(timestamp_seconds(1704067200 + slot * 12) AS TIMESTAMP_NTZ)
-         AS slot_start_date_time,
-       CAST(timestamp_millis(CAST((1704067200 + slot * 12) * 1000 + diff AS BIGINT))
+SELECT CASE WHEN s % 41 = 7 THEN NULL ELSE s END AS slot,
+       CAST(timestamp_seconds(1704067200 + s * 12) AS TIMESTAMP_NTZ) AS slot_start_date_time,
+       CAST(timestamp_millis(CAST((1704067200 + s * 12) * 1000 + diff AS BIGINT))
             AS TIMESTAMP_NTZ) AS event_date_time,
-       diff AS propagation_slot_start_diff, concat('0xb', slot) AS block,
-       CAST(floor(slot / 32) AS BIGINT) AS epoch, 'mainnet' AS meta_network_name,
+       diff AS propagation_slot_start_diff, concat('0xb', s) AS block,
+       CAST(floor(s / 32) AS BIGINT) AS epoch, 'mainnet' AS meta_network_name,
        client AS meta_consensus_implementation
 FROM (
-  SELECT event_id AS slot, CAST(floor(value * 100) AS BIGINT) + c AS diff,
+  SELECT event_id AS s, CAST(floor(value * 100) AS BIGINT) + c AS diff,
+         CASE WHEN event_id % 37 = 0 THEN 'grandine' ELSE
          CASE (event_id + c) % 5 WHEN 0 THEN 'lighthouse' WHEN 1 THEN 'prysm' WHEN 2 THEN 'teku'
-              WHEN 3 THEN 'lodestar' ELSE 'nimbus' END AS client
+              WHEN 3 THEN 'lodestar' ELSE 'nimbus' END END AS client
   FROM {events} LATERAL VIEW explode(array(0, 1)) k AS c
 )
 """
 
 CANONICAL_BLOCK = """
-SELECT event_id AS slot,
+SELECT CASE WHEN event_id % 43 = 5 THEN NULL ELSE event_id END AS slot,
        CAST(timestamp_seconds(1704067200 + event_id * 12) AS TIMESTAMP_NTZ)
          AS slot_start_date_time,
        concat('0xb', event_id) AS block_root,
@@ -112,36 +117,38 @@ SELECT event_id AS slot,
        CAST(30000 + event_id % 700 AS BIGINT)
          AS execution_payload_transactions_total_bytes_compressed,
        'lighthouse' AS meta_consensus_implementation, 'mainnet' AS meta_network_name,
-       CAST(timestamp_seconds(1704067200 + event_id * 12 + 12) AS TIMESTAMP_NTZ)
-         AS event_date_time,
+       CAST(timestamp_seconds(1704067200 + event_id * 12 + 12 - CASE WHEN v = 2 THEN 3456000 ELSE 0 END)
+            AS TIMESTAMP_NTZ) AS event_date_time,
        CAST(v AS BIGINT) AS version
-FROM {events} LATERAL VIEW explode(array(0, 1)) k AS v
-WHERE event_id % 10 <> 0 AND (v = 0 OR event_id % 6 = 0)
+FROM {events} LATERAL VIEW explode(array(0, 1, 2)) k AS v
+WHERE event_id % 10 <> 0
+  AND (v = 0 OR v = 1 AND event_id % 6 = 0 OR v = 2 AND event_id % 22 = 4)
 """
 
 SIDECAR_EVENT = """
-SELECT concat('0xkzg', slot, '-', i) AS kzg_commitment, slot,
-       client AS meta_consensus_implementation,
-       CAST(timestamp_seconds(1704067200 + slot * 12) AS TIMESTAMP_NTZ) AS slot_start_date_time,
-       CAST(timestamp_millis(CAST((1704067200 + slot * 12) * 1000 + 1500 + 200 * i + 37 * obs
+SELECT concat('0xkzg', s, '-', i) AS kzg_commitment, slot,
+       client AS meta_consensus_implementation, slot_start_date_time,
+       CAST(timestamp_millis(CAST((1704067200 + s * 12) * 1000 + 1500 + 200 * i + 37 * obs
             AS BIGINT)) AS TIMESTAMP_NTZ) AS event_date_time,
        i AS blob_index, 'mainnet' AS meta_network_name
 FROM (
-  SELECT slot, meta_consensus_implementation AS client, slot % 4 AS n, obs
+  SELECT slot, slot_start_date_time, coalesce(slot, 0) AS s, meta_consensus_implementation AS client,
+         CASE WHEN slot % 30 = 3 THEN 9 ELSE coalesce(slot, 1) % 4 END AS n, obs
   FROM {block_event} LATERAL VIEW explode(array(0, 1)) k AS obs
-  WHERE slot % 4 > 0
-) LATERAL VIEW explode(sequence(CAST(0 AS BIGINT), CAST(n - 1 AS BIGINT))) u AS i
+) LATERAL VIEW explode(CASE WHEN n > 0 THEN sequence(CAST(0 AS BIGINT), CAST(n - 1 AS BIGINT))
+                       END) u AS i
 """
 
 SIDECAR_CLIENT = """
 SELECT slot, slot_start_date_time, slot_start_date_time AS event_date_time,
-       concat('0xb', slot) AS block_root, kzg_commitment, meta_consensus_implementation,
+       concat('0xb', coalesce(slot, 0)) AS block_root, kzg_commitment,
+       meta_consensus_implementation,
        blob_index, concat('0x01', kzg_commitment) AS versioned_hash,
        CAST(131072 AS BIGINT) AS blob_size, (slot * 37) % 131072 AS blob_empty_size
 FROM (
   SELECT DISTINCT slot, slot_start_date_time, kzg_commitment, meta_consensus_implementation,
          blob_index
-  FROM {sidecar_event} WHERE slot % 10 <> 0
+  FROM {sidecar_event} WHERE slot % 10 <> 0 OR slot IS NULL
 )
 """
 

@@ -46,7 +46,7 @@ FROM (SELECT b, n, slot, 'mainnet' AS net FROM fx_blobset WHERE n > 0
      unnest(range(n)) u(i)""",
     "fx_txs": """
 SELECT hash, min(slot) + 1000000 AS block_number,
-       CASE WHEN min(slot) % 31 = 0 THEN NULL
+       CASE WHEN min(slot) % 31 = 0 THEN NULL WHEN min(slot) % 31 = 1 THEN '0xe974e9'
             ELSE concat('0x', lower(hex(
               CASE min(slot) % 5 WHEN 0 THEN 'geth go1.22' WHEN 1 THEN 'reth/v0.2.0'
                    WHEN 2 THEN 'rsync-builder.xyz' WHEN 3 THEN 'beaverbuild.org' ELSE 'Titan' END)))
@@ -61,19 +61,20 @@ FROM (SELECT m.hash, m.nonce, s.slot FROM fx_mempool m
 WHERE nonce % 23 <> 0
 GROUP BY hash""",
     "fx_block_event": """
-SELECT slot, make_timestamp(CAST(1704067200 + slot * 12 AS BIGINT) * 1000000)
-         AS slot_start_date_time,
-       make_timestamp(CAST((1704067200 + slot * 12) * 1000 + diff AS BIGINT) * 1000)
+SELECT CASE WHEN s % 41 = 7 THEN NULL ELSE s END AS slot,
+       make_timestamp(CAST(1704067200 + s * 12 AS BIGINT) * 1000000) AS slot_start_date_time,
+       make_timestamp(CAST((1704067200 + s * 12) * 1000 + diff AS BIGINT) * 1000)
          AS event_date_time,
-       diff AS propagation_slot_start_diff, concat('0xb', CAST(slot AS VARCHAR)) AS block,
-       CAST(floor(slot / 32) AS BIGINT) AS epoch, 'mainnet' AS meta_network_name,
+       diff AS propagation_slot_start_diff, concat('0xb', CAST(s AS VARCHAR)) AS block,
+       CAST(floor(s / 32) AS BIGINT) AS epoch, 'mainnet' AS meta_network_name,
        client AS meta_consensus_implementation
-FROM (SELECT event_id AS slot, CAST(floor(value * 100) AS BIGINT) + c AS diff,
+FROM (SELECT event_id AS s, CAST(floor(value * 100) AS BIGINT) + c AS diff,
+             CASE WHEN event_id % 37 = 0 THEN 'grandine' ELSE
              CASE (event_id + c) % 5 WHEN 0 THEN 'lighthouse' WHEN 1 THEN 'prysm' WHEN 2 THEN 'teku'
-                  WHEN 3 THEN 'lodestar' ELSE 'nimbus' END AS client
+                  WHEN 3 THEN 'lodestar' ELSE 'nimbus' END END AS client
       FROM events CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1) k) q""",
     "fx_canonical_block": """
-SELECT event_id AS slot,
+SELECT CASE WHEN event_id % 43 = 5 THEN NULL ELSE event_id END AS slot,
        make_timestamp(CAST(1704067200 + event_id * 12 AS BIGINT) * 1000000)
          AS slot_start_date_time,
        concat('0xb', CAST(event_id AS VARCHAR)) AS block_root,
@@ -81,30 +82,33 @@ SELECT event_id AS slot,
        CAST(30000 + event_id % 700 AS BIGINT)
          AS execution_payload_transactions_total_bytes_compressed,
        'lighthouse' AS meta_consensus_implementation, 'mainnet' AS meta_network_name,
-       make_timestamp(CAST(1704067200 + event_id * 12 + 12 AS BIGINT) * 1000000)
+       make_timestamp(CAST(1704067200 + event_id * 12 + 12
+                           - CASE WHEN v = 2 THEN 3456000 ELSE 0 END AS BIGINT) * 1000000)
          AS event_date_time,
        CAST(v AS BIGINT) AS version
-FROM events CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1) k
-WHERE event_id % 10 <> 0 AND (v = 0 OR event_id % 6 = 0)""",
+FROM events CROSS JOIN range(3) k(v)
+WHERE event_id % 10 <> 0
+  AND (v = 0 OR v = 1 AND event_id % 6 = 0 OR v = 2 AND event_id % 22 = 4)""",
     "fx_sidecar_event": """
-SELECT concat('0xkzg', CAST(slot AS VARCHAR), '-', CAST(i AS VARCHAR)) AS kzg_commitment, slot,
-       client AS meta_consensus_implementation,
-       make_timestamp(CAST(1704067200 + slot * 12 AS BIGINT) * 1000000) AS slot_start_date_time,
-       make_timestamp(CAST((1704067200 + slot * 12) * 1000 + 1500 + 200 * i + 37 * obs
+SELECT concat('0xkzg', CAST(s AS VARCHAR), '-', CAST(i AS VARCHAR)) AS kzg_commitment, slot,
+       client AS meta_consensus_implementation, slot_start_date_time,
+       make_timestamp(CAST((1704067200 + s * 12) * 1000 + 1500 + 200 * i + 37 * obs
                            AS BIGINT) * 1000) AS event_date_time,
        i AS blob_index, 'mainnet' AS meta_network_name
-FROM (SELECT slot, meta_consensus_implementation AS client, slot % 4 AS n, obs
-      FROM fx_block_event CROSS JOIN (SELECT 0 AS obs UNION ALL SELECT 1) k
-      WHERE slot % 4 > 0) q, unnest(range(n)) u(i)""",
+FROM (SELECT slot, slot_start_date_time, coalesce(slot, 0) AS s,
+             meta_consensus_implementation AS client,
+             CASE WHEN slot % 30 = 3 THEN 9 ELSE coalesce(slot, 1) % 4 END AS n, obs
+      FROM fx_block_event CROSS JOIN (SELECT 0 AS obs UNION ALL SELECT 1) k) q,
+     unnest(range(n)) u(i)""",
     "fx_sidecar_client": """
 SELECT slot, slot_start_date_time, slot_start_date_time AS event_date_time,
-       concat('0xb', CAST(slot AS VARCHAR)) AS block_root, kzg_commitment,
+       concat('0xb', CAST(coalesce(slot, 0) AS VARCHAR)) AS block_root, kzg_commitment,
        meta_consensus_implementation, blob_index,
        concat('0x01', kzg_commitment) AS versioned_hash,
        CAST(131072 AS BIGINT) AS blob_size, (slot * 37) % 131072 AS blob_empty_size
 FROM (SELECT DISTINCT slot, slot_start_date_time, kzg_commitment, meta_consensus_implementation,
              blob_index
-      FROM fx_sidecar_event WHERE slot % 10 <> 0) q""",
+      FROM fx_sidecar_event WHERE slot % 10 <> 0 OR slot IS NULL) q""",
     "fx_sequencers": """
 SELECT * FROM (VALUES
   ('0xSEQ0', 'arbitrum'), ('0xSEQ1', 'base'), ('0xSEQ2', 'optimism'), ('0xSEQ3', 'taiko'),

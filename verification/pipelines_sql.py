@@ -1,6 +1,8 @@
 """The pipelines as DuckDB SQL, written after the meaning of each step and not after the Spark plan:
 one global window instead of blocks, LEFT joins with late NULL drops, plain medians."""
 
+from verification.fixtures import FOUND_BLOB_COUNTS
+
 MEANS = [
     "blob_hashes_length",
     "blob_sidecars_size",
@@ -123,7 +125,10 @@ SELECT *, CASE WHEN extra_data IS NULL THEN NULL
                WHEN contains(txt, 'reth') THEN 'vanilla_builder_reth'
                WHEN contains(txt, 'rsync') THEN 'rsync_builder'
                ELSE txt END AS builder_label
-FROM (SELECT *, decode(unhex(substr(extra_data, 3))) AS txt FROM fx_txs)""",
+FROM (SELECT * EXCLUDE (digits),
+             array_to_string(list_transform(range(0, len(digits), 2),
+               lambda i: chr(CAST(concat('0x', digits[i + 1:i + 2]) AS INTEGER))), '') AS txt
+      FROM (SELECT *, substr(extra_data, 3) AS digits FROM fx_txs))""",
     "fees": """
 SELECT i.* , t.block_number, t.extra_data, t.builder_label,
        t.base_fee_per_gas * t.gas_used / 1e18 AS base_tx_fee_eth,
@@ -242,10 +247,10 @@ FROM listed GROUP BY blob_hashes""",
     "canonical": """
 SELECT slot, slot_start_date_time, block_root AS block, block_total_bytes_compressed,
        execution_payload_transactions_total_bytes_compressed, meta_consensus_implementation
-FROM fx_canonical_block
-WHERE event_date_time > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 31 DAY
-  AND meta_network_name = 'mainnet'
-QUALIFY row_number() OVER (PARTITION BY slot ORDER BY version DESC) = 1""",
+FROM (SELECT * FROM fx_canonical_block WHERE meta_network_name = 'mainnet'
+      QUALIFY row_number() OVER (PARTITION BY slot
+                                 ORDER BY version DESC, slot_start_date_time DESC) = 1)
+WHERE event_date_time > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 31 DAY""",
     "spread": SPREAD.format(as_of="2024-01-31 00:00:00", days=31),
     "sidecar_client": SCAN_SIDECAR.format(
         scope="meta_consensus_implementation",
@@ -254,7 +259,7 @@ QUALIFY row_number() OVER (PARTITION BY slot ORDER BY version DESC) = 1""",
         days=31,
     ),
     "bsj": """
-SELECT DISTINCT e.event_date_time, e.slot, e.slot_start_date_time, e.propagation_slot_start_diff,
+SELECT DISTINCT e.event_date_time, coalesce(e.slot, -1) AS slot, e.slot_start_date_time, e.propagation_slot_start_diff,
        e.block, e.epoch, e.meta_network_name, e.meta_consensus_implementation,
        c.slot_start_date_time AS slot_start_date_time_canonical_block,
        c.block AS block_canonical_block,
@@ -288,7 +293,7 @@ FROM bsj GROUP BY slot, max_blob_index""",
     "slot_pivot": "SELECT slot_start_date_time, "
     + ", ".join(
         f"max(CASE WHEN max_blob_index = {n} THEN propagation_slot_start_diff END) AS blobs_{n}"
-        for n in range(7)
+        for n in FOUND_BLOB_COUNTS
     )
     + " FROM slot_prop GROUP BY slot_start_date_time",
     "per_client": """
