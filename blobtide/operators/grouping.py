@@ -11,13 +11,18 @@ from blobtide.scratch import materialize
 
 
 def group_with_text(
-    df: DataFrame, keys: Sequence[str], text: str, values: dict[str, tuple[str, str]]
+    df: DataFrame,
+    keys: Sequence[str],
+    text: str,
+    values: dict[str, tuple[str, str]],
+    stored: bool = False,
 ) -> DataFrame:
     """Per key: the smallest `text` and `values` as {name: ("sum" | "min" | "avg", column)}.
 
     An aggregate with a text in its buffer sorts its whole input. Here the text is a key of the
     aggregate that reads the input, which therefore hashes; its result is stored. Usually a key has
     one text and this is the result. If any key has more, its few rows are merged by a second aggregate.
+    `stored` says that `df` is small and cheap to read twice, so that nothing needs to be stored.
     """
     parts: list[Column] = []
     for name, (kind, column) in values.items():
@@ -25,7 +30,8 @@ def group_with_text(
             parts += [F.sum(column).alias(f"_sum_{name}"), F.count(column).alias(f"_n_{name}")]
         else:
             parts.append((F.sum if kind == "sum" else F.min)(column).alias(name))
-    rows = materialize(df.groupBy(*keys, text).agg(*parts), "groups")
+    rows = df.groupBy(*keys, text).agg(*parts)
+    rows = rows if stored else materialize(rows, "groups")
     several = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1")
     if not several.isEmpty():
         merged = [F.min(text).alias(text)]

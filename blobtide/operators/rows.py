@@ -86,16 +86,17 @@ def latest_per_key(df: DataFrame, keys: list[str], version: str) -> DataFrame:
         ),
         "newest",
     )
-    rows = null_safe_join(df, newest, [*keys, version])
-    single = rows.where(~F.col("_tied")).select(*[quoted(c) for c in df.columns]).distinct()
+    single = null_safe_join(df, newest.where(~F.col("_tied")).drop("_tied"), [*keys, version])
+    # a filter on the result reaches the rows before this join
+    single = single.select(*[quoted(c) for c in df.columns]).distinct()
     if newest.where("_tied").isEmpty():
         return single
     greatest = F.max(F.struct(*[quoted(c) for c in rest])).alias("_greatest")
-    tied = rows.where("_tied").groupBy(*keys, version).agg(greatest)
+    rows = null_safe_join(df, newest.where("_tied").drop("_tied"), [*keys, version])
     chosen = [
         F.col(f"_greatest.`{c}`").alias(c) if c in rest else quoted(c) for c in df.columns
     ]
-    return single.unionByName(tied.select(*chosen))
+    return single.unionByName(rows.groupBy(*keys, version).agg(greatest).select(*chosen))
 
 
 def split_labels(condition: Column, when_true: str, when_false: str) -> Column:

@@ -4,8 +4,8 @@ A quantile is the value at one or two ranks of its group. Values are counted per
 cells are ranges of values in ascending order; running counts over the cells of a group tell which one
 holds a rank, and the values of that cell alone are cut into new cells. That ends when a cell holds one
 value. Every step is an aggregate with map-side combine over cells; what a window or a task sees of
-a group is its cells, 64 per power of two in the first step and `CELLS` in later ones, however many
-values the group has.
+a group is its cells, `CELLS` per power of two in the first step and `CELLS` in later ones, however
+many values the group has.
 """
 
 from __future__ import annotations
@@ -19,13 +19,12 @@ from blobtide.operators.joins import null_safe_join
 from blobtide.scratch import materialize
 
 CELLS = 1024
-_PER_OCTAVE = 64
-_FURTHEST = 100_000  # beyond the cells of the smallest and largest doubles
+_FURTHEST = 2_000_000  # beyond the cells of the smallest and largest doubles
 
 
 def octave_cell(value: Column) -> Column:
     """Cell of a double by sign and logarithm: never smaller for a larger value, NaN last."""
-    octave = F.floor(F.log2(F.abs(value)) * _PER_OCTAVE)
+    octave = F.floor(F.log2(F.abs(value)) * CELLS)
     size = F.least(F.greatest(octave, F.lit(-_FURTHEST)), F.lit(_FURTHEST)) + 2 * _FURTHEST
     return (
         F.when(F.isnan(value), F.lit(4 * _FURTHEST))
@@ -36,41 +35,54 @@ def octave_cell(value: Column) -> Column:
     )
 
 
-def _holding(cells: DataFrame, keys: Sequence[str], targets: DataFrame | None) -> DataFrame:
-    """For each rank the cell that holds it: value range `_lo` to `_hi` and the rows `_before` it.
-
-    `cells` has (keys, _cell, _n, _lo, _hi). Without `targets` the keys include the rank and `_base`,
-    the rows before the first cell.
-    """
-    upto = F.sum("_n").over(
-        Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    placed = cells.withColumn("_upto", upto)
-    if targets is None:
-        placed = placed.withColumn("_upto", F.col("_upto") + F.col("_base")).drop("_base")
-    else:
-        placed = null_safe_join(placed, targets, keys)
-    before = F.col("_upto") - F.col("_n")
-    return (
-        placed.where((before <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
-        .withColumn("_before", before)
-        .drop("_cell", "_n", "_upto")
+def _cell_counts(values: DataFrame, keys: Sequence[str], cell: Column) -> DataFrame:
+    """Cells with their rows before the first of the next one, and rows of all cells of the key."""
+    cells = values.groupBy(*keys, cell.alias("_cell")).agg(
+        F.sum("n").alias("_n"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi")
     )
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    return cells.withColumns({"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(whole)})
 
 
-def _cell_counts(values: DataFrame, keys: Sequence[str], cell: Column) -> DataFrame:
-    return values.groupBy(*keys, cell.alias("_cell")).agg(
-        F.sum("n").alias("_n"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi")
+def _first_step(values: DataFrame, groups: Sequence[str], quantiles: dict[str, float]) -> DataFrame:
+    """Per group and rank that a quantile needs: the cell that holds it, and the rows before that."""
+    cells = _cell_counts(values, groups, octave_cell(F.col("_value")))
+    last = F.col("_total") - 1
+    ranks = [f(last * F.lit(float(q))) for q in quantiles.values() for f in (F.floor, F.ceil)]
+    before = F.col("_upto") - F.col("_n")
+    held = F.filter(
+        F.array_distinct(F.array(*ranks)), lambda r: (before <= r) & (r < F.col("_upto"))
+    )
+    return cells.select(
+        *groups,
+        F.col("_total").alias("_n_values"),
+        F.explode(held).alias("_rank"),
+        "_lo",
+        "_hi",
+        before.alias("_before"),
     )
 
 
-def _ranks(groups: Sequence[str], counts: DataFrame, quantiles: dict[str, float]) -> DataFrame:
-    """One row per group and rank that a quantile needs."""
-    last = F.col("_n_values") - 1
-    wanted = [f(last * F.lit(float(q))) for q in quantiles.values() for f in (F.floor, F.ceil)]
-    totals = counts.groupBy(*groups).agg(F.sum("n").alias("_n_values"))
-    return totals.select(
-        *groups, "_n_values", F.explode(F.array_distinct(F.array(*wanted))).alias("_rank")
+def _next_step(values: DataFrame, groups: Sequence[str], wide: DataFrame) -> DataFrame:
+    """The same with the values of each cell cut into cells of equal width."""
+    keys = [*groups, "_n_values", "_rank", "_base"]
+    bounds = wide.select(
+        *keys[:-1],
+        F.col("_before").alias("_base"),
+        F.col("_lo").alias("_from"),
+        F.col("_hi").alias("_to"),
+    )
+    inside = null_safe_join(values, bounds, groups).where(
+        (F.col("_value") >= F.col("_from")) & (F.col("_value") <= F.col("_to"))
+    )
+    share = (F.col("_value") - F.col("_from")) / (F.col("_to") - F.col("_from"))
+    cell = F.least(F.floor(share * CELLS), F.lit(CELLS - 1))
+    before = F.col("_base") + F.col("_upto") - F.col("_n")
+    return (
+        _cell_counts(inside, keys, cell)
+        .where((before <= F.col("_rank")) & (F.col("_rank") < F.col("_base") + F.col("_upto")))
+        .select(*keys[:-1], "_lo", "_hi", before.alias("_before"))
     )
 
 
@@ -83,27 +95,11 @@ def group_quantiles(
     groups are groups, and NaN is greater than every other value.
     """
     values = counts.withColumn("_value", F.col("value").cast("double"))
-    ranks = materialize(_ranks(groups, counts, quantiles), "ranks")
-    found = materialize(
-        _holding(_cell_counts(values, groups, octave_cell(F.col("_value"))), groups, ranks),
-        "cells",
-    )
+    found = materialize(_first_step(values, groups, quantiles), "cells")
     single = F.col("_lo").eqNullSafe(F.col("_hi"))
     done = [found.where(single)]
-    keys = [*groups, "_n_values", "_rank"]
-    while True:
-        wide = found.where(~single)
-        if wide.isEmpty():
-            break
-        bounds = wide.select(
-            *keys, F.col("_lo").alias("_from"), F.col("_hi").alias("_to"), F.col("_before").alias("_base")
-        )
-        inside = null_safe_join(values, bounds, groups).where(
-            (F.col("_value") >= F.col("_from")) & (F.col("_value") <= F.col("_to"))
-        )
-        share = (F.col("_value") - F.col("_from")) / (F.col("_to") - F.col("_from"))
-        cell = F.least(F.floor(share * CELLS), F.lit(CELLS - 1))
-        found = materialize(_holding(_cell_counts(inside, [*keys, "_base"], cell), keys, None), "cells")
+    while not (wide := found.where(~single)).isEmpty():
+        found = materialize(_next_step(values, groups, wide), "cells")
         done.append(found.where(single))
     picked = done[0]
     for part in done[1:]:

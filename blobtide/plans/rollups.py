@@ -37,7 +37,10 @@ def blob_block(joined: DataFrame, ordered: bool = False) -> DataFrame:
 
 
 def block_agg(blob_blocks: DataFrame, ordered: bool = False) -> DataFrame:
-    """Per slot time, over all rollups. Means are unweighted means of the rollups' means."""
+    """Per slot time, over all rollups. Means are unweighted means of the rollups' means.
+
+    `blob_blocks`, from `blob_block`, reads a stored table; it is read twice.
+    """
     sums = [
         "base_fees_per_block_eth",
         "priority_fees_per_block_eth",
@@ -58,6 +61,7 @@ def block_agg(blob_blocks: DataFrame, ordered: bool = False) -> DataFrame:
             **{c: ("avg", c) for c in means},
             "blobs_per_block": ("sum", "blobs_per_block"),
         },
+        stored=True,
     )
     return blocks.orderBy("block_number", "slot_time") if ordered else blocks
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from blobtide.functions.columns import fill_percentage, list_length
 from blobtide.operators.bloom import prefilter
-from blobtide.operators.joins import null_safe_join, splittable_join
+from blobtide.operators.joins import splittable_join
 from blobtide.operators.rows import latest_per_key
 from blobtide.scratch import materialize
 from blobtide.sources.files import EVENT_DATE, EVENT_TIME
@@ -159,8 +159,8 @@ def scan_canonical_block(
 
     `keys` tell the blocks of one network apart. The latest of all versions counts, whenever it was
     seen; only then is the window applied. A block whose latest version is older than the window is
-    left out, also if an earlier version lies in it. Keys without any row in the window cannot
-    have their latest one there, so their versions are not compared.
+    left out, also if an earlier version lies in it. Finding the latest versions reads keys and
+    versions of the whole table; all other columns are only read within the window.
     """
     columns = [
         "slot",
@@ -171,9 +171,7 @@ def scan_canonical_block(
         "meta_consensus_implementation",
     ]
     blocks = raw.where(F.col("meta_network_name") == network)
-    touched = blocks.where(recent(raw, as_of, n_days)).select(*keys).distinct()
-    versions = null_safe_join(blocks, touched, keys, "left_semi")
-    latest = latest_per_key(versions, list(keys), version)
+    latest = latest_per_key(blocks, list(keys), version)
     return latest.where(recent(raw, as_of, n_days)).select(*columns)
 
 

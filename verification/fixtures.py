@@ -16,7 +16,7 @@ SEQUENCER_MAPPING = {
 
 # What the derived sightings hold at every scale factor; the pivots must find it by themselves.
 FOUND_CLIENTS = ["grandine", "lighthouse", "lodestar", "nimbus", "prysm", "teku"]
-FOUND_BLOB_COUNTS = [0, 1, 2, 3, 9]
+FOUND_BLOB_COUNTS = list(range(10))
 
 BASE = """
 SELECT event_id, ts, value, g, b, CASE WHEN b % 29 = 0 THEN 0 ELSE 1 + b % 6 END AS n
