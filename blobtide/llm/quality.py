@@ -12,7 +12,7 @@ is collected and broadcast to about 2 MB); the linear model is fitted on a bound
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -182,19 +182,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     unseen[slot] = False
     ratios[unseen] = 0.0
 
-    def sample(rows: DataFrame, most: int):
-        return (
-            rows.select("label", "text", F.xxhash64("doc_id", "text").alias("o"))
-            .select("label", "o", _slots_of("text").alias("slots"))
-            .orderBy("o", "label")
-            .limit(most)
-            .select("label", "slots")
-            .toArrow()
-        )
-
-    table = sample(fitted, TRAIN_ROWS)
+    table = (
+        _sample(fitted, TRAIN_ROWS).select("label", "o", _slots_of("text").alias("slots")).orderBy("o", "label").limit(TRAIN_ROWS).toArrow()
+    )
     labels_of = table.column("label").to_numpy()
-    rows = [np.asarray(x, np.int64) for x in table.column("slots").to_pylist()]
+    lists = table.column("slots").combine_chunks()
+    rows = np.split(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(lists.value_lengths().to_numpy())[:-1])
     share = labels_of.mean() if len(labels_of) else 0.5
     if share in (0.0, 1.0) or not len(labels_of):
         share = min(max(share, 1e-6), 1 - 1e-6)
@@ -205,26 +198,45 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     fitted_weights, bias = dual_coordinate_descent(rows, ratios, signs, cost)
     weights = (MIXING * fitted_weights + (1 - MIXING) * np.abs(fitted_weights).mean()) * ratios
     model = Model(weights.astype(np.float32), (ratios**2).astype(np.float32), bias, np.array([1.0, 0.0]))
-    held = sample(known.filter(fold(F.col("doc_id"), FOLDS) == CALIBRATION_FOLD), CALIBRATION_ROWS)
+    # the margins are taken where the texts are; two numbers a row come back
+    margin = _text_column(docs.sparkSession, model, Model.margins)
+    held = (
+        _sample(known.filter(fold(F.col("doc_id"), FOLDS) == CALIBRATION_FOLD), CALIBRATION_ROWS)
+        .select("label", "o", margin("text").alias("margin")).orderBy("o", "label").limit(CALIBRATION_ROWS).toArrow()
+    )
     held_labels = held.column("label").to_numpy()
     if len(set(held_labels)) == 2:
-        slots = held.column("slots").combine_chunks()
-        margins = model.margins(slots.flatten().to_numpy().astype(np.int64), slots.offsets.to_numpy().astype(np.int64))
-        model.curve = logistic(margins[:, None], held_labels)
+        model.curve = logistic(held.column("margin").to_numpy()[:, None], held_labels)
     return model
 
 
-def score_column(spark: SparkSession, model: Model):
-    """Column function: text to its probability of being good."""
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """(label, text, o): the rows of smallest hash o, a few more than `most`.
+
+    The bound on the hash comes from the number of rows, so that no more than these are looked at, whatever the
+    number of partitions.
+    """
+    hashed = rows.select("label", "text", F.xxhash64("doc_id", "text").alias("o"))
+    share = (most + 6 * np.sqrt(most)) / max(rows.count(), 1)
+    return hashed if share >= 1 else hashed.filter(F.col("o") < F.lit(int(share * 2**64) - 2**63))
+
+
+def _text_column(spark: SparkSession, model: Model, of: Callable):
+    """Column function: text to what `of` (model, slots, bounds) makes of it."""
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def value(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = [held.value.scores(*indicators(_words(d, o))) for d, o in W.slices(batch)]
+            parts = [of(held.value, *indicators(_words(d, o))) for d, o in W.slices(batch)]
             yield pa.array(np.concatenate(parts) if parts else np.empty(0))
 
-    return score
+    return value
+
+
+def score_column(spark: SparkSession, model: Model):
+    """Column function: text to its probability of being good."""
+    return _text_column(spark, model, Model.scores)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
