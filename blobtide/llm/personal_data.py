@@ -30,7 +30,9 @@ from blobtide.llm.tables import two_columns
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_CLUSTERS = 1_000  # most clusters that the model is fitted on
 TRAIN_TEXTS = 1_500  # most texts they are taken from
+LONGEST_TRAINED = 200  # signs of a stretch that the model is fitted on
 LONGEST = 15  # tokens of an entity
+BLOCK_TOKENS = 4_096  # tokens whose segments are held at once
 FEATURES = 1 << 12
 MARGIN = 4.0  # log-odds an added span must have over no entity
 STEPS, RATE, RIDGE = 30, 0.5, 1e-4
@@ -76,7 +78,7 @@ def base_spans(text: str) -> list[Span]:
     out += [
         ("ip", m.start(), m.end(), True)
         for m in _IP.finditer(text)
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))
+        if all(len(d) <= 3 and int(d or "0") <= 255 for d in (p.lstrip("0") for p in m[0].split(".")))
     ]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -124,6 +126,65 @@ def segment_features(piece: str, before: str) -> list[int]:
     return [crc32(n.encode()) % FEATURES for n in names]
 
 
+PER_SEGMENT = len(segment_features("1", ""))
+
+
+def token_places(text: str) -> list[int]:
+    """Character offsets of token starts, and the end."""
+    return [m.start() for m in _TOKEN.finditer(text)] + [len(text)]
+
+
+def segments_between(text: str, places: list[int], low: int, high: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Candidate segments (first token, end token) with an end token in [low, high), and their features."""
+    segments, features = [], []
+    for j in range(low, high):
+        if text[places[j - 1] : places[j]] in " \t,;:!?)('\"":
+            continue
+        seen = False
+        for i in range(j - 1, max(-1, j - 1 - LONGEST), -1):
+            first = text[places[i]]
+            seen = seen or first.isdigit() or first == "@"
+            if not seen or text[places[i] : places[i + 1]] in " \t,;:!?)'\".":
+                continue
+            segments.append((i, j))
+            features.append(segment_features(text[places[i] : places[j]], text[max(0, places[i] - 1) : places[i]]))
+    return segments, np.array(features, np.int64).reshape(len(segments), PER_SEGMENT)
+
+
+def best_segmentation(text: str, weights: np.ndarray, margin: float, block: int = BLOCK_TOKENS) -> list[tuple[int, int, int]]:
+    """Best segmentation of a cluster: (start, end, kind) of its entities. A token outside scores 0.
+
+    Tokens are taken in blocks: a block's segments and features are made, scored and dropped. A segment
+    reaches back `LONGEST` tokens, so the values at the tokens so far are all that the next block needs.
+    """
+    places = token_places(text)
+    n = len(places) - 1
+    top, back = [0.0] * (n + 1), [(-1, -1)] * (n + 1)
+    for low in range(1, n + 1, block):
+        high = min(low + block, n + 1)
+        segments, features = segments_between(text, places, low, high)
+        if segments:
+            scores = weights[:, features].sum(axis=2).T - margin
+            kinds, values = scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist()
+        at = 0
+        for j in range(low, high):
+            top[j] = top[j - 1]
+            while at < len(segments) and segments[at][1] == j:
+                i = segments[at][0]
+                if top[i] + values[at] > top[j]:
+                    top[j], back[j] = top[i] + values[at], (i, kinds[at])
+                at += 1
+    out, j = [], n
+    while j > 0:
+        i, kind = back[j]
+        if i < 0:
+            j -= 1
+        else:
+            out.append((places[i], places[j], kind))
+            j = i
+    return out[::-1]
+
+
 @dataclass
 class Lattice:
     """All candidate segments of one cluster, grouped by the token they end at."""
@@ -134,51 +195,14 @@ class Lattice:
 
     @classmethod
     def of(cls, text: str) -> Lattice:
-        tokens = [(m.start(), m[0]) for m in _TOKEN.finditer(text)]
-        places = [s for s, _ in tokens] + [len(text)]
-        segments, features = [], []
-        for j in range(1, len(tokens) + 1):
-            if tokens[j - 1][1] in " \t,;:!?)('\"":
-                continue
-            seen = False
-            for i in range(j - 1, max(-1, j - 1 - LONGEST), -1):
-                first = tokens[i][1]
-                seen = seen or first[0].isdigit() or first == "@"
-                if not seen or first in " \t,;:!?)'\".":
-                    continue
-                segments.append((i, j))
-                features.append(segment_features(text[places[i] : places[j]], text[max(0, places[i] - 1) : places[i]]))
-        return cls(places, segments, np.array(features, np.int64).reshape(len(segments), -1))
+        places = token_places(text)
+        segments, features = segments_between(text, places, 1, len(places))
+        return cls(places, segments, features)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """(segments, kinds)."""
         return weights[:, self.features].sum(axis=2).T if self.segments else np.empty((0, len(KINDS)))
 
-    def best(self, weights: np.ndarray, margin: float) -> list[tuple[int, int, int]]:
-        """Best segmentation: (first token, end token, kind) of its entities. A token outside scores 0."""
-        n = len(self.places) - 1
-        top, back = [0.0] * (n + 1), [None] * (n + 1)
-        ending: dict[int, list[int]] = {}
-        for s, (_, j) in enumerate(self.segments):
-            ending.setdefault(j, []).append(s)
-        scores = self.scores(weights) - margin
-        kind_of, value_of = (scores.argmax(axis=1), scores.max(axis=1)) if len(scores) else ([], [])
-        for j in range(1, n + 1):
-            top[j] = top[j - 1]
-            for s in ending.get(j, ()):
-                value = top[self.segments[s][0]] + value_of[s]
-                if value > top[j]:
-                    top[j], back[j] = value, s
-        out, j = [], n
-        while j > 0:
-            if back[j] is None:
-                j -= 1
-            else:
-                i, _ = self.segments[back[j]]
-                out.append((i, j, int(kind_of[back[j]])))
-                j = i
-        return out[::-1]
-
     def gradient(self, weights: np.ndarray, gold: dict[tuple[int, int], int], into: np.ndarray) -> float:
         """Add the gradient of the log-likelihood of the gold entities to `into`; return the log-likelihood."""
         n = len(self.places) - 1
@@ -231,7 +255,7 @@ def fit(texts: list[str]) -> np.ndarray:
             break
         spans = base_spans(text)
         for start, cluster in clusters(text):
-            if len(cluster) > 200:
+            if len(cluster) > LONGEST_TRAINED:
                 continue
             inside = sorted((s - start, e - start, k) for k, s, e, _ in spans if s >= start and e <= start + len(cluster))
             if any(a[1] > b[0] for a, b in zip(inside, inside[1:], strict=False)):
@@ -281,9 +305,8 @@ def searcher(weights: np.ndarray, margin: float = MARGIN) -> Callable[[str], lis
                 near = [(s, e) for s, e in taken if s < end and start < e]
                 if sum(e - s for s, e in near) >= len(cluster):
                     continue
-                lattice = Lattice.of(cluster)
-                for i, j, kind in lattice.best(weights, margin):
-                    s, e = start + lattice.places[i], start + lattice.places[j]
+                for i, j, kind in best_segmentation(cluster, weights, margin):
+                    s, e = start + i, start + j
                     if not any(a < e and s < b for a, b in near):
                         out.append((KINDS[kind], s, e, False))
         return sorted(out, key=lambda x: (rank[x[0]], x[1], x[2]))
@@ -291,23 +314,39 @@ def searcher(weights: np.ndarray, margin: float = MARGIN) -> Callable[[str], lis
     return search
 
 
+def _training_texts(docs: DataFrame) -> list[str]:
+    """The first `TRAIN_TEXTS` suitable texts by hash.
+
+    Hashes below a bound set from the number of texts are looked at first, so that a few rows per text wanted
+    reach a test or the driver however many partitions there are; the bound is raised until enough are found.
+    """
+    hashed = docs.select("text", F.xxhash64("text").alias("o"))
+    suitable = F.col("text").rlike("[0-9]") & F.col("text").rlike("[@+]") & (F.length("text") <= 20_000)
+    share = min(1.0, 64 * TRAIN_TEXTS / max(docs.count(), 1))
+    while True:
+        below = hashed if share == 1.0 else hashed.filter(F.col("o") < F.lit(int(share * 2**64) - 2**63))
+        first = below.filter(suitable).select("o").orderBy("o").limit(TRAIN_TEXTS).collect()
+        if len(first) == TRAIN_TEXTS or share == 1.0:
+            break
+        share = min(1.0, share * 16)
+    if not first:
+        return []
+    chosen = hashed.filter(F.col("o") <= F.lit(first[-1]["o"])).filter(suitable)
+    return [r["text"] for r in chosen.orderBy("o").limit(TRAIN_TEXTS).collect()]
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, spans (by kind as in `KINDS`, then start; `base` marks pattern matches).
 
     The model is fitted on the first `TRAIN_TEXTS` texts, in the order of a hash of the text, that hold a
-    digit and an at sign or a plus and are no longer than 20,000 characters; everything else covers all texts whole.
+    digit and an at sign or a plus and are no longer than 20,000 characters, and of their stretches on those of at
+    most `LONGEST_TRAINED` signs; everything else covers all texts whole.
 
     Defined cases: a null or empty text has no spans; base spans of one kind never overlap; added spans overlap no
     other span; null ids and repeated rows are searched like any others; with no training text nothing is added; an
     empty table gives no rows; other columns are not looked at.
     """
     docs = two_columns(docs, id_col, text_col)
-    sample = (
-        docs.filter(F.col("text").rlike("[0-9]") & F.col("text").rlike("[@+]") & (F.length("text") <= 20_000))
-        .select("text", F.xxhash64("text").alias("o"))
-        .orderBy("o")
-        .limit(TRAIN_TEXTS)
-    )
-    weights = fit([r["text"] for r in sample.select("text").collect()])
+    weights = fit(_training_texts(docs))
     found = span_column(lambda: searcher(weights))
     return docs.select("doc_id", found("text").alias("spans"))
