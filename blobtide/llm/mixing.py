@@ -75,7 +75,7 @@ def water_fill(
     above, below = share
     if not 0 <= above <= epochs * below or min(weights) <= 0:
         raise ValueError("weights must be positive and the budget within the caps")
-    ranked = number_rows(sources.select("source", "source_size", F.col("source").isNull().alias("_last")), ["_last", "source"])
+    ranked = number_rows(sources.select("source", "source_size", F.col("source").isNull().alias("_last")), ["_last", "source", "source_size"])
     weight = F.get(F.array(*[F.lit(w).cast("bigint") for w in weights]), (F.col("_row") % len(weights)).cast("int"))
     capped = stored(
         ranked.select("source", "source_size", "_row", weight.alias("weight"), (F.col("source_size") * epochs).alias("cap")), "sources"
@@ -85,7 +85,7 @@ def water_fill(
     for w in set(weights):
         common *= w
     ratio = F.col("cap").cast(_WHOLE_NUMBER) * F.call_function("div", F.lit(common), F.col("weight"))
-    running = cumulative_sum(capped.withColumn("_ratio", ratio), ["_ratio", "_row"], {"cap": "_caps", "weight": "_weights"})
+    running = cumulative_sum(capped.withColumn("_ratio", ratio), ["_ratio", "_row", "source", "source_size"], {"cap": "_caps", "weight": "_weights"}, stored=True)
     total = capped.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
     words, all_weights = total["size"] or 0, total["weight"] or 0
     exact = {c: F.col(c).cast(_WHOLE_NUMBER) for c in ("cap", "weight", "_caps", "_weights")}
@@ -116,14 +116,14 @@ def mixture(
     """Per document: doc_id, source, text_hash, size, source_size, target, whole repetitions, words of a last partial one."""
     sized = stored(sizes(docs, seed, id_col, text_col, source_col), "sizes")
     by_source = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
-    starts = cumulative_sum(by_source, ["source"], {"source_size": "_through"}).select(
+    starts = cumulative_sum(by_source, ["source"], {"source_size": "_through"}, stored=True).select(
         "source", (F.col("_through") - F.col("source_size")).alias("_start")
     )
     targets = stored(
         null_safe_join(water_fill(by_source, weights, epochs, share), starts, ["source"]).select("source", "source_size", "target", "_start"),
         "targets",
     )
-    running = cumulative_sum(sized, ["source", "place", "doc_id", "text_hash", "size"], {"size": "_upto"})
+    running = cumulative_sum(sized, ["source", "place", "doc_id", "text_hash", "size"], {"size": "_upto"}, stored=True)
     aim = F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * epochs)
     placed = null_safe_join(running, targets, ["source"]).select(
         "doc_id", "source", "text_hash", "size", "source_size", "target",
