@@ -239,7 +239,7 @@ def density_2d(
     )
     # every point of the lattice has a row if there are rows at all
     lattice = (
-        points.limit(1)
+        df.sparkSession.range(1 if total["n"] else 0)
         .select(widths)
         .select("bandwidth", F.explode(_every(x_lo, x_hi, grid)).alias("x"))
         .select("bandwidth", "x", F.explode(_every(y_lo, y_hi, grid)).alias("y"), F.lit(0.0).alias("_weight"))
