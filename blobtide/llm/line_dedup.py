@@ -10,9 +10,11 @@ and then by place; the earlier line counts whether or not it is itself removed.
 2. Lines with equal sets collapse to the earliest one; the others are removed.
 3. Prefix filter: two sets of similarity 0.8 share a token among the first n - ceil(0.8 n) + 1 of each. Tokens
    of one line only are dropped; length and position filters thin out the rest.
-4. A line is first compared with the earliest line of each of its tokens. Only lines that this does not remove
+4. Bitmap filter: a line carries two bitmaps, each with the parity per bit of its tokens that hash to the bit. Two sets
+   differ in at least as many tokens as their bitmaps in bits, so a pair with too unlike bitmaps is dropped inside the join.
+5. A line is first compared with the earliest line of each of its tokens. Only lines that this does not remove
    are compared with the other lines before them, so a large group of near copies costs one star.
-5. Candidates are verified on their full token sets.
+6. Candidates are verified on their full token sets, which are made once for all lines with a shared token.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blobtide.llm.tables import join_on, stored
+from blobtide.scratch import settled
 
 SHINGLE = 5
 BUCKETS = 1 << 16
-# An id list of at most so many rows (about 50 MB in memory) is broadcast; a longer one is shuffled.
+# A list of at most so many hashes (16 MB in memory) is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -106,29 +109,42 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _bitmap(tokens: str, shift: int) -> Column:
+    """Parity of the tokens per bit; the bit of a token is six of its hash's bits."""
+    return F.aggregate(
+        tokens,
+        F.lit(0).cast("bigint"),
+        lambda bits, t: bits.bitwiseXOR(
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(t, shift).bitwiseAND(F.lit(63)).cast("int"))
+        ),
+    )
+
+
+def _sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc, copy, line, tokens, bits_a, bits_b): the distinct tokens and bitmap of each of `lines`, stored."""
+    some = _semi(docs, stored(lines.select(*_DOC).distinct(), "line-documents"), _DOC)
+    wanted = _semi(_raw_lines(some), lines, [*_DOC, "line"])
+    sets = _tokenized(wanted).withColumn("tokens", F.array_distinct("tokens"))
+    return stored(sets.withColumns({"bits_a": _bitmap("tokens", 17), "bits_b": _bitmap("tokens", 41)}), "line-sets")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Later lines (x_doc, x_copy, x_line) of the candidate pairs that reach the similarity."""
-    pairs = stored(pairs.distinct(), "line-pairs")
-    x = [f"x_{c}" for c in (*_DOC, "line")]
-    y = [f"y_{c}" for c in (*_DOC, "line")]
-    ids = stored(pairs.select(*[F.col(c).alias(c[2:]) for c in x]).union(pairs.select(*y)).distinct(), "candidate-lines")
-    some = _semi(docs, _few(stored(ids.select(*_DOC).distinct(), "line-documents")))
-    wanted = join_on(_raw_lines(some), _few(ids).withColumn("_wanted", F.lit(True)), [*_DOC, "line"], "inner").drop("_wanted")
-    sets = stored(_tokenized(wanted).withColumn("tokens", F.array_distinct("tokens")), "line-sets")
-    one = sets.select(*[F.col(c).alias(f"x_{c}") for c in (*_DOC, "line")], F.col("tokens").alias("x_tokens"))
-    two = sets.select(*[F.col(c).alias(f"y_{c}") for c in (*_DOC, "line")], F.col("tokens").alias("y_tokens"))
+    x, y = ([f"{side}_{c}" for c in (*_DOC, "line")] for side in "xy")
+    one, two = (sets.select(*[F.col(c).alias(f"{side}_{c}") for c in (*_DOC, "line", "tokens")]) for side in "xy")
     both = F.size(F.array_intersect("x_tokens", "y_tokens"))
     return (
-        join_on(join_on(pairs, one, x, "inner"), two, y, "inner")
+        join_on(join_on(pairs.distinct(), one, x, "inner"), two, y, "inner")
         .filter(5 * both >= 4 * (F.size("x_tokens") + F.size("y_tokens") - both))
         .select(*x)
         .distinct()
     )
 
 
-def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    renamed = ids.withColumnsRenamed({c: f"_some_{c}" for c in _DOC})
-    return docs.join(renamed, docs["doc"].eqNullSafe(renamed["_some_doc"]) & docs["copy"].eqNullSafe(renamed["_some_copy"]), "left_semi")
+def _semi(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys hash like one of `ids`; a stray row more does no harm. One number a key is what is broadcast."""
+    hashed = ids.select(F.xxhash64(*keys).alias("_key"))
+    return rows.withColumn("_key", F.xxhash64(*keys)).join(_few(hashed), "_key", "left_semi").drop("_key")
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -146,22 +162,23 @@ def _earlier(a: str, b: str) -> Column:
 
 
 def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("token", *[F.col(c).alias(f"{name}_{c}") for c in (*_DOC, "line", "n", "place")])
+    return rows.select("token", *[F.col(c).alias(f"{name}_{c}") for c in (*_DOC, "line", "n", "place", "bits_a", "bits_b")])
 
 
 def _candidates(later: DataFrame, before: DataFrame) -> DataFrame:
-    """Pairs with a common prefix token that pass the length and position filters."""
+    """Pairs with a common prefix token that pass the length, position and bitmap filters."""
     n, m, i, j = (F.col(c) for c in ("x_n", "y_n", "x_place", "y_place"))
     most = F.least(i, j) + F.least(n - i, m - j)
+    unlike = F.greatest(*[F.bit_count(F.col(f"x_{bits}").bitwiseXOR(F.col(f"y_{bits}"))) for bits in ("bits_a", "bits_b")])
     return (
         _side(later, "x").join(_side(before, "y"), "token")
-        .filter(_earlier("y", "x") & (5 * n >= 4 * m) & (5 * m >= 4 * n) & (most >= _least_overlap(n, m)))
+        .filter(_earlier("y", "x") & (5 * n >= 4 * m) & (5 * m >= 4 * n) & (most >= _least_overlap(n, m)) & (unlike <= n + m - 2 * _least_overlap(n, m)))
         .select(*[f"{s}_{c}" for s in ("x", "y") for c in (*_DOC, "line")])
     )
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, copy, line) of the lines that go. `docs` has doc, copy and text, one row per document."""
+def _marked(docs: DataFrame) -> DataFrame:
+    """(doc, copy, line, n, prefix, leads) of the lines with a word; the earliest of equal sets leads."""
     ordered = _lines(docs).select(*_DOC, "line", _ordered(_levels(docs)).alias("keys"))
     n = F.size("keys")
     prefix = F.when(n >= 4, n - F.floor((4 * n + 4) / 5).cast("int") + 1).otherwise(0)
@@ -175,31 +192,33 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     same = ["set_a", "set_b", "n"]
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "copy", "line")
     first = lines.groupBy(*same).agg(F.min(place).alias("first"))
-    marked = stored(
-        lines.join(first, same).select(
-            *_DOC, "line", "n", "prefix", (place == F.col("first")).alias("leads")
-        ),
-        "marked-lines",
-    )
-    prefixes = marked.filter("leads").select(*_DOC, "line", "n", F.posexplode("prefix").alias("place", "token")).withColumn(
+    return lines.join(first, same).select(*_DOC, "line", "n", "prefix", (place == F.col("first")).alias("leads"))
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """(doc, copy, line) of the lines that go. `docs` has doc, copy and text, one row per document."""
+    key = [*_DOC, "line"]
+    marked = settled(docs.sparkSession, lambda: _marked(docs), "marked-lines")
+    prefixes = marked.filter("leads").select(*key, "n", F.posexplode("prefix").alias("place", "token")).withColumn(
         "place", F.col("place") + 1
     )
     order = F.coalesce("doc", F.lit((1 << 63) - 1))
-    shared = (
+    shared = stored(
         prefixes.groupBy("token").agg(F.count("*").alias("many"), F.min(order).alias("first_doc"))
         .filter(F.col("many") > 1)
-        .select("token", "first_doc")
+        .select("token", "first_doc"),
+        "shared-tokens",
     )
-    rows = stored(prefixes.join(shared, "token"), "shared-tokens")
+    found = prefixes.join(shared, "token")
+    sets = _sets(docs, stored(found.select(*key).distinct(), "candidate-lines"))
+    rows = stored(join_on(found, sets.select(*key, "bits_a", "bits_b"), key, "inner"), "token-rows")
     heads = rows.filter(order == F.col("first_doc"))
     head_line = heads.groupBy("token").agg(F.min("line").alias("head"))
-    stars = _verified(
-        docs, _candidates(rows, heads.join(head_line, "token").filter(F.col("line") == F.col("head")))
-    ).select(*[F.col(f"x_{c}").alias(c) for c in (*_DOC, "line")])
-    gone = stored(stars, "star-removed")
-    left = join_on(rows, gone.withColumn("_gone", F.lit(True)), [*_DOC, "line"], "left").filter(F.col("_gone").isNull())
-    rest = _verified(docs, _candidates(left, rows)).select(*[F.col(f"x_{c}").alias(c) for c in (*_DOC, "line")])
-    return marked.filter(~F.col("leads")).select(*_DOC, "line").unionByName(gone).unionByName(rest)
+    first = _candidates(rows, heads.join(head_line, "token").filter(F.col("line") == F.col("head")))
+    gone = stored(_verified(sets, first).select(*[F.col(f"x_{c}").alias(c) for c in key]), "star-removed")
+    left = join_on(rows, gone.withColumn("_gone", F.lit(True)), key, "left").filter(F.col("_gone").isNull())
+    rest = _verified(sets, _candidates(left, rows)).select(*[F.col(f"x_{c}").alias(c) for c in key])
+    return marked.filter(~F.col("leads")).select(*key).unionByName(gone).unionByName(rest)
 
 
 def dedup_lines(
@@ -220,8 +239,9 @@ def dedup_lines(
     plain = keyed.select(F.col(doc).alias("doc"), F.col(copy).alias("copy"), F.col(f"`{text_col}`").cast("string").alias("text")).filter(
         F.col("text").isNotNull()
     )
-    gone = stored(
-        removed_lines(plain).groupBy(*_DOC).agg(F.collect_set("line").alias("_gone")).withColumnsRenamed({"doc": "_r_doc", "copy": "_r_copy"}),
+    gone = settled(
+        docs.sparkSession,
+        lambda: removed_lines(plain).groupBy(*_DOC).agg(F.collect_set("line").alias("_gone")).withColumnsRenamed({"doc": "_r_doc", "copy": "_r_copy"}),
         "removed-lines",
     )
     total = gone.agg(F.coalesce(F.sum(F.size("_gone")), F.lit(0)).alias("n")).first()["n"]
