@@ -1,22 +1,47 @@
 """From raw documents to encoded training text, stage by stage.
 
 Each stage takes what its predecessor kept and returns it with the same columns; the last returns pieces.
+The scratch tables of a stage are deleted when the next stage begins, so a stage's result must have been
+written by then, as `run` does.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blobtide.llm import decontamination, line_dedup, near_duplicates, pieces, toxicity
 from blobtide.llm.tables import read, stored, without
+from blobtide.scratch import Scope
 
 PIECE_MODEL = "piece_bpe_32k.model"
 DROPOUT_SEED, DROPOUT_RATE = 17, 0.1
 ORACLE_SQL = None
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_last_stage: dict[str, Scope] = {}
+
+
+def _owns_tables(stage: Stage) -> Stage:
+    """The stage with its scratch tables in a scope of its own, after deleting those of the stage before."""
+
+    @wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        if app in _last_stage:
+            _last_stage.pop(app).free()
+        own = _last_stage[app] = Scope(spark)
+        with own.open():
+            return stage(spark, docs, sf_dir)
+
+    return begin
+
 
+@_owns_tables
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5. Null and empty texts have no evidence and stay."""
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -24,6 +49,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn("_toxicity", score("text")).filter(F.col("_toxicity") < 0.5).select(*docs.columns)
 
 
+@_owns_tables
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later matches of earlier lines. A document that is nothing but such lines goes."""
     cleaned = line_dedup.dedup_lines(docs, report="_lines")
@@ -33,6 +59,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+@_owns_tables
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the smallest id. Of repeated ids one row stays.
 
@@ -50,6 +77,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return left.join(repeated, left["doc_id"] == repeated["_id"], "left_anti").unionByName(once)
 
 
+@_owns_tables
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lies in benchmark passages."""
     found = decontamination.contamination(docs, read(spark, sf_dir, "benchmark"))
@@ -57,6 +85,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return without(docs, found.filter(decontamination.is_contaminated(hit, F.col("n_words"))))
 
 
+@_owns_tables
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, and the text they decode to."""
     model = public_tokenizers.path(PIECE_MODEL)
@@ -78,10 +107,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what a stage keeps is stored before the next one reads it."""
-    docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, name.replace(" ", "-"))
-    return docs
+    """All stages over the documents; what a stage keeps is stored, and deleted once the next one's is."""
+    docs, written = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        kept, output = stage(spark, docs, sf_dir), Scope(spark)
+        with output.open():
+            docs = stored(kept, name.replace(" ", "-"))
+        if written is not None:
+            written.free()
+        written = output
+    return STAGES[-1][1](spark, docs, sf_dir)
