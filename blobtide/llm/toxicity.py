@@ -1,20 +1,20 @@
 """Toxicity by two class-conditional Kneser-Ney models over letters.
 
-Insults come in many inflected forms, so the models run over the bytes of a text whose letters are
-lower-cased and whose other characters are one space. Runs of `ORDER` bytes are counted per class.
-A class's estimate of a byte after `ORDER - 1` others is discounted and interpolated with a shared
-Kneser-Ney distribution of lower order, made of continuation counts over both classes; an
-expression too rare to tell the classes apart thus backs off to the same value in both.
+Insults come in many inflected forms of a stem, so the models run over the letters of a text, lower-cased, with
+every other stretch of characters as one space: a stem keeps its word start. Letters beyond Latin-1 fall into 64
+classes. Runs of `ORDER` symbols are counted per class, over all labelled texts (at most `LABELLED_ROWS`).
+A class's estimate of a symbol after `ORDER - 1` others is discounted and interpolated with a shared Kneser-Ney
+distribution of lower order, made of continuation counts of all runs of both classes.
+
+A run whose counts do not tell the classes apart (log-likelihood statistic below `LEAST_G2`) is an expression too
+rare or too even to judge by: it takes the shared estimate in both classes and is no evidence. That bar does not
+depend on the size of the corpus. The runs above it are what the driver gathers and broadcasts; they are limited
+by the number of labelled rows.
 
 A text's evidence is its log-likelihood under the toxic model less that under the ordinary one,
 divided by its length: once over the whole text, and once over its most toxic stretch of `STRETCH`
-bytes, since an insult in a long text is local. A logistic curve on these two numbers, fitted on
+symbols, since an insult in a long text is local. A logistic curve on these two numbers, fitted on
 labelled texts that were not counted, turns them into a probability.
-
-Spark counts all runs of all labelled texts. What is collected and broadcast is bounded however
-large the corpus: a run keeps its own estimate if its count is at least `CUTOFF` and at least
-1 / `MOST_RUNS` of all runs, so at most `MOST_RUNS` do (the usual count cutoff of higher orders; the
-same holds for contexts). Rarer runs keep their mass in the context's totals and back off.
 """
 
 from __future__ import annotations
@@ -24,38 +24,73 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blobtide.llm import words as W
 from blobtide.llm.labelled import labelled, logistic
 from blobtide.llm.tables import fold, stored, two_columns
 
-ORDER = 5
-MOST_RUNS = 1 << 21
-CUTOFF = 3
+ORDER, SHARED_ORDER = 6, 3
+LABELLED_ROWS = 2_000_000  # most labelled texts that are counted, chosen by a bound on a hash of id and text
+LEAST_G2 = 12.0
 DISCOUNT = 0.75
-STRETCH = 24
+STRETCH = 12
 FOLDS, HELD_OUT, CALIBRATION_FOLD = 5, 0, 1
 TOXIC_WEIGHT = 3.0  # a missed toxic text costs as much as so many clean ones taken for toxic
 CALIBRATION_ROWS = 20_000  # most labelled texts that the logistic curve is fitted on
 
 _SPACE = np.uint8(32)
-_FOLD = np.where(W.LETTERS, W.LOWER, _SPACE)
-_EIGHT = np.uint64(8)
+_BITS = np.uint64(8)
+_ALPHABET = 256
+
+
+def _symbols() -> np.ndarray:
+    """Symbol of each code point below 256: a letter is itself in lower case, anything else a space."""
+    out = np.full(256, _SPACE)
+    for code in range(256):
+        if chr(code).isalpha():
+            low = chr(code).lower()
+            out[code] = ord(low) if len(low) == 1 and ord(low) < 256 else code
+    return out
+
+
+_LATIN = _symbols()
+
+
+def _symbols_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One symbol per code point of UTF-8 texts, and the texts' bounds in symbols."""
+    lead = (data & 0xC0) != 0x80
+    bounds = np.concatenate([[0], np.cumsum(lead)])[offsets]
+    starts = np.flatnonzero(lead)
+    first = data[starts]
+    symbols = _LATIN[np.where(first < 0x80, first, 0x20)]
+    wide = np.flatnonzero(first >= 0xC0)
+    at = starts[wide]
+    n = len(data)
+    second = data[np.minimum(at + 1, n - 1)] & 0x3F
+    latin = first[wide] <= 0xC3
+    symbols[wide[latin]] = _LATIN[((first[wide[latin]] & 0x03) << 6) | second[latin]]
+    code = first[wide].astype(np.uint64) << np.uint64(6) | second
+    for back, least in ((2, 0xE0), (3, 0xF0)):
+        more = first[wide] >= least
+        code = np.where(more, code << np.uint64(6) | (data[np.minimum(at + back, n - 1)] & 0x3F), code)
+    other = ~latin & (first[wide] != 0xE2)  # E2 leads punctuation: dashes, quotes, spaces
+    symbols[wide[other]] = (0x80 + (W.mix(code[other]) >> np.uint64(58))).astype(np.uint8)
+    return symbols, bounds
 
 
 @dataclass
 class Runs:
-    """Runs of `ORDER` bytes packed into integers; those of text i are bounds[i]:bounds[i + 1]."""
+    """Runs of `ORDER` symbols packed into integers; those of text i are bounds[i]:bounds[i + 1]."""
 
     packed: np.ndarray
     bounds: np.ndarray
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray) -> Runs:
-    """The run that ends at each byte of each normalised text; before a text there is only space."""
-    folded = _FOLD[data]
+    """The run that ends at each symbol of each normalised text; before a text there is only space."""
+    folded, offsets = _symbols_of(data, offsets)
     space = folded == _SPACE
     keep = np.ones(len(folded), bool)
     keep[1:] = ~(space[1:] & space[:-1])
@@ -63,11 +98,12 @@ def runs_of(data: np.ndarray, offsets: np.ndarray) -> Runs:
     keep[firsts] = ~space[firsts]  # the padding is space already
     bounds = np.concatenate([[0], np.cumsum(keep)])[offsets]
     pad = ORDER - 1
-    text = np.insert(folded[keep], np.repeat(bounds[:-1], pad), _SPACE)
-    ends = np.arange(len(folded[keep])) + pad * (np.searchsorted(bounds, np.arange(bounds[-1]), side="right"))
+    kept = folded[keep]
+    text = np.insert(kept, np.repeat(bounds[:-1], pad), _SPACE)
+    ends = np.arange(len(kept)) + pad * np.repeat(np.arange(1, len(bounds)), np.diff(bounds))
     packed = np.zeros(len(ends), np.uint64)
     for back in range(pad, -1, -1):
-        packed = (packed << _EIGHT) | text[ends - back].astype(np.uint64)
+        packed = (packed << _BITS) | text[ends - back].astype(np.uint64)
     return Runs(packed, bounds)
 
 
@@ -132,17 +168,13 @@ class Lookup:
 
 @dataclass
 class Models:
-    runs: Lookup  # log-likelihood ratio of a frequent run
-    contexts: Lookup  # the ratio of a rare run after a frequent context: that of the backoff weights
+    runs: Lookup  # log-likelihood ratio of a run that tells the classes apart; any other run has none
     curve: np.ndarray  # weights of whole text, stretch, intercept
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(texts, 2): length-normalised log-likelihood ratio of the whole text and of its worst stretch."""
         runs = runs_of(data, offsets)
-        ratio, known = self.runs.find(runs.packed)
-        rare = ~known
-        backed, seen = self.contexts.find(runs.packed[rare] >> _EIGHT)
-        ratio[rare] = np.where(seen, backed, 0)
+        ratio, _ = self.runs.find(runs.packed)
         sums = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
         low, high = runs.bounds[:-1], runs.bounds[1:]
         counts = high - low
@@ -171,23 +203,64 @@ def _evidence(models):
     return evidence
 
 
-def _shared(runs: np.ndarray) -> np.ndarray:
-    """Kneser-Ney probability of each run's last byte after all but its first, over both classes.
+class Shared:
+    """Kneser-Ney distribution of the last of `SHARED_ORDER` symbols, over both classes.
+
+    Tails count in how many different runs they occur; below them single symbols do, and at last all are alike.
+    """
 
-    Orders below the highest count in how many different runs one byte longer they occur.
+    def __init__(self, tails: np.ndarray, counts: np.ndarray):
+        order = np.argsort(tails)
+        self.tails, self.counts = tails[order], counts[order].astype(np.float64)
+        self.heads, head = np.unique(self.tails >> _BITS, return_inverse=True)
+        self.seen = np.bincount(head, self.counts, len(self.heads))
+        self.kinds = np.bincount(head, minlength=len(self.heads))
+        single = np.bincount((self.tails & np.uint64(0xFF)).astype(np.int64), minlength=_ALPHABET)
+        total = max(single.sum(), 1)
+        left_over = DISCOUNT * (single > 0).sum() / total if single.any() else 1.0
+        self.single = np.maximum(single - DISCOUNT, 0) / total + left_over / _ALPHABET
+
+    def of(self, tails: np.ndarray) -> np.ndarray:
+        """Probability of each tail's last symbol after those before it."""
+        lower = self.single[(tails & np.uint64(0xFF)).astype(np.int64)]
+        if not len(self.tails):
+            return lower
+        at = np.minimum(np.searchsorted(self.tails, tails), len(self.tails) - 1)
+        count = np.where(self.tails[at] == tails, self.counts[at], 0)
+        head = np.minimum(np.searchsorted(self.heads, tails >> _BITS), len(self.heads) - 1)
+        seen = np.where(self.heads[head] == tails >> _BITS, self.seen[head], 0)
+        share = np.maximum(seen, 1)
+        left_over = np.where(seen > 0, DISCOUNT * self.kinds[head] / share, 1.0)
+        return np.maximum(count - DISCOUNT, 0) / share + left_over * lower
+
+
+def estimate(count: np.ndarray, seen: np.ndarray, kinds: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """A class's probability of a run's last symbol: the run's count, its context's count and kinds, the shared one.
+
+    A context that the class does not have is left to the shared distribution.
     """
-    total = np.full(len(runs), 1 / 256)
-    for order in range(1, ORDER):
-        # distinct runs one byte longer; each is one continuation of its tail
-        longer = np.unique(runs & np.uint64((1 << 8 * (order + 1)) - 1))
-        tails, counts = np.unique(longer & np.uint64((1 << 8 * order) - 1), return_counts=True)
-        heads, where = np.unique(tails >> _EIGHT, return_inverse=True)
-        seen = np.bincount(where, counts)
-        kinds = np.bincount(where)
-        at = np.searchsorted(tails, runs & np.uint64((1 << 8 * order) - 1))
-        head = where[at]
-        total = (counts[at] - DISCOUNT) / seen[head] + DISCOUNT * kinds[head] / seen[head] * total
-    return total
+    share = np.maximum(seen, 1)
+    left_over = np.where(seen > 0, DISCOUNT * kinds / share, 1.0)
+    return np.maximum(count - DISCOUNT, 0) / share + left_over * shared
+
+
+def _statistic(toxic_total: int, ordinary_total: int) -> Column:
+    """Log-likelihood statistic of a run: how unlike its counts are to the classes' sizes."""
+    everything = toxic_total + ordinary_total
+    both = F.col("toxic") + F.col("ordinary")
+    out = F.lit(0.0)
+    for name, total in (("toxic", toxic_total), ("ordinary", ordinary_total)):
+        expected = both * F.lit(total / everything)
+        out = out + F.when(F.col(name) > 0, 2 * F.col(name) * F.log(F.col(name) / expected)).otherwise(0.0)
+    return out
+
+
+def _bounded(known: DataFrame, most: int) -> DataFrame:
+    """About `most` of the labelled rows by a bound on a hash of id and text; all of them if there are no more."""
+    n = known.count()
+    if n <= most:
+        return known
+    return known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31)) < int(most / n * (1 << 31)))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Models:
@@ -195,9 +268,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Models:
 
     With no labels, or labels of one class only, every text gets the share of toxic ones (almost 0 without any).
     """
-    known = labelled(docs, labels, "toxic", FOLDS, HELD_OUT)
+    known = stored(labelled(docs, labels, "toxic", FOLDS, HELD_OUT), "labelled-texts")
     counts = stored(
-        known.filter(fold(F.col("doc_id"), FOLDS) != CALIBRATION_FOLD)
+        _bounded(known.filter(fold(F.col("doc_id"), FOLDS) != CALIBRATION_FOLD), LABELLED_ROWS)
         .select("text", "label")
         .mapInArrow(_count_batches, "run bigint, toxic bigint, ordinary bigint")
         .groupBy("run")
@@ -205,50 +278,45 @@ def train(docs: DataFrame, labels: DataFrame) -> Models:
         "run-counts",
     )
     sums = counts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).first()
-    both = F.col("toxic") + F.col("ordinary")
-    everything = (sums["toxic"] or 0) + (sums["ordinary"] or 0)
-    at_least = max(CUTOFF, -(-everything // MOST_RUNS))
-    frequent = counts.filter(both >= at_least).toArrow()
-    contexts = (
-        counts.groupBy(F.shiftright("run", 8).alias("context"))
-        .agg(
-            F.sum("toxic").alias("toxic"),
-            F.sum("ordinary").alias("ordinary"),
-            F.sum((F.col("toxic") > 0).cast("bigint")).alias("kinds_toxic"),
-            F.sum((F.col("ordinary") > 0).cast("bigint")).alias("kinds_ordinary"),
+    models = Models(Lookup(np.empty(0, np.uint64), np.empty(0)), np.zeros(3))
+    judged = bool(sums["toxic"] and sums["ordinary"])
+    if judged:
+        tail = F.col("run").bitwiseAND(F.lit((1 << 8 * SHARED_ORDER) - 1))
+        tails = counts.groupBy(tail.alias("tail")).agg(F.count("*").alias("n")).toArrow()
+        context = F.shiftright("run", 8)
+        telling = counts.filter(_statistic(sums["toxic"], sums["ordinary"]) >= LEAST_G2).withColumn("context", context)
+        wanted = telling.select("context").distinct()
+        contexts = (
+            counts.select(context.alias("context"), "toxic", "ordinary")
+            .groupBy("context")
+            .agg(
+                F.sum("toxic").alias("seen_toxic"),
+                F.sum("ordinary").alias("seen_ordinary"),
+                F.count_if(F.col("toxic") > 0).alias("kinds_toxic"),
+                F.count_if(F.col("ordinary") > 0).alias("kinds_ordinary"),
+            )
+            .join(wanted, "context", "left_semi")
         )
-        .filter(both >= at_least)
-        .toArrow()
-        .sort_by("context")
-    )
-    column = lambda table, name: table.column(name).to_numpy()
-    run = column(frequent, "run").astype(np.uint64)
-    context = column(contexts, "context").astype(np.uint64)
-    at = np.searchsorted(context, run >> _EIGHT)
-    shared = _shared(run)
-    estimate, backoff = {}, {}
-    for name in ("toxic", "ordinary"):
-        seen = column(contexts, name)
-        # an unseen context is left to the shared distribution
-        backoff[name] = np.where(seen > 0, DISCOUNT * column(contexts, f"kinds_{name}") / np.maximum(seen, 1), 1.0)
-        direct = np.maximum(column(frequent, name) - DISCOUNT, 0) / np.maximum(seen[at], 1)
-        estimate[name] = direct + backoff[name][at] * shared
-    models = Models(
-        Lookup(run, np.log(estimate["toxic"] / estimate["ordinary"])),
-        Lookup(context, np.log(backoff["toxic"] / backoff["ordinary"])),
-        np.zeros(3),
-    )
+        kept = telling.join(contexts, "context").drop("context").toArrow()
+        column = lambda name: kept.column(name).to_numpy()
+        run = column("run").astype(np.uint64)
+        shared = Shared(tails.column("tail").to_numpy().astype(np.uint64), tails.column("n").to_numpy()).of(
+            run & np.uint64((1 << 8 * SHARED_ORDER) - 1)
+        )
+        toxic, ordinary = (
+            estimate(column(name), column(f"seen_{name}"), column(f"kinds_{name}"), shared) for name in ("toxic", "ordinary")
+        )
+        models.runs = Lookup(run, np.log(toxic / ordinary))
     held = docs.sparkSession.sparkContext.broadcast(models)
     sample = (
-        known.filter(fold(F.col("doc_id"), FOLDS) == CALIBRATION_FOLD)
-        .select("label", F.xxhash64("doc_id", "text").alias("o"), _evidence(held)("text").alias("e"))
-        .orderBy("o")
-        .limit(CALIBRATION_ROWS)
-        .select("label", "e.whole", "e.worst")
+        _bounded(known.filter(fold(F.col("doc_id"), FOLDS) == CALIBRATION_FOLD), CALIBRATION_ROWS)
+        .select("doc_id", "label", _evidence(held)("text").alias("e"))
+        .select("doc_id", "label", "e.whole", "e.worst")
         .toPandas()
+        .sort_values(["doc_id", "whole", "worst"])
     )
     held.destroy()
-    if sample["label"].nunique() < 2 or not sums["toxic"] or not sums["ordinary"]:
+    if sample["label"].nunique() < 2 or not judged:
         share = known.agg(F.coalesce(F.avg("label"), F.lit(0.0)).alias("share")).first()["share"]
         share = min(max(share, 1e-6), 1 - 1e-6)
         models.curve = np.array([0.0, 0.0, np.log(share / (1 - share))])

@@ -246,10 +246,65 @@ def test_quality(spark):
     assert quality.quality(docs.limit(0), labels).count() == 0
 
 
-def test_shared_backoff_sums_to_one():
-    runs = np.unique(np.random.default_rng(0).integers(97, 101, (400, 5)) @ (256 ** np.arange(4, -1, -1))).astype(np.uint64)
-    shared = toxicity._shared(runs)
-    assert (shared > 0).all() and (shared <= 1).all()
+def counted_runs(texts):
+    found = toxicity.runs_of(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    return np.unique(found.packed, return_counts=True)
+
+
+def test_backoff_sums_to_one():
+    r = random.Random(3)
+    runs, counts = counted_runs([prose(r, 60, 30) for _ in range(20)])
+    mask = np.uint64((1 << 8 * toxicity.SHARED_ORDER) - 1)
+    shared = toxicity.Shared(*np.unique(runs & mask, return_counts=True))
+    every = np.arange(256, dtype=np.uint64)
+    eight = np.uint64(8)
+    contexts = np.unique(runs >> eight)
+    for context in [*contexts[:40], np.uint64(0x7A7A7A7A7A)]:  # the last one is never seen
+        of = runs >> eight == context
+        tails = ((context << eight) | every) & mask
+        count = np.zeros(256)
+        count[(runs[of] & np.uint64(255)).astype(int)] = counts[of]
+        below = shared.of(tails)
+        assert below.sum() == pytest.approx(1)
+        assert toxicity.estimate(count, np.full(256, counts[of].sum()), np.full(256, of.sum()), below).sum() == pytest.approx(1)
+
+
+def test_runs_keep_word_starts_and_accents():
+    text = "Ça  va—Élan 12 x"
+    found = toxicity.runs_of(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])).packed
+    want = toxicity.ORDER * " " + "ça va élan x"
+    ends = range(toxicity.ORDER + 1, len(want) + 1)
+    assert [int(x).to_bytes(toxicity.ORDER).decode("latin-1") for x in found] == [want[e - toxicity.ORDER : e] for e in ends]
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Scores from counts kept in dictionaries, with the same curve."""
+    docs, marks = labelled_table(spark, lambda t: t + " imbécilement idiotes")
+    labels = spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    models = toxicity.train(docs.select("doc_id", "text"), labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    folds = {r["doc_id"]: r["f"] for r in docs.select("doc_id", toxicity.fold(F.col("doc_id"), toxicity.FOLDS).alias("f")).collect()}
+    by_class = {y: dict(zip(*map(np.ndarray.tolist, counted_runs([texts[i] for i, z in marks if z == y and folds[i] > 1])), strict=True)) for y in (0, 1)}
+    total = {y: sum(by_class[y].values()) for y in (0, 1)}
+    runs = np.array(sorted(by_class[0].keys() | by_class[1].keys()), np.uint64)
+    mask = np.uint64((1 << 8 * toxicity.SHARED_ORDER) - 1)
+    shared = dict(zip(runs.tolist(), toxicity.Shared(*np.unique(runs & mask, return_counts=True)).of(runs & mask), strict=True))
+
+    def ratio(run):
+        n = [by_class[y].get(run, 0) for y in (0, 1)]
+        g2 = sum(2 * n[y] * np.log(n[y] / (sum(n) * total[y] / sum(total.values()))) for y in (0, 1) if n[y])
+        if g2 < toxicity.LEAST_G2:
+            return 0.0
+        p = []
+        for y in (0, 1):
+            beside = [c for r, c in by_class[y].items() if r >> 8 == run >> 8]
+            left_over = toxicity.DISCOUNT * len(beside) / sum(beside) if beside else 1.0
+            p.append(max(n[y] - toxicity.DISCOUNT, 0) / max(sum(beside), 1) + left_over * shared[run])
+        return np.log(p[1] / p[0])
+
+    probe = runs[:: max(1, len(runs) // 300)]
+    assert np.allclose(models.runs.find(probe)[0], [ratio(x) for x in probe.tolist()], atol=1e-4)
+    assert any(ratio(x) for x in probe.tolist())
 
 
 # 6 pieces
