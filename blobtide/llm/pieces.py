@@ -7,8 +7,8 @@ every run and on every executor; with rate 0 the result is the library's own enc
 
 No piece of such a model has a space behind another sign, so merges never cross units (a word with the
 spaces before it), and all units of a batch are merged side by side as rows of arrays: each round takes the best
-candidate of every unit's agenda. Units of more than `WIDEST` signs use a heap of their own. Signs outside the
-vocabulary become byte pieces, and so does a literal U+2581, the sign that stands for a space: that keeps
+candidate of every unit's agenda, and neighbours are kept as links, so a merge touches three places of a row. Units of
+more than `WIDEST` signs use a heap of their own. Signs outside the vocabulary become byte pieces, and so does a literal U+2581, the sign that stands for a space: that keeps
 decoding lossless for every text.
 """
 
@@ -17,9 +17,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ SPACE = "▁"
 WIDTHS = (8, 16, 32)  # units are merged in groups of at most so many signs
 WIDEST = WIDTHS[-1]
 ROWS = 20_000  # units merged side by side
+DECODED = 1_000_000  # ids decoded at once; a longer document comes alone and whole
 
 _NONE = np.float32("-inf")
 
@@ -103,6 +106,9 @@ class Vocabulary:
                 self.byte_id[self.spelled[i][0]] = i
         for piece, i in ids.items():
             self.spelled[i] = piece.replace(SPACE, " ").encode()
+        self.spelled_bytes = np.frombuffer(b"".join(self.spelled), np.uint8)
+        self.spelled_length = np.array([*map(len, self.spelled), 0], np.int64)
+        self.spelled_at = np.concatenate([[0], np.cumsum(self.spelled_length[:-1])])
         self.sign = np.arange(size, size + 0x110000, dtype=np.int32)
         for piece, i in ids.items():
             if len(piece) == 1 and piece != SPACE:
@@ -121,50 +127,40 @@ class Vocabulary:
         self.pairs = Pairs(np.array(keys, np.int64), np.array(merged, np.int32), np.array(scores, np.float32))
 
     def _side_by_side(self, signs: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
-        """Merge the rows of `signs` (-1 beyond a unit's end)."""
-        signs = signs.copy()
+        """Merge the rows of `signs` (-1 beyond a unit's end); a place merged into the one before it becomes -1."""
         n, width = signs.shape
-        places = np.tile(np.arange(width, dtype=np.int8), (n, 1))
-        merged, scores = (x.reshape(n, width - 1) for x in self.pairs.find(signs[:, :-1].ravel(), signs[:, 1:].ravel()))
-        out = np.full((n, width), -1, np.int32)
+        merged, scores = (np.full((n, width), fill, kind) for fill, kind in ((-1, np.int32), (_NONE, np.float32)))
+        merged[:, :-1], scores[:, :-1] = (x.reshape(n, width - 1) for x in self.pairs.find(signs[:, :-1].ravel(), signs[:, 1:].ravel()))
+        # links hold places in their row; the ends of a row are -1 and `width`
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int8), (n, 1)).ravel()
+        after = np.tile(np.arange(1, width + 1, dtype=np.int8), (n, 1))
+        after[np.arange(n), (signs >= 0).sum(axis=1) - 1] = width
+        signs, merged, after, flat_scores = signs.ravel().copy(), merged.ravel(), after.ravel(), scores.ravel()
         rows = np.arange(n)
-        columns = np.arange(width)
-        while True:
-            at = scores.argmax(axis=1)
-            some = scores[np.arange(len(rows)), at] > _NONE
-            if not some.all():
-                out[rows[~some]] = signs[~some]
-                rows, signs, places, merged, scores, at, keys = (x[some] for x in (rows, signs, places, merged, scores, at, keys))
-            if not len(rows):
-                return out
-            line = np.arange(len(rows))
-            piece = merged[line, at]
+        while len(rows):
+            now = scores[rows]
+            at = now.argmax(axis=1)
+            some = now[np.arange(len(rows)), at] > _NONE
+            rows, at = rows[some], at[some]
+            first = rows * width
+            here = first + at
+            piece = merged[here]
             if rate > 0:
-                skip = _skipped(keys, places[line, at], piece, rate)
-                scores[line[skip], at[skip]] = _NONE
-                line, at, piece = line[~skip], at[~skip], piece[~skip]
-            if not len(line):
-                continue
-            # the right neighbour goes, what is behind it moves up
-            source = columns + (columns > at[:, None])
-            source[:, -1] = width - 1
-            moved = np.take_along_axis(signs[line], source, axis=1)
-            moved[:, -1] = -1
-            moved[np.arange(len(line)), at] = piece
-            signs[line] = moved
-            places[line] = np.take_along_axis(places[line], source, axis=1)
-            # the candidate at the place goes too; the two beside it are new
-            shift = columns[:-1] + (columns[:-1] >= at[:, None])
-            last = shift >= width - 1
-            shift[last] = width - 2
-            m, s = np.take_along_axis(merged[line], shift, axis=1), np.take_along_axis(scores[line], shift, axis=1)
-            s[last] = _NONE
-            k = np.arange(len(line))
-            for beside in (at - 1, at):
-                inside = (beside >= 0) & (beside < width - 1)
-                row, column = k[inside], beside[inside]
-                m[row, column], s[row, column] = self.pairs.find(moved[row, column], moved[row, column + 1])
-            merged[line], scores[line] = m, s
+                skip = _skipped(keys[rows], at, piece, rate)
+                flat_scores[here[skip]] = _NONE
+                first, at, here, piece = (x[~skip] for x in (first, at, here, piece))
+            gone = first + after[here]
+            behind = after[gone]
+            signs[here], signs[gone], flat_scores[gone], after[here] = piece, -1, _NONE, behind
+            follows = behind < width
+            before[first[follows] + behind[follows]] = at[follows]
+            flat_scores[here[~follows]] = _NONE
+            leads = before[here] >= 0
+            # the two candidates beside the merged piece are new
+            left = np.concatenate([here[follows], first[leads] + before[here[leads]]])
+            right = np.concatenate([first[follows] + behind[follows], here[leads]])
+            merged[left], flat_scores[left] = self.pairs.find(signs[left], signs[right])
+        return signs.reshape(n, width)
 
     def _alone(self, signs: list[int], key: np.uint64, rate: float) -> list[int]:
         """The same for one unit of any length, with a heap and links."""
@@ -238,7 +234,8 @@ class Vocabulary:
         flat = np.empty(offsets[-1], np.int32)
         for units, rows in pieces:
             line, column = np.nonzero(rows >= 0)
-            flat[offsets[units[line]] + column] = rows[line, column]
+            place = np.arange(len(line)) - np.searchsorted(line, line)
+            flat[offsets[units[line]] + place] = rows[line, column]
         bounds = np.append(offsets[first], offsets[-1])
         return self._with_bytes(flat, bounds)
 
@@ -256,11 +253,16 @@ class Vocabulary:
         out[where] = self.byte_id[np.frombuffer(b"".join(spelled), np.uint8)]
         return out, offsets[bounds]
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of a sequence of ids; unknown ids and control pieces stand for nothing."""
-        spelled, size = self.spelled, self.size
-        text = b"".join([spelled[i] for i in ids if 0 <= i < size]).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """Texts of sequences ids[bounds[i]:bounds[i + 1]]; unknown ids and control pieces stand for nothing."""
+        ids = np.where((ids >= 0) & (ids < self.size), ids, self.size)
+        lengths = self.spelled_length[ids]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        # the source of each byte: its place in its piece, behind the piece's begin in the table
+        source = np.arange(ends[-1]) + np.repeat(self.spelled_at[ids] - ends[:-1], lengths)
+        data = self.spelled_bytes[source].tobytes()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in pairwise(ends[bounds].tolist())]
+        return [t[1:] if t[:1] == " " else t for t in texts]
 
 
 @lru_cache(2)
@@ -298,8 +300,17 @@ def decoder(vocabulary: str):
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _vocabulary(vocabulary)
         for batch in batches:
-            # one document's ids at a time: a whole batch of Python integers is many times its Arrow size
-            yield pa.array([model.decode(x.as_py()) if x.is_valid else None for x in batch], pa.string())
+            found: list[str | None] = []
+            # some documents at a time, about `DECODED` ids, so that their bytes stay few
+            at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False))])
+            values = batch.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            first = 0
+            while first < len(batch):
+                last = max(int(np.searchsorted(at, at[first] + DECODED, side="right")) - 1, first + 1)
+                last = min(last, len(batch))
+                found += model.decode(values[at[first] : at[last]], at[first : last + 1] - at[first])
+                first = last
+            yield pc.if_else(batch.is_valid(), pa.array(found, pa.string()), None)
 
     return text
 

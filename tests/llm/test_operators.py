@@ -337,6 +337,31 @@ def test_pieces_rows_equal_heap(monkeypatch):
     assert model.encode(texts, keys, 0.3)[0].tolist() == rows
 
 
+def test_pieces_of_every_unit_width_equal_heap(monkeypatch):
+    r = random.Random(12)
+    model = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [" ".join("".join(r.choices("aeinrst", k=n)) for n in (7, 8, 15, 16, 31, 32, 40)) for _ in range(20)] + ["", "é" * 32, " " * 40]
+    keys = np.arange(len(texts)).astype(np.uint64)
+    for rate in (0.0, 0.3, 1.0):
+        rows, bounds = model.encode(texts, keys, rate)
+        assert model.decode(rows, bounds) == texts
+        with monkeypatch.context() as m:
+            m.setattr(pieces, "WIDTHS", (2,))
+            m.setattr(pieces, "WIDEST", 2)
+            assert model.encode(texts, keys, rate)[0].tolist() == rows.tolist()
+
+
+def test_decoding_null_unknown_and_many_ids(spark, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["one two", "three", "four five six"]
+    ids = [model.encode(t) for t in texts]
+    rows = [*enumerate(ids), (3, None), (4, []), (5, [10**9, -1, *ids[0]]), (6, ids[2] * 400)]
+    coded = spark.createDataFrame(rows, "doc_id bigint, ids array<int>").coalesce(1)
+    found = {i: x["decoded"] for i, x in by_id(pieces.decode(coded, path)).items()}
+    assert found == {**dict(enumerate(texts)), 3: None, 4: "", 5: "one two", 6: (" " + texts[2]).join([""] * 401)[1:]}
+
+
 # 8 decontamination
 
 
