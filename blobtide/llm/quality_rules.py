@@ -37,12 +37,12 @@ _CLASSES = {
     "quote": r"'\"()\-",
     "symbol": r"#*$%&|<>",
 }
-# The most common words of four languages.
+# Common words of four languages, each once, so that the bins and the rest add up to all words.
 COMMON_WORDS = [
     "the", "of", "and", "to", "in", "a", "is", "that", "it", "on", "for", "was", "be", "with", "as", "at", "this", "by",
     "der", "die", "und", "das", "den", "von", "zu", "ist", "im", "mit", "sich", "des", "auf", "für", "nicht", "ein", "eine",
     "de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es",
-    "le", "les", "et", "des", "est", "du", "une", "qui", "dans", "pas", "pour", "par", "sur", "au", "avec",
+    "le", "les", "et", "est", "du", "une", "qui", "dans", "pas", "pour", "par", "sur", "au", "avec",
 ]
 
 

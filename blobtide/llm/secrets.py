@@ -4,8 +4,9 @@ Assigned passwords and tokens, access key ids and long hex strings are matched b
 these, a run of key characters is a secret if it is random: a vocabulary that was built from text
 spells words with few tokens, but needs one for every one or two characters of a random string. A run
 whose characters per token lie below `RATIO` is reported, unless it is a known digest or an
-identifier: hex of a digest's length, a UUID, a number, a date or version, or a run without both
-letters and digits.
+identifier: hex of a digest's length, a UUID, a number, a date or version, a run without letters, or
+one of fewer than `LEAST_SIGNS` different signs (a ruler or filler). A run of letters only is judged by its
+ratio like any other: long words and names spelled together lie well above it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from blobtide.llm.tables import two_columns
 
 KINDS = ("assign", "access", "hex", "random")
 RATIO = 2.0  # characters per token below which a run is random
+LEAST_SIGNS = 6
 SHORTEST, LONGEST_PIECE = 20, 4096  # a longer run is judged by pieces of this length, all of it
 
 # The base patterns and the lengths of common digests in hex.
@@ -38,7 +40,7 @@ _LONG_HEX = re.compile(r"[0-9a-f]{32,}")  # greedy: the same maximal runs as _HE
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _ALL_HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
-_LETTER, _FIGURE = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
+_LETTER = re.compile(r"[A-Za-z]")
 _NUMERIC = re.compile(r"[0-9+/_=.eE-]+")
 
 
@@ -63,7 +65,7 @@ def _known(run: str) -> bool:
     """Digests and identifiers, which are not secrets however random."""
     return bool(
         not _LETTER.search(run)
-        or not _FIGURE.search(run)
+        or len(set(run)) < LEAST_SIGNS
         or _UUID.fullmatch(run)
         or _NUMERIC.fullmatch(run)
         or (len(run) in _DIGESTS and _ALL_HEX.fullmatch(run))
