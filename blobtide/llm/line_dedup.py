@@ -31,6 +31,7 @@ BUCKETS = 1 << 16
 BROADCAST_ROWS = 1_000_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
+_SPACES = " \t\n\x0b\f\r"  # the same characters
 _DOC = ["doc", "copy"]  # a document: its id and a hash of its text
 
 
@@ -42,9 +43,10 @@ def _raw_lines(docs: DataFrame) -> DataFrame:
 def _tokenized(raw: DataFrame) -> DataFrame:
     """(doc, copy, line, tokens) of the lines with a word: hashes of their shingles, in order.
 
-    A shingle's hash is built from those of its two-word and four-word beginnings, one array pass each.
+    A shingle's hash is built from those of its two-word and four-word beginnings, one array pass each. Lines without
+    a word are told by their ends: a test of the words would have them split twice.
     """
-    words = F.filter(F.split(F.lower("_line"), _SPACE), lambda w: w != "")
+    words = F.split(F.lower(F.btrim("_line", F.lit(_SPACES))), _SPACE)
     n = F.size("_hashes")
 
     def pairs(left: str, right: str, ahead: int, count: Column) -> Column:
@@ -53,8 +55,8 @@ def _tokenized(raw: DataFrame) -> DataFrame:
 
     key = [*_DOC, "line"]
     return (
-        raw.select(*key, F.transform(words, lambda w: F.xxhash64(w)).alias("_hashes"))
-        .filter(n > 0)
+        raw.filter(F.btrim("_line", F.lit(_SPACES)) != "")
+        .select(*key, F.transform(words, lambda w: F.xxhash64(w)).alias("_hashes"))
         .select(*key, "_hashes", pairs("_hashes", "_hashes", 1, n - 1).alias("_two"))
         .select(*key, "_hashes", pairs("_two", "_two", 2, n - 3).alias("_four"))
         .select(
@@ -203,15 +205,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         "place", F.col("place") + 1
     )
     order = F.coalesce("doc", F.lit((1 << 63) - 1))
-    shared = stored(
-        prefixes.groupBy("token").agg(F.count("*").alias("many"), F.min(order).alias("first_doc"))
-        .filter(F.col("many") > 1)
-        .select("token", "first_doc"),
-        "shared-tokens",
-    )
-    found = prefixes.join(shared, "token")
+    # most tokens are of one line only: the rows of the others are few, and are told from them once
+    shared = stored(prefixes.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > 1).select("token"), "shared-tokens")
+    found = stored(prefixes.join(_few(shared), "token", "left_semi"), "shared-rows")
+    first_doc = found.groupBy("token").agg(F.min(order).alias("first_doc"))
     sets = _sets(docs, stored(found.select(*key).distinct(), "candidate-lines"))
-    rows = stored(join_on(found, sets.select(*key, "bits_a", "bits_b"), key, "inner"), "token-rows")
+    rows = stored(join_on(found, sets.select(*key, "bits_a", "bits_b"), key, "inner").join(first_doc, "token"), "token-rows")
     heads = rows.filter(order == F.col("first_doc"))
     head_line = heads.groupBy("token").agg(F.min("line").alias("head"))
     first = _candidates(rows, heads.join(head_line, "token").filter(F.col("line") == F.col("head")))

@@ -6,7 +6,7 @@ checkpoint the table is columnar, so each reader scans only the columns it needs
 
 Tables belong to the innermost open `scope` and are deleted with it; without one they stay until the
 driver ends. A long refresh opens a scope per step, so that its disk holds what the step needs and
-not what all earlier ones needed.
+not what all earlier ones needed. For the same reason the shuffle files of a write go when it ends.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+_CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_roots: dict[str, str] = {}
 _delete_on_exit: set[str] = set()
 
@@ -86,6 +87,17 @@ def scope(spark: SparkSession) -> Iterator[Scope]:
         own.free()
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """A write inside deletes its shuffle files when it ends, not when the driver next collects garbage."""
+    before = spark.conf.get(_CLEANUP_CONF, "false")
+    spark.conf.set(_CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP_CONF, before)
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write `df` to a scratch table and return a frame that reads it.
 
@@ -97,7 +109,8 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     owner = _current.get()
     if owner is not None:
         owner.paths.append(path)
-    df.write.parquet(path)
+    with _shuffles_deleted(spark):
+        df.write.parquet(path)
     root = scratch_root(spark)
     if root not in _delete_on_exit:
         file_system, root_path = _hadoop_path(spark, root)

@@ -3,9 +3,11 @@
 import random
 import re
 import string
+import time
 import unicodedata
 from hashlib import sha256
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from blobtide.llm import (
     toxicity,
     words,
 )
+from blobtide.scratch import materialize
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 AWKWARD = [None, "", " ", "\n\n", "a", "é", "word " * 3000, "Same\nSame\nsame ", "\x00\t\x0b1.2.3.4"]
@@ -213,6 +216,39 @@ def test_line_dedup_equals_brute_force(spark):
     assert {x["copy"] for x in rows} == {"own"}
 
 
+def test_line_dedup_tells_shared_tokens_once(spark, monkeypatch):
+    plans = {}
+    stored = line_dedup.stored
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, label)
+
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    line_dedup.dedup_lines(table(spark, ["one two three four five six seven eight nine ten"] * 3))
+    # the prefixes of all lines are cut up for the count and for the rows of shared tokens, not again
+    assert {label for label, plan in plans.items() if "posexplode(prefix" in plan} == {"shared-tokens", "shared-rows"}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    # of the blocks that this write made: others may go at any time
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {f.name for top in disk.localDirs() for f in Path(top.getPath()).rglob("shuffle_*.data")}
+
+    spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().collect()
+    before = shuffles()
+    assert before
+    kept = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):  # deleted in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert kept.count() == 7
+
+
 # 3 tokens
 
 
