@@ -270,6 +270,37 @@ def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _encoded(model: Vocabulary, texts: pa.Array, keys: pa.Array, rate: float) -> pa.Array:
+    """Ids of a batch of texts under their documents' keys."""
+    documents = keys.to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)
+    parts, sizes, at = [], [np.zeros(1, np.int64)], 0
+    for data, offsets in W.slices(texts, 250_000):
+        raw = data.tobytes()
+        some = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        flat, bounds = model.encode(some, documents[at : at + len(some)], rate)
+        at += len(some)
+        parts.append(flat)
+        sizes.append(np.diff(bounds))
+    bounds = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+    values = np.concatenate(parts) if parts else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values, pa.int32()))
+
+
+def _decoded(model: Vocabulary, batch: pa.Array) -> pa.Array:
+    """Texts of a batch of ids."""
+    found: list[str | None] = []
+    # some documents at a time, about `DECODED` ids, so that their bytes stay few
+    at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False))])
+    values = batch.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+    first = 0
+    while first < len(batch):
+        last = max(int(np.searchsorted(at, at[first] + DECODED, side="right")) - 1, first + 1)
+        last = min(last, len(batch))
+        found += model.decode(values[at[first] : at[last]], at[first : last + 1] - at[first])
+        first = last
+    return pc.if_else(batch.is_valid(), pa.array(found, pa.string()), None)
+
+
 def encoder(vocabulary: str, rate: float = 0.1):
     """Column function (text, document key as bigint) -> ids."""
 
@@ -277,18 +308,7 @@ def encoder(vocabulary: str, rate: float = 0.1):
     def ids(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = _vocabulary(vocabulary)
         for texts, keys in batches:
-            documents = keys.to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)
-            parts, sizes, at = [], [np.zeros(1, np.int64)], 0
-            for data, offsets in W.slices(texts, 250_000):
-                raw = data.tobytes()
-                some = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                flat, bounds = model.encode(some, documents[at : at + len(some)], rate)
-                at += len(some)
-                parts.append(flat)
-                sizes.append(np.diff(bounds))
-            bounds = np.cumsum(np.concatenate(sizes)).astype(np.int32)
-            values = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(values, pa.int32()))
+            yield _encoded(model, texts, keys, rate)
 
     return ids
 
@@ -300,21 +320,27 @@ def decoder(vocabulary: str):
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _vocabulary(vocabulary)
         for batch in batches:
-            found: list[str | None] = []
-            # some documents at a time, about `DECODED` ids, so that their bytes stay few
-            at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False))])
-            values = batch.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-            first = 0
-            while first < len(batch):
-                last = max(int(np.searchsorted(at, at[first] + DECODED, side="right")) - 1, first + 1)
-                last = min(last, len(batch))
-                found += model.decode(values[at[first] : at[last]], at[first : last + 1] - at[first])
-                first = last
-            yield pc.if_else(batch.is_valid(), pa.array(found, pa.string()), None)
+            yield _decoded(model, batch)
 
     return text
 
 
+def coder(vocabulary: str, rate: float = 0.1):
+    """Column function (text, document key as bigint) -> struct<ids, text>, the ids and the text they decode to.
+
+    Encoder and decoder in one: apart, each has Python workers of its own, with a copy of the vocabulary.
+    """
+
+    @F.arrow_udf("struct<ids:array<int>,text:string>")
+    def both(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        model = _vocabulary(vocabulary)
+        for texts, keys in batches:
+            ids = _encoded(model, texts, keys, rate)
+            yield pa.StructArray.from_arrays([ids, _decoded(model, ids)], names=["ids", "text"])
+
+    return both
+
+
 def document_key(doc_id: Column, seed: int) -> Column:
     """Key under which a document's candidates are hashed."""
     return F.xxhash64(F.lit(seed), doc_id)

@@ -40,6 +40,10 @@ FOLDS, HELD_OUT, CALIBRATION_FOLD = 5, 0, 1
 TOXIC_WEIGHT = 3.0  # a missed toxic text costs as much as so many clean ones taken for toxic
 CALIBRATION_ROWS = 20_000  # most labelled texts that the logistic curve is fitted on
 
+# Texts are taken so many bytes at once, or one longer text alone; the arrays over its symbols take about 70 times that.
+SLICE_BYTES = 500_000
+COUNTED = 4_000_000  # bytes of text whose runs are summed before they are passed on
+
 _SPACE = np.uint8(32)
 _BITS = np.uint64(8)
 _ALPHABET = 256
@@ -107,27 +111,33 @@ def runs_of(data: np.ndarray, offsets: np.ndarray) -> Runs:
     return Runs(packed, bounds)
 
 
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """One row (run, toxic, ordinary) for each run of `parts`, which are emptied."""
+    runs, *counts = (np.concatenate(column) for column in zip(*parts, strict=True))
+    parts.clear()
+    order = np.argsort(runs)
+    runs = runs[order]
+    firsts = np.flatnonzero(np.diff(runs, prepend=runs[:1] - 1))
+    return runs[firsts], *(np.add.reduceat(c[order], firsts) for c in counts)
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs with their counts per class, summed within each slice of texts."""
+    """Runs with their counts per class, summed within each `COUNTED` bytes of texts."""
     for batch in batches:
         labels = np.asarray(batch.column("label").to_pylist(), np.int64)
-        at = 0
-        for data, offsets in W.slices(batch.column("text"), 4_000_000):
+        at, size, parts = 0, 0, []
+        for data, offsets in W.slices(batch.column("text"), SLICE_BYTES):
             runs = runs_of(data, offsets)
             n = len(offsets) - 1
             toxic = np.repeat(labels[at : at + n], np.diff(runs.bounds)) == 1
-            at += n
+            at, size = at + n, size + len(data)
             distinct, inverse = np.unique(runs.packed, return_inverse=True)
             all_of = np.bincount(inverse, minlength=len(distinct))
             toxic_of = np.bincount(inverse[toxic], minlength=len(distinct))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(distinct.astype(np.int64)),
-                    pa.array(toxic_of.astype(np.int64)),
-                    pa.array((all_of - toxic_of).astype(np.int64)),
-                ],
-                names=["run", "toxic", "ordinary"],
-            )
+            parts.append((distinct.astype(np.int64), toxic_of, all_of - toxic_of))
+            if size >= COUNTED or at == len(labels):
+                yield pa.RecordBatch.from_arrays([pa.array(column) for column in _summed(parts)], names=["run", "toxic", "ordinary"])
+                size = 0
 
 
 class Lookup:
@@ -196,7 +206,7 @@ def _evidence(models):
     @F.arrow_udf("struct<whole:double,worst:double>")
     def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = [models.value.evidence(d, o) for d, o in W.slices(batch)]
+            parts = [models.value.evidence(d, o) for d, o in W.slices(batch, SLICE_BYTES)]
             found = np.concatenate(parts) if parts else np.empty((0, 2))
             yield pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["whole", "worst"])
 
@@ -332,7 +342,7 @@ def score_column(spark: SparkSession, models: Models):
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = [held.value.scores(held.value.evidence(d, o)) for d, o in W.slices(batch)]
+            parts = [held.value.scores(held.value.evidence(d, o)) for d, o in W.slices(batch, SLICE_BYTES)]
             yield pa.array(np.concatenate(parts) if parts else np.empty(0))
 
     return score

@@ -90,10 +90,9 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Piece ids of each document, and the text they decode to."""
     model = public_tokenizers.path(PIECE_MODEL)
     key = pieces.document_key(F.col("doc_id").cast("bigint"), DROPOUT_SEED)
-    coded = docs.select("doc_id", "lang", "source", pieces.encoder(model, DROPOUT_RATE)("text", key).alias("ids"))
+    coded = docs.select("doc_id", "lang", "source", pieces.coder(model, DROPOUT_RATE)("text", key).alias("coded"))
     return coded.select(
-        "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_pieces"), "ids",
-        pieces.decoder(model)("ids").alias("text"),
+        "doc_id", "lang", "source", F.size("coded.ids").cast("bigint").alias("n_pieces"), "coded.ids", "coded.text"
     )
 
 

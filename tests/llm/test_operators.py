@@ -4,6 +4,7 @@ import random
 import re
 import string
 import time
+import tracemalloc
 import unicodedata
 from hashlib import sha256
 from itertools import combinations
@@ -387,6 +388,28 @@ def test_runs_keep_word_starts_and_accents():
     assert [int(x).to_bytes(toxicity.ORDER).decode("latin-1") for x in found] == [want[e - toxicity.ORDER : e] for e in ends]
 
 
+def test_toxicity_counts_in_little_memory():
+    r = random.Random(7)
+    texts = ["".join(r.choices("abc ÀĞ", k=5000)) for _ in range(900)] + [None, "", "abc"]
+    labels = [i % 2 for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(labels)], names=["text", "label"])
+    tracemalloc.start()
+    found = list(toxicity._count_batches(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    got = np.zeros(2, np.int64)
+    for part in found:
+        runs, toxic, ordinary = (c.to_numpy() for c in part.columns)
+        assert len(np.unique(runs)) == len(runs)
+        got += toxic.sum(), ordinary.sum()
+    want = [0, 0]
+    for text, label in zip(texts, labels, strict=True):
+        data = (text or "").encode()
+        want[1 - label] += len(toxicity.runs_of(np.frombuffer(data, np.uint8), np.array([0, len(data)])).packed)
+    assert got.tolist() == want
+
+
 def test_toxicity_equals_brute_force(spark):
     """Scores from counts kept in dictionaries, with the same curve."""
     docs, marks = labelled_table(spark, lambda t: t + " imbécilement idiotes")
@@ -668,6 +691,18 @@ def test_native_operators_run_no_python(spark, monkeypatch, module):
 # pipeline and digests
 
 
+def test_last_stage_has_one_python_worker_a_task(spark):
+    texts = [t for t in AWKWARD if t is None or len(t) < 100] + ["Grüße aus 日本 😀", "▁x"]
+    docs = table(spark, texts)
+    coded = corpus_pipeline.encode_pieces(spark, docs, "")
+    assert coded.dtypes == [("doc_id", "bigint"), ("lang", "string"), ("source", "string"), ("n_pieces", "bigint"), ("ids", "array<int>"), ("text", "string")]
+    assert coded._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    model = public_tokenizers.path(corpus_pipeline.PIECE_MODEL)
+    apart = by_id(pieces.decode(pieces.encode(docs, model, corpus_pipeline.DROPOUT_SEED, corpus_pipeline.DROPOUT_RATE), model))
+    for i, row in by_id(coded).items():
+        assert (row["ids"], row["text"], row["n_pieces"]) == (apart[i]["ids"], apart[i]["decoded"], len(row["ids"]))
+
+
 def test_span_digest(spark):
     row = spark.range(1).select(F.expr("array(named_struct('kind','a','start',1L,'end',3L,'base',true), named_struct('kind','b','start',2L,'end',4L,'base',false))").alias("s"))
     got = row.select(spans.count("s", "a").alias("n"), spans.base_digest("s").alias("d"), spans.listed(F.col("s")).alias("l")).first()
