@@ -4,21 +4,25 @@ A line's tokens are its distinct five-word shingles (a shorter line is one token
 Jaccard similarity with an earlier line of the corpus is at least 0.8, where lines are ordered by document id
 and then by place; the earlier line counts whether or not it is itself removed.
 
-1. Token counts over the whole corpus, in `BUCKETS` buckets, give each token a rarity level. The table
-   of levels is one byte a bucket, so what tasks receive never grows. Tokens are ordered by level and
-   hash: a total order that is the same everywhere, rare tokens first.
-2. Lines with equal sets collapse to the earliest one; the others are removed.
-3. Prefix filter: two sets of similarity 0.8 share a token among the first n - ceil(0.8 n) + 1 of each. Tokens
-   of one line only are dropped; length and position filters thin out the rest.
+1. Every line is cut into tokens once. Lines with equal sets collapse to the earliest one; the others are removed.
+2. Prefix filter: in any total order of tokens that is the same everywhere, two sets of similarity 0.8 share a token
+   among the first n - ceil(0.8 n) + 1 of each. In the order of the hashes it tells the candidate lines: those with a
+   token there that another line has there too. Only their full token sets are made, and stored.
+3. Token counts over the candidate lines, in `BUCKETS` buckets, give each token a rarity level. The table of levels is
+   one byte a bucket, so what tasks receive never grows. The candidate lines are joined on their prefixes in the
+   order of level and hash, rare tokens first; length and position filters thin out the pairs.
 4. Bitmap filter: a line carries two bitmaps, each with the parity per bit of its tokens that hash to the bit. Two sets
    differ in at least as many tokens as their bitmaps in bits, so a pair with too unlike bitmaps is dropped inside the join.
 5. A line is first compared with the earliest line of each of its tokens. Only lines that this does not remove
    are compared with the other lines before them, so a large group of near copies costs one star.
-6. Candidates are verified on their full token sets, which are made once for all lines with a shared token.
+6. Candidate pairs are verified on their full token sets.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,29 +44,28 @@ def _raw_lines(docs: DataFrame) -> DataFrame:
     return docs.select(*_DOC, F.posexplode(F.split("text", "\n")).alias("line", "_line"))
 
 
+def _trimmed(line: str) -> Column:
+    """A line without separators at its ends. Trimming walks over the whole line, and few lines need it."""
+    ends = [f(F.col(line), F.lit(c)) for c in _SPACES for f in (F.startswith, F.endswith)]
+    return F.when(reduce(or_, ends), F.btrim(line, F.lit(_SPACES))).otherwise(F.col(line))
+
+
 def _tokenized(raw: DataFrame) -> DataFrame:
     """(doc, copy, line, tokens) of the lines with a word: hashes of their shingles, in order.
 
-    A shingle's hash is built from those of its two-word and four-word beginnings, one array pass each. Lines without
-    a word are told by their ends: a test of the words would have them split twice.
+    A shingle of five words is the hash of three hashes of neighbours: words 1 and 2, 3 and 4, 4 and 5. Behind the last
+    word there is nothing to hash, so the one token of a shorter line comes out the same way. Lines without a word
+    are told by their ends: a test of the words would have them split twice.
     """
-    words = F.split(F.lower(F.btrim("_line", F.lit(_SPACES))), _SPACE)
-    n = F.size("_hashes")
-
-    def pairs(left: str, right: str, ahead: int, count: Column) -> Column:
-        count = F.greatest(count, F.lit(0))
-        return F.zip_with(F.slice(left, 1, count), F.slice(right, 1 + ahead, count), lambda x, y: F.xxhash64(x, y))
-
+    words = F.split(F.lower(_trimmed("_line")), _SPACE)
     key = [*_DOC, "line"]
+    # neighbours are taken by place: a slice would copy its array
+    first = F.sequence(F.lit(0), F.greatest(F.size("_two") - SHINGLE, F.lit(0)))
     return (
-        raw.filter(F.btrim("_line", F.lit(_SPACES)) != "")
-        .select(*key, F.transform(words, lambda w: F.xxhash64(w)).alias("_hashes"))
-        .select(*key, "_hashes", pairs("_hashes", "_hashes", 1, n - 1).alias("_two"))
-        .select(*key, "_hashes", pairs("_two", "_two", 2, n - 3).alias("_four"))
-        .select(
-            *key,
-            F.when(n >= SHINGLE, pairs("_four", "_hashes", SHINGLE - 1, n - SHINGLE + 1)).otherwise(F.array(F.xxhash64("_hashes"))).alias("tokens"),
-        )
+        raw.filter(_trimmed("_line") != "")
+        .select(*key, words.alias("_words"))
+        .select(*key, F.transform("_words", lambda x, i: F.xxhash64(x, F.get("_words", i + 1))).alias("_two"))
+        .select(*key, F.transform(first, lambda i: F.xxhash64(*[F.get("_two", i + k) for k in (0, 2, 3)])).alias("tokens"))
     )
 
 
@@ -74,12 +77,10 @@ def _bucket(token: Column) -> Column:
     return F.pmod(token, F.lit(BUCKETS)).cast("int")
 
 
-def _levels(docs: DataFrame) -> bytes:
+def _levels(sets: DataFrame) -> bytes:
     """Rarity level of each bucket: twice the binary logarithm of its count, at most 127."""
     counts = (
-        # explode would have its size test pushed into the tokens' expression, hashing a line's words per shingle
-        _lines(docs).select(F.explode_outer("tokens").alias("token"))
-        .filter(F.col("token").isNotNull())
+        sets.select(F.explode("tokens").alias("token"))
         .groupBy(_bucket(F.col("token")).alias("bucket"))
         .agg(F.count("*").alias("n"))
         .select("bucket", F.least(F.lit(127), (2 * F.log2("n")).cast("int")).alias("level"))
@@ -102,6 +103,12 @@ def _ordered(levels: bytes) -> Column:
     return F.sort_array(F.array_distinct(F.transform("tokens", key)))
 
 
+def _prefix(ordered: str) -> Column:
+    """The first n - ceil(0.8 n) + 1 of n ordered tokens. Sets of less than four have none but equal partners."""
+    n = F.size(ordered)
+    return F.slice(ordered, 1, F.when(n >= 4, n - F.floor((4 * n + 4) / 5).cast("int") + 1).otherwise(0))
+
+
 def _least_overlap(n: Column, m: Column) -> Column:
     """Fewest common tokens of sets of n and m tokens with similarity 0.8: ceil(4 (n + m) / 9)."""
     return F.floor((4 * (n + m) + 8) / 9)
@@ -180,38 +187,49 @@ def _candidates(later: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """(doc, copy, line, n, prefix, leads) of the lines with a word; the earliest of equal sets leads."""
-    ordered = _lines(docs).select(*_DOC, "line", _ordered(_levels(docs)).alias("keys"))
-    n = F.size("keys")
-    prefix = F.when(n >= 4, n - F.floor((4 * n + 4) / 5).cast("int") + 1).otherwise(0)
+    """(doc, copy, line, prefix, leads) of the lines with a word; the earliest of equal sets leads."""
+    sets = _lines(docs).select(*_DOC, "line", F.sort_array(F.array_distinct("tokens")).alias("keys"))
     lines = stored(
-        ordered.select(
-            *_DOC, "line", n.alias("n"), F.xxhash64("keys").alias("set_a"), F.hash("keys").alias("set_b"),
-            F.slice("keys", 1, prefix).alias("prefix"),
+        sets.select(
+            *_DOC, "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("set_a"), F.hash("keys").alias("set_b"),
+            _prefix("keys").alias("prefix"),
         ),
         "lines",
     )
     same = ["set_a", "set_b", "n"]
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "copy", "line")
-    first = lines.groupBy(*same).agg(F.min(place).alias("first"))
-    return lines.join(first, same).select(*_DOC, "line", "n", "prefix", (place == F.col("first")).alias("leads"))
+    # most sets are of one line only: the earliest is looked for among the lines of the others, in their first document
+    twice = stored(
+        lines.groupBy(*same).agg(F.count("*").alias("many"), F.min(_order()).alias("first_doc")).filter(F.col("many") > 1).drop("many"),
+        "equal-sets",
+    )
+    heads = lines.drop("prefix").join(_few(twice), same).filter(_order() == F.col("first_doc"))
+    first = stored(heads.groupBy(*same).agg(F.min(place).alias("first")), "first-lines")
+    leads = F.col("first").isNull() | (place == F.col("first"))
+    marked = lines.join(_few(first), same, "left").select(*_DOC, "line", "prefix", leads.alias("leads"))
+    # a join with a short list is made anew by each reader
+    return marked if first.count() <= BROADCAST_ROWS else stored(marked, "marked-lines")
+
+
+def _order() -> Column:
+    """The document's place as a number; a null id comes last."""
+    return F.coalesce("doc", F.lit((1 << 63) - 1))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, copy, line) of the lines that go. `docs` has doc, copy and text, one row per document."""
     key = [*_DOC, "line"]
-    marked = settled(docs.sparkSession, lambda: _marked(docs), "marked-lines")
-    prefixes = marked.filter("leads").select(*key, "n", F.posexplode("prefix").alias("place", "token")).withColumn(
-        "place", F.col("place") + 1
-    )
-    order = F.coalesce("doc", F.lit((1 << 63) - 1))
+    marked = _marked(docs)
+    prefixes = marked.filter("leads").select(*key, F.posexplode("prefix").alias("place", "token"))
     # most tokens are of one line only: the rows of the others are few, and are told from them once
     shared = stored(prefixes.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > 1).select("token"), "shared-tokens")
-    found = stored(prefixes.join(_few(shared), "token", "left_semi"), "shared-rows")
-    first_doc = found.groupBy("token").agg(F.min(order).alias("first_doc"))
-    sets = _sets(docs, stored(found.select(*key).distinct(), "candidate-lines"))
-    rows = stored(join_on(found, sets.select(*key, "bits_a", "bits_b"), key, "inner").join(first_doc, "token"), "token-rows")
-    heads = rows.filter(order == F.col("first_doc"))
+    sets = _sets(docs, stored(prefixes.join(_few(shared), "token", "left_semi").select(*key).distinct(), "shared-rows"))
+    ordered = sets.select(*key, "bits_a", "bits_b", _ordered(_levels(sets)).alias("keys"))
+    rare = stored(ordered.select(*key, "bits_a", "bits_b", F.size("keys").alias("n"), _prefix("keys").alias("rare")), "rare-tokens")
+    found = rare.select(*key, "n", "bits_a", "bits_b", F.posexplode("rare").alias("place", "token")).withColumn("place", F.col("place") + 1)
+    common = found.groupBy("token").agg(F.min(_order()).alias("first_doc"), F.count("*").alias("many")).filter(F.col("many") > 1)
+    rows = stored(found.join(_few(stored(common.drop("many"), "first-documents")), "token"), "token-rows")
+    heads = rows.filter(_order() == F.col("first_doc"))
     head_line = heads.groupBy("token").agg(F.min("line").alias("head"))
     first = _candidates(rows, heads.join(head_line, "token").filter(F.col("line") == F.col("head")))
     gone = stored(_verified(sets, first).select(*[F.col(f"x_{c}").alias(c) for c in key]), "star-removed")
