@@ -58,19 +58,19 @@ def _n_matches(text: Column, inside: str) -> Column:
 def _repeat_words(words: str, n_words: str) -> Column:
     """Words inside 8-word windows that occur twice or more. `words` holds hashes of words."""
     starts = F.sequence(F.lit(1), (F.col(n_words) - (WINDOW - 1)).cast("int"))
-    windows = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    windows = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(WINDOW)]))
     return F.when(F.col(n_words) >= WINDOW, windows)
 
 
 def _covered(windows: str) -> Column:
     """Words covered by repeated windows: positions of equal hashes side by side, then runs of at most 8."""
-    placed = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("h"), i.alias("i"))))
     # zip each with its neighbours; a hash equal to either neighbour's repeats
     n = F.size(placed)
     before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(placed, 1, F.greatest(n - 1, F.lit(0))))
     after = F.concat(F.slice(placed, 2, n), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
     joined = F.arrays_zip(placed.alias("w"), before.alias("b"), after.alias("a"))
-    repeated = F.array_sort(
+    repeated = F.sort_array(
         F.transform(
             F.filter(joined, lambda x: (x["w"]["h"] == x["b"]["h"]) | (x["w"]["h"] == x["a"]["h"])),
             lambda x: x["w"]["i"],
@@ -118,11 +118,10 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
     classes = [F.col(f"c_{name}") for name in _CLASSES]
     rest = F.col("word_chars") - reduce(lambda a, b: a + b, classes)
-    bins = F.transform(
-        F.array(*[F.lit(w) for w in COMMON_WORDS]), lambda w: F.size(F.filter("common", lambda c: c == w))
-    )
-    shares = lambda counts, total: F.transform(
-        counts, lambda c: F.when(total > 0, c.cast("double") / total).otherwise(F.lit(0.0))
+    # an expression per bin, so that bins and shares run as compiled code, which filter and transform do not
+    bins = [F.size("common") - F.size(F.array_remove("common", w)) for w in COMMON_WORDS]
+    shares = lambda counts, total: F.array(
+        *[F.when(total > 0, c.cast("double") / total).otherwise(F.lit(0.0)) for c in counts]
     )
     return counted.select(
         "doc_id",
@@ -132,8 +131,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.col("c_symbol").cast("bigint").alias("n_symbols"),
         "n_dup_lines",
         repeats.alias("n_repeat_words"),
-        shares(F.array(*classes, rest), F.col("word_chars")).alias("signs"),
-        shares(F.concat(bins, F.array(F.col("n_words").cast("int") - F.size("common"))), F.col("n_words")).alias("common_words"),
+        shares([*classes, rest], F.col("word_chars")).alias("signs"),
+        shares([*bins, F.col("n_words").cast("int") - F.size("common")], F.col("n_words")).alias("common_words"),
     )
 
 

@@ -3,7 +3,9 @@
 import random
 import re
 
-from blobtide.llm import line_dedup
+from pyspark.sql import functions as F
+
+from blobtide.llm import line_dedup, quality_rules
 
 
 def shingles(line):
@@ -54,3 +56,19 @@ def test_equal_lines_of_one_document_and_of_null_ids(spark):
     rows = [(None, f"{line}\nq"), (None, f"r\n{line}"), (7, f"s\n{line}\n{line}"), (9, line), (3, "t")]
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(None, "q"), (None, "r"), (7, f"s\n{line}"), (9, ""), (3, "t")], key=str)
+
+
+def test_features_have_no_filter_per_bin_and_no_slice_per_window(spark):
+    text = "The end of der Anfang " * 40 + "des"
+    docs = spark.createDataFrame([(1, text, "en"), (2, None, None), (3, "the", "en")], "doc_id bigint, text string, lang string")
+    measured = quality_rules.features(docs)
+    plan = measured._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(common" not in plan and not re.search(r"lambdafunction\(xxhash64\(slice", plan)
+    rows = {x["doc_id"]: x for x in measured.collect()}
+    for i, t in ((1, text), (2, ""), (3, "the")):
+        words = t.lower().split()
+        counts = [words.count(w) for w in quality_rules.COMMON_WORDS]
+        want = [n / len(words) if words else 0.0 for n in [*counts, len(words) - sum(counts)]]
+        assert rows[i]["common_words"] == want and len(rows[i]["signs"]) == len(quality_rules._CLASSES) + 1
+    assert rows[1]["n_repeat_words"] == 200 and rows[1]["n_words"] == 201
+    assert measured.select(F.size("common_words").alias("n")).distinct().count() == 1
