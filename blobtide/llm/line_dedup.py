@@ -5,9 +5,10 @@ Jaccard similarity with an earlier line of the corpus is at least 0.8, where lin
 and then by place; the earlier line counts whether or not it is itself removed.
 
 1. Every line is cut into tokens once. Lines with equal sets collapse to the earliest one; the others are removed.
-2. Prefix filter: in any total order of tokens that is the same everywhere, two sets of similarity 0.8 share a token
-   among the first n - ceil(0.8 n) + 1 of each. In the order of the hashes it tells the candidate lines: those with a
-   token there that another line has there too. Only their full token sets are made, and stored.
+2. Prefix filter: in any total order of tokens that is the same everywhere, two sets of similarity 0.8 have the first k
+   of their common tokens among the first n - ceil(0.8 n) + k of each, for k up to ceil(0.8 n). In the order of the hashes
+   and with k = `COMMON` it tells the candidate lines: those with k tokens there that other lines have there too. Only
+   their full token sets are made, and stored. The pairs are then told with k = 1.
 3. Token counts over the candidate lines, in `BUCKETS` buckets, give each token a rarity level. The table of levels is
    one byte a bucket, so what tasks receive never grows. The candidate lines are joined on their prefixes in the
    order of level and hash, rare tokens first; length and position filters thin out the pairs.
@@ -30,24 +31,29 @@ from blobtide.llm.tables import join_on, stored
 from blobtide.scratch import settled
 
 SHINGLE = 5
+COMMON = 2  # at most 4, since the smallest set that has partners other than equal ones has four tokens
 BUCKETS = 1 << 16
 # A list of at most so many hashes (16 MB in memory) is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
-_SPACE = r"[\x20\x09-\x0D]+"
-_SPACES = " \t\n\x0b\f\r"  # the same characters
+_SPACES = r"[\x20\t\x0B\f\r]+"  # the line feed separates too, but no line has it
 _DOC = ["doc", "copy"]  # a document: its id and a hash of its text
 
 
 def _raw_lines(docs: DataFrame) -> DataFrame:
-    """(doc, copy, line, _line): place and text of every line; `docs` has doc, copy and text."""
-    return docs.select(*_DOC, F.posexplode(F.split("text", "\n")).alias("line", "_line"))
+    """(doc, copy, line, _line): place and text of every line; `docs` has doc, copy and text.
+
+    Words have one space between them, so that a plain cut finds them. Few texts must be changed for that.
+    """
+    uneven = reduce(or_, [F.contains("text", F.lit(c)) for c in ("  ", "\t", "\x0b", "\f", "\r")])
+    even = F.when(uneven, F.regexp_replace("text", _SPACES, " ")).otherwise(F.col("text"))
+    return docs.select(*_DOC, F.posexplode(F.split(even, "\n")).alias("line", "_line"))
 
 
 def _trimmed(line: str) -> Column:
-    """A line without separators at its ends. Trimming walks over the whole line, and few lines need it."""
-    ends = [f(F.col(line), F.lit(c)) for c in _SPACES for f in (F.startswith, F.endswith)]
-    return F.when(reduce(or_, ends), F.btrim(line, F.lit(_SPACES))).otherwise(F.col(line))
+    """A line without spaces at its ends. Trimming walks over the whole line, and few lines need it."""
+    ends = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(ends, F.btrim(line, F.lit(" "))).otherwise(F.col(line))
 
 
 def _tokenized(raw: DataFrame) -> DataFrame:
@@ -57,15 +63,15 @@ def _tokenized(raw: DataFrame) -> DataFrame:
     word there is nothing to hash, so the one token of a shorter line comes out the same way. Lines without a word
     are told by their ends: a test of the words would have them split twice.
     """
-    words = F.split(F.lower(_trimmed("_line")), _SPACE)
+    words = F.split(F.lower(_trimmed("_line")), " ")
     key = [*_DOC, "line"]
-    # neighbours are taken by place: a slice would copy its array
-    first = F.sequence(F.lit(0), F.greatest(F.size("_two") - SHINGLE, F.lit(0)))
+    # neighbours are taken by place: a slice for every word would copy its array
+    five = F.transform("_two", lambda x, i: F.xxhash64(x, F.get("_two", i + 2), F.get("_two", i + 3)))
     return (
         raw.filter(_trimmed("_line") != "")
         .select(*key, words.alias("_words"))
         .select(*key, F.transform("_words", lambda x, i: F.xxhash64(x, F.get("_words", i + 1))).alias("_two"))
-        .select(*key, F.transform(first, lambda i: F.xxhash64(*[F.get("_two", i + k) for k in (0, 2, 3)])).alias("tokens"))
+        .select(*key, F.slice(five, F.lit(1), F.greatest(F.size("_two") - (SHINGLE - 1), F.lit(1))).alias("tokens"))
     )
 
 
@@ -103,10 +109,10 @@ def _ordered(levels: bytes) -> Column:
     return F.sort_array(F.array_distinct(F.transform("tokens", key)))
 
 
-def _prefix(ordered: str) -> Column:
-    """The first n - ceil(0.8 n) + 1 of n ordered tokens. Sets of less than four have none but equal partners."""
+def _prefix(ordered: str, k: int = 1) -> Column:
+    """The first n - ceil(0.8 n) + k of n ordered tokens. Sets of less than four have none but equal partners."""
     n = F.size(ordered)
-    return F.slice(ordered, 1, F.when(n >= 4, n - F.floor((4 * n + 4) / 5).cast("int") + 1).otherwise(0))
+    return F.slice(ordered, 1, F.when(n >= 4, n - F.floor((4 * n + 4) / 5).cast("int") + k).otherwise(0))
 
 
 def _least_overlap(n: Column, m: Column) -> Column:
@@ -192,7 +198,7 @@ def _marked(docs: DataFrame) -> DataFrame:
     lines = stored(
         sets.select(
             *_DOC, "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("set_a"), F.hash("keys").alias("set_b"),
-            _prefix("keys").alias("prefix"),
+            _prefix("keys", COMMON).alias("prefix"),
         ),
         "lines",
     )
@@ -223,7 +229,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     prefixes = marked.filter("leads").select(*key, F.posexplode("prefix").alias("place", "token"))
     # most tokens are of one line only: the rows of the others are few, and are told from them once
     shared = stored(prefixes.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > 1).select("token"), "shared-tokens")
-    sets = _sets(docs, stored(prefixes.join(_few(shared), "token", "left_semi").select(*key).distinct(), "shared-rows"))
+    several = prefixes.join(_few(shared), "token", "left_semi").groupBy(*key).agg(F.count("*").alias("many")).filter(F.col("many") >= COMMON)
+    sets = _sets(docs, stored(several.select(*key), "shared-rows"))
     ordered = sets.select(*key, "bits_a", "bits_b", _ordered(_levels(sets)).alias("keys"))
     rare = stored(ordered.select(*key, "bits_a", "bits_b", F.size("keys").alias("n"), _prefix("keys").alias("rare")), "rare-tokens")
     found = rare.select(*key, "n", "bits_a", "bits_b", F.posexplode("rare").alias("place", "token")).withColumn("place", F.col("place") + 1)

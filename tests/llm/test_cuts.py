@@ -37,6 +37,22 @@ def test_tokens_are_equal_where_shingles_are(spark):
     assert len(set(names.values())) == len(names)
 
 
+def test_one_shared_token_makes_no_candidate(spark, monkeypatch):
+    counts = {}
+    stored = line_dedup.stored
+
+    def noted(df, label):
+        out = stored(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    docs = [(i, f"one two three four five x{i} y{i} z{i}") for i in range(60)]  # four tokens, the first of all lines
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert sorted(map(tuple, out.collect())) == docs
+    assert counts["shared-tokens"] == 1 and counts["shared-rows"] == counts["line-sets"] == 0
+
+
 def test_marks_of_equal_lines_do_not_shuffle_prefixes(spark, monkeypatch):
     plans = {}
     stored = line_dedup.stored
