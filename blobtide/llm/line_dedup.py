@@ -8,11 +8,11 @@ and then by place; the earlier line counts whether or not it is itself removed.
 2. Prefix filter: in any total order of tokens that is the same everywhere, two sets of similarity 0.8 have the first k
    of their common tokens among the first n - ceil(0.8 n) + k of each, for k up to ceil(0.8 n). In the order of the hashes
    and with k = `COMMON` it tells the candidate lines: those with k tokens there that other lines have there too. Only
-   their full token sets are made, and stored. The pairs are then told with k = 1.
+   their full token sets are made, and stored; the lines are taken out of their texts by place. The pairs are then told with k = 1.
 3. Token counts over the candidate lines, in `BUCKETS` buckets, give each token a rarity level. The table of levels is
-   one byte a bucket, so what tasks receive never grows. The candidate lines are joined on their prefixes in the
+   one number a bucket, so what tasks receive never grows. The candidate lines are joined on their prefixes in the
    order of level and hash, rare tokens first; length and position filters thin out the pairs.
-4. Bitmap filter: a line carries two bitmaps, each with the parity per bit of its tokens that hash to the bit. Two sets
+4. Bitmap filter: a line carries a bitmap with the parity per bit of its tokens that hash to the bit. Two sets
    differ in at least as many tokens as their bitmaps in bits, so a pair with too unlike bitmaps is dropped inside the join.
 5. A line is first compared with the earliest line of each of its tokens. Only lines that this does not remove
    are compared with the other lines before them, so a large group of near copies costs one star.
@@ -31,7 +31,7 @@ from blobtide.llm.tables import join_on, stored
 from blobtide.scratch import settled
 
 SHINGLE = 5
-COMMON = 2  # at most 4, since the smallest set that has partners other than equal ones has four tokens
+COMMON = 3  # at most 4, since the smallest set that has partners other than equal ones has four tokens
 BUCKETS = 1 << 16
 # A list of at most so many hashes (16 MB in memory) is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -40,14 +40,30 @@ _SPACES = r"[\x20\t\x0B\f\r]+"  # the line feed separates too, but no line has i
 _DOC = ["doc", "copy"]  # a document: its id and a hash of its text
 
 
-def _raw_lines(docs: DataFrame) -> DataFrame:
-    """(doc, copy, line, _line): place and text of every line; `docs` has doc, copy and text.
+def _parts() -> Column:
+    """The lines of a text, in order.
 
     Words have one space between them, so that a plain cut finds them. Few texts must be changed for that.
     """
     uneven = reduce(or_, [F.contains("text", F.lit(c)) for c in ("  ", "\t", "\x0b", "\f", "\r")])
     even = F.when(uneven, F.regexp_replace("text", _SPACES, " ")).otherwise(F.col("text"))
-    return docs.select(*_DOC, F.posexplode(F.split(even, "\n")).alias("line", "_line"))
+    return F.split(even, "\n")
+
+
+def _raw_lines(docs: DataFrame) -> DataFrame:
+    """(doc, copy, line, _line): place and text of every line; `docs` has doc, copy and text."""
+    return docs.select(*_DOC, F.posexplode(_parts()).alias("line", "_line"))
+
+
+def _some_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """`_raw_lines` of some lines only, taken by place, so that the others get no row; a stray line more does no harm."""
+    grouped = lines.groupBy(F.xxhash64(*_DOC).alias("_key")).agg(F.collect_set("line").alias("_places"))
+    places = stored(grouped, "line-documents")
+    # a row has many places, so the lines are what is counted
+    few = F.broadcast(places) if lines.count() <= BROADCAST_ROWS else places
+    of_docs = docs.withColumn("_key", F.xxhash64(*_DOC)).join(few, "_key")
+    cut = of_docs.select(*_DOC, "_places", _parts().alias("_parts"))  # a text is cut before its places become rows
+    return cut.select(*_DOC, "_parts", F.explode("_places").alias("line")).select(*_DOC, "line", F.get("_parts", "line").alias("_line"))
 
 
 def _trimmed(line: str) -> Column:
@@ -80,10 +96,10 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _bucket(token: Column) -> Column:
-    return F.pmod(token, F.lit(BUCKETS)).cast("int")
+    return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def _levels(sets: DataFrame) -> bytes:
+def _levels(sets: DataFrame) -> list[int]:
     """Rarity level of each bucket: twice the binary logarithm of its count, at most 127."""
     counts = (
         sets.select(F.explode("tokens").alias("token"))
@@ -92,19 +108,19 @@ def _levels(sets: DataFrame) -> bytes:
         .select("bucket", F.least(F.lit(127), (2 * F.log2("n")).cast("int")).alias("level"))
         .collect()
     )
-    levels = bytearray(BUCKETS)
+    levels = [0] * BUCKETS
     for row in counts:
         levels[row["bucket"]] = row["level"]
-    return bytes(levels)
+    return levels
 
 
-def _ordered(levels: bytes) -> Column:
+def _ordered(levels: list[int]) -> Column:
     """Distinct tokens as keys that sort by rarity level, then hash."""
-    table = F.lit(levels)
+    # one literal array, made while the plan is optimized; the levels are already where they stand in a key
+    table = F.split(F.lit(",".join(str(level << 56) for level in levels)), ",").cast("array<bigint>")
 
     def key(token):
-        level = F.ascii(F.substring(table, _bucket(token) + 1, F.lit(1)).cast("string"))
-        return F.call_function("shiftleft", level.cast("bigint"), F.lit(56)).bitwiseOR(F.shiftrightunsigned(token, 8))
+        return F.get(table, _bucket(token)).bitwiseOR(F.shiftrightunsigned(token, 8))
 
     return F.sort_array(F.array_distinct(F.transform("tokens", key)))
 
@@ -136,11 +152,9 @@ def _bitmap(tokens: str, shift: int) -> Column:
 
 
 def _sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc, copy, line, tokens, bits_a, bits_b): the distinct tokens and bitmap of each of `lines`, stored."""
-    some = _semi(docs, stored(lines.select(*_DOC).distinct(), "line-documents"), _DOC)
-    wanted = _semi(_raw_lines(some), lines, [*_DOC, "line"])
-    sets = _tokenized(wanted).withColumn("tokens", F.array_distinct("tokens"))
-    return stored(sets.withColumns({"bits_a": _bitmap("tokens", 17), "bits_b": _bitmap("tokens", 41)}), "line-sets")
+    """(doc, copy, line, tokens, bits): the distinct tokens and bitmap of each of `lines`, stored."""
+    sets = _tokenized(_some_lines(docs, lines)).withColumn("tokens", F.array_distinct("tokens"))
+    return stored(sets.withColumn("bits", _bitmap("tokens", 41)), "line-sets")
 
 
 def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -156,12 +170,6 @@ def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def _semi(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys hash like one of `ids`; a stray row more does no harm. One number a key is what is broadcast."""
-    hashed = ids.select(F.xxhash64(*keys).alias("_key"))
-    return rows.withColumn("_key", F.xxhash64(*keys)).join(_few(hashed), "_key", "left_semi").drop("_key")
-
-
 def _earlier(a: str, b: str) -> Column:
     """Whether line a comes before line b; a null id comes last."""
     keys = [
@@ -177,14 +185,14 @@ def _earlier(a: str, b: str) -> Column:
 
 
 def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("token", *[F.col(c).alias(f"{name}_{c}") for c in (*_DOC, "line", "n", "place", "bits_a", "bits_b")])
+    return rows.select("token", *[F.col(c).alias(f"{name}_{c}") for c in (*_DOC, "line", "n", "place", "bits")])
 
 
 def _candidates(later: DataFrame, before: DataFrame) -> DataFrame:
     """Pairs with a common prefix token that pass the length, position and bitmap filters."""
     n, m, i, j = (F.col(c) for c in ("x_n", "y_n", "x_place", "y_place"))
     most = F.least(i, j) + F.least(n - i, m - j)
-    unlike = F.greatest(*[F.bit_count(F.col(f"x_{bits}").bitwiseXOR(F.col(f"y_{bits}"))) for bits in ("bits_a", "bits_b")])
+    unlike = F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits")))
     return (
         _side(later, "x").join(_side(before, "y"), "token")
         .filter(_earlier("y", "x") & (5 * n >= 4 * m) & (5 * m >= 4 * n) & (most >= _least_overlap(n, m)) & (unlike <= n + m - 2 * _least_overlap(n, m)))
@@ -231,9 +239,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     shared = stored(prefixes.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > 1).select("token"), "shared-tokens")
     several = prefixes.join(_few(shared), "token", "left_semi").groupBy(*key).agg(F.count("*").alias("many")).filter(F.col("many") >= COMMON)
     sets = _sets(docs, stored(several.select(*key), "shared-rows"))
-    ordered = sets.select(*key, "bits_a", "bits_b", _ordered(_levels(sets)).alias("keys"))
-    rare = stored(ordered.select(*key, "bits_a", "bits_b", F.size("keys").alias("n"), _prefix("keys").alias("rare")), "rare-tokens")
-    found = rare.select(*key, "n", "bits_a", "bits_b", F.posexplode("rare").alias("place", "token")).withColumn("place", F.col("place") + 1)
+    ordered = sets.select(*key, "bits", _ordered(_levels(sets)).alias("keys"))
+    rare = stored(ordered.select(*key, "bits", F.size("keys").alias("n"), _prefix("keys").alias("rare")), "rare-tokens")
+    found = rare.select(*key, "n", "bits", F.posexplode("rare").alias("place", "token")).withColumn("place", F.col("place") + 1)
     common = found.groupBy("token").agg(F.min(_order()).alias("first_doc"), F.count("*").alias("many")).filter(F.col("many") > 1)
     rows = stored(found.join(_few(stored(common.drop("many"), "first-documents")), "token"), "token-rows")
     heads = rows.filter(_order() == F.col("first_doc"))

@@ -53,6 +53,61 @@ def test_one_shared_token_makes_no_candidate(spark, monkeypatch):
     assert counts["shared-tokens"] == 1 and counts["shared-rows"] == counts["line-sets"] == 0
 
 
+def test_two_shared_tokens_make_no_candidate(spark, monkeypatch):
+    counts = {}
+    stored = line_dedup.stored
+
+    def noted(df, label):
+        out = stored(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    docs = [(i, f"one two three four five six x{i} y{i} z{i}") for i in range(200)]  # five tokens, the first two of all lines
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert sorted(map(tuple, out.collect())) == docs
+    assert counts["shared-tokens"] == 2 and counts["shared-rows"] == counts["line-sets"] == 0
+
+
+def test_small_sets_at_the_limit_lose_no_pair(spark):
+    # n tokens and one word more: n of n + 1 tokens are common, which is 0.8 from four on
+    lines = [" ".join(f"{n}{c}" for c in "abcdefghijklm"[: n + 4 + more]) for n in range(1, 8) for more in (0, 1)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string"))
+    gone = {i for i, text in out.collect() if text == ""}
+    assert gone == {2 * (n - 1) + 1 for n in range(4, 8)}
+
+
+def test_lines_are_taken_by_place(spark, monkeypatch):
+    plans = {}
+    stored = line_dedup.stored
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, label)
+
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    texts = ["a\nb  c\n\td\n\ne f", "a", "", "x y\nz\n"]
+    docs = spark.createDataFrame([(i, 7, t) for i, t in [*enumerate(texts), (None, "g\nh")]], "doc bigint, copy bigint, text string")
+    rows = line_dedup._raw_lines(docs).collect()
+    some = [r for r in rows if r["line"] % 2 or r["doc"] in (None, 2)]
+    wanted = spark.createDataFrame([tuple(r)[:3] for r in [*some, some[0]]], "doc bigint, copy bigint, line int")
+    got = line_dedup._some_lines(docs, wanted).collect()
+    assert sorted(map(str, got)) == sorted(map(str, some))
+    line_dedup.dedup_lines(spark.createDataFrame([(1, "a b c d e f g h\nz"), (2, "a b c d e f g h i")], "doc_id bigint, text string"))
+    assert "explode(_places" in plans["line-sets"] and "posexplode" not in plans["line-sets"]
+    below = plans["line-sets"].split("explode(_places", 1)
+    assert "split(" not in below[0].replace("split(lower", "") and "split(" in below[1]  # once a text, not once a line
+
+
+def test_keys_sort_by_level_then_hash(spark):
+    r = random.Random(4)
+    levels = [r.randrange(128) for _ in range(line_dedup.BUCKETS)]
+    tokens = [r.getrandbits(64) - (1 << 63) for _ in range(300)] + [0, -1, 65535, 65536]
+    df = spark.createDataFrame([(tokens + tokens[:9],)], "tokens array<bigint>")
+    want = sorted({levels[t % line_dedup.BUCKETS] << 56 | (t % (1 << 64)) >> 8 for t in tokens})
+    assert df.select(line_dedup._ordered(levels).alias("keys")).first()["keys"] == want
+
+
 def test_marks_of_equal_lines_do_not_shuffle_prefixes(spark, monkeypatch):
     plans = {}
     stored = line_dedup.stored
